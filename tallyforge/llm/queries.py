@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import secrets
+from tallyforge.llm import pseudonyms, secrets
 
 QUERIES = {
+    "op7_pseudonyms": pseudonyms.op7_pseudonyms,
     "op10_secrets": secrets.op10_secrets,
 }
 
