@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import pseudonyms, secrets
+from tallyforge.llm import licences, pseudonyms, secrets
 
 QUERIES = {
+    "op3_licences": licences.op3_licences,
     "op7_pseudonyms": pseudonyms.op7_pseudonyms,
     "op10_secrets": secrets.op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_licences": licences.oracle(),
+}
