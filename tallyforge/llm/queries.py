@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import licences, pseudonyms, secrets, simhash
+from tallyforge.llm import licences, packing, pseudonyms, secrets, simhash
 
 QUERIES = {
+    "op6_packing": packing.op6_packing,
     "op5_simhash": simhash.op5_simhash,
     "op3_licences": licences.op3_licences,
     "op7_pseudonyms": pseudonyms.op7_pseudonyms,
