@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import licences, packing, pseudonyms, secrets, simhash
+from tallyforge.llm import decontaminate, licences, packing, pseudonyms, secrets, simhash
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op6_packing": packing.op6_packing,
     "op5_simhash": simhash.op5_simhash,
     "op3_licences": licences.op3_licences,
