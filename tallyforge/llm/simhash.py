@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stored, table
@@ -70,11 +70,14 @@ def fingerprints(docs: DataFrame, k: int = 3, key: str = "doc_id", text: str = "
 
 
 def _variants(fps: DataFrame) -> DataFrame:
-    """A row for each half and each wild bit of it: (seg, j, val: the half without bit j, half, fp)."""
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    halves = fps.select("fp", F.posexplode(F.array(low, F.shiftrightunsigned("fp", HALF))).alias("seg", "half"))
-    wild = halves.select("*", F.explode(F.sequence(F.lit(0), F.lit(HALF - 1))).alias("j"))
-    return wild.withColumn("val", F.expr("half & ~shiftleft(1L, j)"))
+    """(key, fp): a row for each bit of fp. key: that bit's place above, and below it the bit's half of fp with the bit cleared."""
+    wild = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * HALF - 1))).alias("place"))
+    return wild.select(_key("fp", "place"), "fp")
+
+
+def _key(fp: str, place: str) -> Column:
+    half = f"(shiftrightunsigned({fp}, {place} - {place} % 32) & 4294967295L)"
+    return F.expr(f"shiftleft(CAST({place} AS BIGINT), 32) | ({half} & ~shiftleft(1L, {place} % 32))").alias("key")
 
 
 def near_links(fps: DataFrame, hot: int = 4096) -> DataFrame:
@@ -84,33 +87,33 @@ def near_links(fps: DataFrame, hot: int = 4096) -> DataFrame:
     keys with two wild bits instead of in pairs; both ways are exact.
     """
     rows = _variants(fps)
-    heavy = stored(rows.where("j = 0").groupBy("seg", "half").count().where(F.col("count") * 2 > hot).select("seg", "half"), "simhash-hot")
+    low, high = F.expr("fp & 4294967295L"), F.shiftrightunsigned("fp", HALF)
+    halves = fps.select(F.posexplode(F.array(low, high)).alias("seg", "half")).groupBy("seg", "half").count()
+    heavy = stored(halves.where(F.col("count") * 2 > hot).select("seg", "half"), "simhash-hot")
     any_hot = not heavy.isEmpty()
-    cold = rows
-    if any_hot:
-        cold = rows.join(_hot_keys(heavy), ["seg", "j", "val"], "left_anti")
-    a, b = cold.select("seg", "j", "val", F.col("half").alias("ha"), F.col("fp").alias("u")), cold.select("seg", "j", "val", F.col("half").alias("hb"), F.col("fp").alias("v"))
-    # Halves that are equal meet at every j and count at the first alone.
-    pairs = a.join(b, ["seg", "j", "val"]).where("u < v and (ha <> hb or j = 0) and bit_count(u ^ v) <= 2").select("u", "v")
+    cold = rows.join(_hot_keys(heavy), "key", "left_anti") if any_hot else rows
+    # Halves that are equal meet at each of their 32 places and count at the first alone.
+    meets = "a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= 2 AND (shiftrightunsigned(a.key, 32) % 32 = 0 OR shiftrightunsigned(a.fp ^ b.fp, CAST(shiftrightunsigned(a.key, 32) AS INT)) & 1 = 1)"
+    pairs = cold.alias("a").hint("merge").join(cold.alias("b"), F.expr(f"a.key = b.key AND {meets}")).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     if any_hot:
-        pairs = pairs.unionByName(_hot_links(rows.join(_hot_keys(heavy), ["seg", "j", "val"], "left_semi")))
+        pairs = pairs.unionByName(_hot_links(rows.join(_hot_keys(heavy), "key", "left_semi")))
     return pairs.distinct()
 
 
 def _hot_keys(heavy: DataFrame) -> DataFrame:
-    each = heavy.select("seg", "half", F.explode(F.sequence(F.lit(0), F.lit(HALF - 1))).alias("j"))
-    return each.select("seg", "j", F.expr("half & ~shiftleft(1L, j)").alias("val")).distinct()
+    each = heavy.select(F.expr("shiftleft(half, seg * 32)").alias("fp"), F.explode(F.expr("sequence(seg * 32, seg * 32 + 31)")).alias("place"))
+    return each.select(_key("fp", "place")).distinct()
 
 
 def _hot_links(rows: DataFrame) -> DataFrame:
-    other = F.expr("CASE WHEN seg = 0 THEN shiftrightunsigned(fp, 32) ELSE fp & 4294967295L END")
-    rows = rows.withColumn("other", other)
+    rows = rows.select("key", "fp", F.expr("CAST(shiftrightunsigned(key, 32) AS INT)").alias("place")).withColumn("other", F.expr("shiftrightunsigned(fp, 32 - (place - place % 32)) & 4294967295L"))
     bits = F.sequence(F.lit(0), F.lit(HALF - 1))
-    one = rows.select("seg", "j", "val", "fp", "other", F.explode(bits).alias("p")).select("seg", "j", "val", F.expr("other & ~shiftleft(1L, p)").alias("rest"), F.col("p"), F.lit(-1).alias("q"), "fp")
-    two = rows.where("j = 0").select("seg", F.lit(-1).alias("j"), F.col("half").alias("val"), "fp", "other", F.explode(bits).alias("p"))
+    one = rows.select("key", "fp", "other", F.explode(bits).alias("p")).select("key", F.expr("other & ~shiftleft(1L, p)").alias("rest"), "p", F.lit(-1).alias("q"), "fp")
+    whole = F.expr("shiftleft(CAST(64 + place AS BIGINT), 32) | (shiftrightunsigned(fp, place) & 4294967295L)").alias("key")
+    two = rows.where("place % 32 = 0").select(whole, "fp", "other", F.explode(bits).alias("p"))
     two = two.where(f"p < {HALF - 1}").select("*", F.explode(F.sequence(F.col("p") + 1, F.lit(HALF - 1))).alias("q"))
-    two = two.select("seg", "j", "val", F.expr("other & ~shiftleft(1L, p) & ~shiftleft(1L, q)").alias("rest"), "p", "q", "fp")
-    both, key = one.unionByName(two), ["seg", "j", "val", "p", "q", "rest"]
+    two = two.select("key", F.expr("other & ~shiftleft(1L, p) & ~shiftleft(1L, q)").alias("rest"), "p", "q", "fp")
+    both, key = one.unionByName(two), ["key", "p", "q", "rest"]
     least = both.groupBy(*key).agg(F.min("fp").alias("u"), F.max("fp").alias("top")).where("u <> top").drop("top")
     return both.join(least, key).where("u <> fp").select("u", F.col("fp").alias("v"))
 
