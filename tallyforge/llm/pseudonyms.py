@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.common import let, table
+
 ROUNDS = 10
 #: Dates are permuted within these years: 73,049 = 17 * 4297 days.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
@@ -48,11 +50,6 @@ def keyed(key: str, tweak: Column | str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(F.lit(key), inner), 256), 1, 13), 16, 10).cast("long")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value evaluated once although use may name it in many places or in lambdas."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _div(x: Column, y: Column | int) -> Column:
     """Whole-number division of longs."""
     return F.call_function("div", x, F.lit(y).cast("long") if isinstance(y, int) else y)
@@ -212,8 +209,6 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def op7_pseudonyms(spark, sf_dir: str, key: str = "set-your-own-key") -> DataFrame:
-    from tallyforge.llm.common import table
-
     docs = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     count = lambda kind: F.size(F.filter("pii_kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
     return docs.select("doc_id", "text", *(count(kind) for kind in _MAKERS))
