@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontaminate, licences, linededup, packing, pseudonyms, secrets, simhash
+from tallyforge.llm import decontaminate, licences, linededup, packing, pseudonyms, secrets, simhash, toxicity
 
 QUERIES = {
+    "op8_toxicity": toxicity.op8_toxicity,
     "op1_linededup": linededup.op1_linededup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op6_packing": packing.op6_packing,
