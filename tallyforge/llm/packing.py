@@ -30,7 +30,7 @@ from tallyforge.llm.common import stored, table
 WINDOW, TIERS, CUT, SLACK, END, STEP = 2048, (256, 512, 1024, 2048), 64, 8, 1, 8
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 #: Words kept in each of a worker's two generations of cached ids, and the longest word kept.
-CACHED, LONGEST = 250_000, 48
+CACHED, LONGEST = 700_000, 48
 
 
 class WordTokens:
@@ -53,16 +53,28 @@ class WordTokens:
         return b"".join(found)
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        got = {w: self.old[w] for w in words if w in self.old}
-        fresh = [w for w in words if w not in got]
-        for w, e in zip(fresh, self.encode(fresh, add_special_tokens=False), strict=True):
-            got[w] = array("I", e.ids).tobytes()
-        self.young.update((w, x) for w, x in got.items() if len(w) <= LONGEST)
+        """Ids of words that weren't found; letters and a mark after them are separate tokens, and letters have one form for both cases."""
+        parts = {w: _parts(w) for w in words}
+        pieces = {p for ps in parts.values() for p in ps}
+        known = {p: x for p in pieces if (x := self.young.get(p) or self.old.get(p)) is not None}
+        fresh = [p for p in pieces if p not in known]
+        for p, e in zip(fresh, self.encode(fresh, add_special_tokens=False), strict=True):
+            known[p] = array("I", e.ids).tobytes()
+        got = {w: b"".join([known[p] for p in ps]) for w, ps in parts.items()}
+        self.young.update((w, x) for d in (known, got) for w, x in d.items() if len(w) <= LONGEST)
         if len(self.young) > CACHED:
             self.old, self.young = self.young, {}
         return got
 
 
+def _parts(word: str) -> tuple[str, ...]:
+    if word.endswith(_MARKS) and word[:-1].lower().isalpha():
+        return (word[:-1].lower() if word.isascii() else word[:-1], word[-1])
+    return (word.lower() if word.isascii() and word.isalpha() else word,)
+
+
+#: Single marks that the tokenizer's pattern cuts off letters before them.
+_MARKS = tuple(".,;:!?")
 _LOADED: dict[str, WordTokens] = {}
 
 
