@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontaminate, langid, licences, linededup, packing, pseudonyms, secrets, simhash, toxicity
+from tallyforge.llm import ann, decontaminate, langid, licences, linededup, packing, pseudonyms, secrets, simhash, toxicity
 
 QUERIES = {
+    "op9_ann": ann.op9_ann,
     "op4_langid": langid.op4_langid,
     "op8_toxicity": toxicity.op8_toxicity,
     "op1_linededup": linededup.op1_linededup,
