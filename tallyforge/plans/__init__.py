@@ -1,6 +1,6 @@
 """Query plans composed of the operators, and their registry."""
 
-from tallyforge.plans import catalogue_structure  # noqa: F401
+from tallyforge.plans import catalogue_facts, catalogue_structure  # noqa: F401
 from tallyforge.plans.catalogue import FOUND as ALL
 
 __all__ = ["ALL"]
