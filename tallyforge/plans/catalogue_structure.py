@@ -173,7 +173,7 @@ def _(spark, d):
 # Search and funnels
 
 
-@query("search_funnel", "SELECT k % 10 AS term, CASE WHEN views > 20 THEN clicks ELSE views * 0.5 END AS click_users, CASE WHEN views > 20 THEN 'real' ELSE 'forward_derived' END AS click_source, k FROM nf", "click_users", NF)
+@query("search_funnel", "SELECT k % 10 AS term, CAST(CASE WHEN views > 20 THEN clicks ELSE views * 0.5 END AS DOUBLE) AS click_users, CASE WHEN views > 20 THEN 'real' ELSE 'forward_derived' END AS click_source, k FROM nf", "click_users", NF)
 def _(spark, d):
     observed = F.when(F.col("views") > 20, F.col("clicks")).cast("double")
     users, source = structure.observed_or_derived(observed, F.col("views").cast("double"), F.lit(0.5))
@@ -355,7 +355,7 @@ def _(spark, d):
     return structure.opportunities(catalog, sold, "sku_id")
 
 
-@query("reshoot_rank", "SELECT k, views AS reads, carts AS collects, carts / views AS collect_rate, views / (views + 50.0) AS confidence_weight, carts / views * views / (views + 50.0) AS conservative_collect_rate, 1 - views / max(views) OVER () AS read_gap_to_max, carts / views * views / (views + 50.0) * (2 - views / max(views) OVER ()) AS opportunity_score FROM nf ORDER BY opportunity_score DESC NULLS LAST, collects DESC, k LIMIT 10", "collect_rate confidence_weight conservative_collect_rate read_gap_to_max opportunity_score", NF)
+@query("reshoot_rank", "SELECT k, views AS reads, carts AS collects, CASE WHEN views > 0 THEN carts / views END AS collect_rate, views / (views + 50.0) AS confidence_weight, CASE WHEN views > 0 THEN carts / (views + 50.0) END AS conservative_collect_rate, 1 - views / max(views) OVER () AS read_gap_to_max, CASE WHEN views > 0 THEN carts / (views + 50.0) * (2 - views / max(views) OVER ()) END AS opportunity_score FROM nf ORDER BY opportunity_score DESC NULLS LAST, collects DESC, k LIMIT 10", "collect_rate confidence_weight conservative_collect_rate read_gap_to_max opportunity_score", NF)
 def _(spark, d):
     return structure.reshoot_score(B.note_funnel(spark, d).select("k", F.col("views").alias("reads"), F.col("carts").alias("collects")))
 
