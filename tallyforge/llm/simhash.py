@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stored, table
@@ -128,47 +129,50 @@ def op5_simhash(spark, sf_dir: str, hot: int = 4096) -> DataFrame:
     return docs.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
-#: Of the near-duplicate groups below: words of a shingle, segments and bits of each, least similarity of a link, and
-#: distances (as shares of all bits) under which fingerprints alone decide and over which no pair is looked at.
-SHINGLE, SEGMENTS, SEGMENT_BITS, SIMILARITY, SURE, BEYOND = 5, 16, 24, 0.8, 0.09, 0.24
+#: Of the near-duplicate groups below: words of a shingle, bits of a wide fingerprint, segments that it is cut into, least similarity
+#: of a link, and distances (as shares of all bits) under which fingerprints alone decide and over which no pair is looked at.
+SHINGLE, WIDE, SEGMENTS, SIMILARITY, SURE, BEYOND = 5, 448, 14, 0.8, 0.09, 0.24
 
 
-def wide_fingerprint(hashes: np.ndarray, bits: int = SEGMENTS * SEGMENT_BITS) -> np.ndarray:
-    """bits // SEGMENT_BITS segments as integers, from 64 bits at a time of remixed shingle hashes."""
+def wide_fingerprint(hashes: np.ndarray, bits: int = WIDE) -> bytes:
+    """bits // 8 bytes, from 64 bits at a time of remixed shingle hashes."""
     parts = []
-    for i in range(-(-bits // 64)):
+    for i in range(bits // 64):
         h = hashes + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & (1 << 64) - 1)
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         parts.append(majority_bits(h ^ (h >> np.uint64(31))))
-    flat = np.concatenate(parts)[:bits].reshape(-1, SEGMENT_BITS)
-    return flat @ (1 << np.arange(SEGMENT_BITS))
+    return np.packbits(np.concatenate(parts), bitorder="little").tobytes()
 
 
 def _wide(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(id, sig: hash of the text's words, words, segs)."""
+    """(id, sig: hash of the text's shingles, words: the fingerprint as longs of 32 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sigs, counts, segs = b.column(0), [], [], []
+            sigs, parts = [], []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py(), k)
                 sigs.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
-                counts.append(len(h))
-                segs.append(wide_fingerprint(h).tolist())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sigs, pa.int64()), pa.array(counts, pa.int64()), pa.array(segs, pa.list_(pa.int32()))], ["id", "sig", "n", "segs"])
+                parts.append(np.frombuffer(wide_fingerprint(h), "<u4").astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], ["id", "sig", "parts"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, sig long, n long, segs array<int>")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, sig long, parts array<long>")
 
 
-def _bucket_links(nodes: DataFrame) -> DataFrame:
-    """(u, v): each node with one node, drawn by a hash, of every index key that it shares; no key's nodes meet in pairs."""
-    rows = nodes.select("sig", F.posexplode("segs").alias("seg", "val")).select("sig", "seg", "val", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1))).alias("j"))
-    key = F.expr("shiftleft(CAST(seg * 32 + j AS BIGINT), 32) | (val & ~shiftleft(1, j))").alias("key")
-    rows = rows.select(key, "sig")
-    drawn = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", "key").alias("h"), "sig")).alias("lead"), F.min("sig").alias("a"), F.max("sig").alias("b")).where("a <> b").select("key", F.col("lead.sig").alias("u"))
-    met = rows.join(drawn, "key").where("u <> sig")
-    return met.select(F.least("u", "sig").alias("u"), F.greatest("u", "sig").alias("v")).distinct()
+def segment_bits(n: int) -> int:
+    """So many that of n unrelated fingerprints few share an index key; a segment lies in one 32-bit part."""
+    return max(18, min(31, int(np.ceil(np.log2(max(n, 2)))) + 6))
+
+
+def _bucket_links(nodes: DataFrame, bits: int) -> DataFrame:
+    """(u, v): neighbours in each index key's nodes, which a hash puts in order; no key's nodes meet in pairs."""
+    segments = F.transform("parts", lambda p: p.bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
+    rows = nodes.select("id", F.posexplode(segments).alias("seg", "val")).select("id", F.col("seg").cast("long").alias("seg"), "val", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("j"))
+    rows = rows.select(F.expr("shiftleft(seg * 32 + j, 32) | (val & ~shiftleft(1L, j))").alias("key"), "id")
+    before = F.lag("id").over(W.partitionBy("key").orderBy(F.xxhash64("id", "key")))
+    met = rows.withColumn("u", before).where("u IS NOT NULL")
+    return met.select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
 
 
 def jaccard(a: str | None, b: str | None, k: int = SHINGLE) -> float:
@@ -180,27 +184,25 @@ def jaccard(a: str | None, b: str | None, k: int = SHINGLE) -> float:
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, group_id: least key of its near-duplicate group) for each row with a key.
 
-    Texts with equal words are one node. Candidates share a segment of their wide fingerprints but
+    Texts with equal shingles are one node. Candidates share a segment of their wide fingerprints but
     for one bit. A fingerprint distance under SURE links; up to BEYOND, the Jaccard similarity of the
     texts' k-word shingles decides, unless the pair is already in one group.
     """
     rows = stored(_wide(docs.where(F.col(key).isNotNull()), k, key, text), "near-rows")
-    nodes = rows.groupBy("sig").agg(F.min("id").alias("least"), F.min("segs").alias("segs"))
-    nodes = stored(nodes, "near-nodes")
-    links = _bucket_links(nodes)
-    differ = F.aggregate(F.zip_with("su", "sv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x) / (SEGMENTS * SEGMENT_BITS)
-    seen = links.join(nodes.select(F.col("sig").alias("u"), F.col("segs").alias("su")), "u").join(nodes.select(F.col("sig").alias("v"), F.col("segs").alias("sv")), "v")
+    nodes = stored(rows.groupBy("sig").agg(F.min("id").alias("id"), F.min("parts").alias("parts")), "near-nodes")
+    links = _bucket_links(nodes, segment_bits(nodes.count()))
+    differ = F.aggregate(F.zip_with("pu", "pv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x) / WIDE
+    seen = links.join(nodes.select(F.col("id").alias("u"), F.col("parts").alias("pu")), "u").join(nodes.select(F.col("id").alias("v"), F.col("parts").alias("pv")), "v")
     seen = stored(seen.select("u", "v", differ.alias("d")).where(F.col("d") <= BEYOND), "near-links")
     sure = seen.where(F.col("d") < SURE).select("u", "v")
     root = stored(components(sure, "near-sure"), "near-roots")
     maybe = seen.where(F.col("d") >= SURE).select("u", "v")
     for end in ("u", "v"):
         maybe = maybe.join(root.select(F.col("node").alias(end), F.col("component").alias(f"r{end}")), end, "left")
-    maybe = maybe.where("coalesce(ru, u) <> coalesce(rv, v)").select("u", "v")
-    maybe = stored(maybe, "near-maybe")
-    ids = maybe.select(F.col("u").alias("sig")).unionByName(maybe.select(F.col("v").alias("sig"))).distinct().join(nodes.select("sig", "least"), "sig")
-    texts = stored(docs.select(F.col(key).cast("long").alias("least"), F.col(text).cast("string").alias("text")).join(ids, "least").dropDuplicates(["sig"]).select("sig", "text"), "near-texts")
-    pairs = maybe.join(texts.select(F.col("sig").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("sig").alias("v"), F.col("text").alias("b")), "v")
+    maybe = stored(maybe.where("coalesce(ru, u) <> coalesce(rv, v)").select("u", "v"), "near-maybe")
+    ids = maybe.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    texts = stored(docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id").dropDuplicates(["id"]), "near-texts")
+    pairs = maybe.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,10 +210,9 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGL
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     verified = pairs.select("u", "v", "a", "b").mapInArrow(close, "u long, v long")
-    label = components(sure.unionByName(verified), "near").withColumnsRenamed({"node": "sig", "component": "root"})
-    named = nodes.select("sig", "least").join(label, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    best = named.groupBy("root").agg(F.min("least").alias("group_id"))
-    return rows.select("id", "sig").join(named.join(best, "root").select("sig", "group_id"), "sig").select(F.col("id").alias(key), "group_id")
+    label = components(sure.unionByName(verified), "near").withColumnsRenamed({"node": "n", "component": "c"})
+    named = nodes.select("sig", F.col("id").alias("n")).join(label, "n", "left").select("sig", F.coalesce("c", "n").alias("group_id"))
+    return rows.select("id", "sig").join(named, "sig").select(F.col("id").alias(key), "group_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
