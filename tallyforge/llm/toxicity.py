@@ -9,8 +9,8 @@ the sample is held back: on it a threshold is set for each language, as guessed
 the threshold of each language lies at CUT.
 
 Null and empty texts have no words; they score as a text without any evidence. Texts of any
-length are scored whole, in blocks. Repeated rows score alike. Without both labels in the sample
-every score is zero. Languages of fewer than LEAST_CALIBRATED held-back positives take the threshold
+length are scored whole, in blocks. Repeated rows score alike. With under LEAST_LABELLED rows of either label in
+the sample every score is zero. Languages of fewer than LEAST_CALIBRATED held-back positives take the threshold
 of all languages.
 """
 
@@ -30,7 +30,7 @@ from tallyforge.llm.common import table
 
 WORD_BITS, PREFIX_BITS, PREFIX = 16, 14, 4
 WIDTHS, FILTERS, DIM, PAD = (1, 2, 3), 12, 16, 2
-MOST_LABELLED, CUT, LEAST_CALIBRATED = 4000, 0.3, 20
+MOST_LABELLED, LEAST_LABELLED, CUT, LEAST_CALIBRATED = 4000, 10, 0.3, 20
 EPOCHS, BATCH, RATE, BLOCK = 6, 32, 0.05, 1 << 15
 _WORDS, _KEPT = re.compile(r"\w+"), 400_000
 _CACHE: dict[str, int] = {}
@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, key: st
     rows = docs.join(sample, F.col(key) == F.col("_id")).select(F.col("_id").cast("long").alias("id"), F.col("toxic").cast("int"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     found = sorted({(r.id, r.x): r for r in rows.mapInArrow(run, "id long, toxic int, lang string, x binary").collect()}.values(), key=lambda r: (r.id, r.x))
     net, x, y = Net.fresh(), [np.frombuffer(r.x, np.int32) for r in found], np.array([r.toxic for r in found], np.float32)
-    if len(set(y.tolist())) < 2:
+    if min((y == 1).sum(), (y == 0).sum()) < LEAST_LABELLED:
         return net
     back = np.array([zlib.crc32(f"held{r.id}".encode()) % 5 == 0 for r in found])
     fit = np.flatnonzero(~back) if len({*y[~back].tolist()}) == 2 else np.arange(len(y))
