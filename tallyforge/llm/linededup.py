@@ -108,7 +108,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     often = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     again = found.join(often, "h")
     wanted = again.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("first", "n", "h")).alias("c"))  # a document's own chunks
-    texts = _keyed(docs, key, text).join(wanted, ["doc_id", "sig"]).select("doc_id", "sig", "c", "text")
+    texts = _keyed(docs, key, text).join(wanted.hint("merge"), ["doc_id", "sig"]).select("doc_id", "sig", "c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,8 +119,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             yield _batch(rows, _KINDS | {"body": pa.binary()})
 
     bodies = stored(texts.mapInArrow(run, f"{_CHUNK}, body binary"), "linededup-bodies")
-    kept = bodies.groupBy("h", "body").agg(F.min(F.struct("doc_id", "sig", "first")).alias("kept"))
-    same = bodies.alias("b").join(kept.alias("k"), F.expr("b.h = k.h AND b.body = k.body AND struct(b.doc_id, b.sig, b.first) <> k.kept"))
+    place = F.struct("doc_id", "sig", "first")
+    kept = bodies.groupBy("h").agg(F.min(place).alias("kept"), F.min_by("body", place).alias("kept_body"))
+    same = bodies.alias("b").join(kept.alias("k"), F.expr("b.h = k.h AND b.body = k.kept_body AND struct(b.doc_id, b.sig, b.first) <> k.kept"))
     return same.select("b.doc_id", "b.sig", "b.first", "b.n")
 
 
@@ -144,7 +145,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """docs with text less its repeated chunks, and ``lines_removed``."""
     gone = stored(repeated(docs, key, text).groupBy("doc_id", "sig").agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("_gone")), "linededup-gone")
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), "_gone", F.aggregate("_gone", F.lit(0), lambda a, x: a + x["n"]).alias("_n"))
-    rows = docs.join(gone, (F.col(key).cast("long") == F.col("_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_sig")), "left")
+    rows = docs.join(gone.hint("merge"), (F.col(key).cast("long") == F.col("_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_sig")), "left")
     new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("_gone")))
     return rows.select(*(new.alias(text) if c == text else docs[c] for c in docs.columns), F.coalesce("_n", F.lit(0)).cast("long").alias("lines_removed"))
 
