@@ -103,3 +103,34 @@ def reshoot_score(df: DataFrame, shown: int = 10) -> DataFrame:
     rows = rows.withColumns({"conservative_collect_rate": F.col("collect_rate") * F.col("confidence_weight"), "read_gap_to_max": 1 - ratio(F.col("reads").cast("double"), F.col("_top"))})
     score = F.col("conservative_collect_rate") * (1 + F.col("read_gap_to_max"))
     return rows.withColumn("opportunity_score", score).orderBy(F.desc_nulls_last("opportunity_score"), F.desc("collects"), F.asc("k")).limit(shown).drop("_top")
+
+
+def modal_value(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The most frequent (column, value) of each key; ties go to the earlier column, then the smaller value."""
+    long = df.select(*keys, F.inline(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns))))).where("value IS NOT NULL")
+    counts = long.groupBy(*keys, "place", "feature", "value").agg(F.count("*").alias("n"))
+    by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    return counts.withColumn("_r", F.row_number().over(by.orderBy(F.desc("n"), "place", "value"))).where("_r = 1").drop("_r", "place")
+
+
+def composition(df: DataFrame, dimension: str, segment: str, n: str) -> DataFrame:
+    """Share of each segment in its dimension, and whether it is the dimension's largest."""
+    s = share_of(df, [dimension], [segment], [n])
+    return s.withColumn("is_top", F.row_number().over(W.partitionBy(dimension).orderBy(F.desc(n), segment)) == 1)
+
+
+def value_tags(df: DataFrame, keys: list[str], value: str, high: float = 1.5, low: float = 0.5) -> DataFrame:
+    """Values against their group's median: high from 1.5 times, low to half of it."""
+    middle = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("_m"))
+    return df.join(middle, keys).withColumn("tag", F.when(F.col(value) >= high * F.col("_m"), "high").when(F.col(value) <= low * F.col("_m"), "low").otherwise("normal")).drop("_m")
+
+
+def curated(df: DataFrame, by: str, tie: str, shown: int, highlight: Column) -> DataFrame:
+    """The first rows with numbers before text before null, and a highlight flag."""
+    number = F.col(by).try_cast("double")
+    return df.orderBy(number.asc_nulls_last(), F.col(by).asc_nulls_last(), tie).limit(shown).withColumn("highlight", F.coalesce(highlight, F.lit(False)))
+
+
+def context_sets(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Of each key the sorted distinct values of some columns with few values."""
+    return df.groupBy(key).agg(*(F.sort_array(F.collect_set(c)).alias(f"{c}s") for c in columns))
