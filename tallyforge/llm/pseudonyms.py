@@ -30,7 +30,7 @@ PATTERNS = {
     "ip": r"(?:\d{1,3}\.){3}\d{1,3}(?![0-9A-Za-z]|\.\d)",
     "date": rf"(?:{_DATE})(?![0-9A-Za-z])",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![0-9A-Za-z])",
-    "phone": r"(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]?\d{4}(?![0-9A-Za-z])|\+1[2-9]\d{2}[2-9]\d{6}(?![0-9A-Za-z])",
+    "phone": r"(?:\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[ .-])?[2-9]\d{2}[ .-][2-9]\d{2}[ .-]\d{4})(?![0-9A-Za-z])",
     "card": r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![0-9A-Za-z])",
 }
 #: Text without a match of this has no value of any kind.
@@ -138,6 +138,7 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
+    """Numbers whose area and exchange start with 2 to 9 go to such numbers; others that are written as phone numbers, to any ten digits."""
     digits = _digits(m)
     ten = F.substring(digits, F.length(digits) - 9, F.lit(10))
     x = ((_long(F.substring(ten, 1, 3)) - 200) * 800 + _long(F.substring(ten, 4, 3)) - 200) * 10000 + _long(F.substring(ten, 7, 4))
@@ -145,7 +146,10 @@ def _phone(m: Column, key: str) -> Column:
     def shown(y: Column) -> Column:
         return F.concat(_pad(_div(y, 8_000_000) + 200, 3), _pad(_div(y, 10000) % 800 + 200, 3), _pad(y % 10000, 4))
 
-    new = let(feistel(x, F.lit(80000).cast("long"), F.lit(80000).cast("long"), key, "phone"), shown)
+    half = lambda n: F.lit(n).cast("long")
+    assigned = let(feistel(x, half(80_000), half(80_000), key, "phone"), shown)
+    other = _pad(feistel(_long(ten), half(100_000), half(100_000), key, "digits"), 10)
+    new = F.when(ten.rlike("^[2-9]..[2-9]"), assigned).otherwise(other)
     return refill(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), new))
 
 
