@@ -146,3 +146,23 @@ def build_statistics(rows: DataFrame, grain: list[str]) -> DataFrame:
     keys = by_value.groupBy(*grain).agg(F.sum("n").alias("n"), F.count("*").alias("d")) if grain else by_value.withColumn("d", F.lit(1))
     merged = F.count("*") if grain else F.sum("n")
     return keys.agg(F.sum("n").alias("input_rows"), (F.sum("n") - F.sum("d")).alias("duplicate_rows"), F.sum("d").alias("accepted_rows"), merged.alias("merged_rows"))
+
+
+def assess_mappings(mapped: DataFrame, catalog: DataFrame | None) -> DataFrame:
+    """mapped with the outcome of each mapping against an approved catalog (table_name, header, canonical, approved, metric_id).
+
+    The tests' order counts: an operator's word, a header that the catalog gives another meaning, an approved or a
+    pending entry for just this mapping, no catalog at all, no entry. accepted: whether the mapping may be used.
+    """
+    if catalog is None:
+        outcome = F.when(F.col("how") == "override", "operator_confirmed").otherwise("catalog_unavailable")
+        return mapped.withColumns({"outcome": outcome, "accepted": F.lit(True), "metric_ids": F.array().cast("array<long>")})
+    entries = catalog.select("table_name", fold_name(F.col("header")).alias("_h"), F.col("canonical").alias("_to"), "approved", F.col("metric_id").cast("long").alias("_m"))
+    hits = mapped.withColumn("_h", fold_name(F.col("column"))).join(entries, ["table_name", "_h"], "left")
+    same, other = F.col("_to") == F.col("canonical"), F.col("_to") != F.col("canonical")
+    found = hits.groupBy(*mapped.columns).agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in (("_same", same), ("_ok", same & F.col("approved")), ("_other", other))), F.sort_array(F.collect_set("_m")).alias("metric_ids"))
+    outcome = (
+        F.when(F.col("how") == "override", "operator_confirmed").when(F.col("_other") & ~F.col("_same"), "conflict").when(F.col("how") == "fuzzy", "review_required")
+        .when(F.col("_ok"), "verified").when(F.col("_same"), "reference_only").otherwise("no_platform_reference")
+    )
+    return found.withColumn("outcome", outcome).withColumn("accepted", ~F.col("outcome").isin("conflict", "review_required")).drop("_same", "_ok", "_other")

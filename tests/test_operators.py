@@ -127,6 +127,14 @@ def test_files_to_tables(spark, tmp_path):
     assert H.missing_required(mapped, spark).count() == 0
 
 
+def test_mappings_against_a_catalog(spark):
+    mapped = spark.createDataFrame([("f", "orders", h, c, how) for h, c, how in (("Qty", "quantity", "alias"), ("Amount", "paid_amount", "alias"), ("Pay Time", "paid_time", "alias"), ("X", "sku_id", "override"), ("Y", "order_id", "exact"), ("Z", "note", "fuzzy"))], "file string, table_name string, column string, canonical string, how string")
+    catalog = spark.createDataFrame([("orders", "qty", "quantity", True, 1), ("orders", "amount", "gmv", True, 2), ("orders", "pay-time", "paid_time", False, 3), ("orders", "x", "gmv", True, 4)], "table_name string, header string, canonical string, approved boolean, metric_id int")
+    got = {r["column"]: (r.outcome, r.accepted) for r in H.assess_mappings(mapped, catalog).collect()}
+    assert got == {"Qty": ("verified", True), "Amount": ("conflict", False), "Pay Time": ("reference_only", True), "X": ("operator_confirmed", True), "Y": ("no_platform_reference", True), "Z": ("review_required", False)}
+    assert {r.outcome for r in H.assess_mappings(mapped, None).collect()} == {"operator_confirmed", "catalog_unavailable"}
+
+
 def test_order_lines(spark):
     rows = spark.createDataFrame([("1", "s", "2", "¥5"), ("", "s", "2", "5"), ("2", "s", "1.5", "5"), ("3", "s", "1", "-1"), ("4", None, "1", "1")], "order_id string, sku_id string, quantity string, paid_amount string")
     good, bad = H.validate_orders(rows)
