@@ -27,6 +27,8 @@ from tallyforge.llm.common import ascii_lower, stored, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, ANCHORS, SLOP = 10, 2, 3
+#: Documents indexed at a time in a task.
+PART = 500
 #: Tables of test terms of at most so many rows are broadcast to the corpus; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -67,9 +69,9 @@ def corpus_terms(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataF
         for b in batches:
             n: Counter = Counter()
             for t in b.column(0):
-                n.update(split_words(t.as_py()))
-            found = [(w, c) for w, c in n.items() if kept is None or w in kept.value]
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64())], ["term", "n"])
+                words = split_words(t.as_py())
+                n.update(words if kept is None else filter(kept.value.__contains__, words))
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
 
     counted = docs.select(F.col(text).cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("occurrences"))
     return counted.join(_small(terms.select("term").distinct()), "term")
@@ -91,19 +93,23 @@ def anchors(terms: DataFrame, counts: DataFrame, window: int = WINDOW, k: int =
 def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The positional index of the given terms, stored by document: (doc_id, n_words, found: array of (term, p))."""
     kept = _kept(terms)
-    kind = pa.list_(pa.struct([("term", pa.string()), ("p", pa.int32())]))
 
-    def found(words: list[bytes]) -> list[dict]:
-        return [{"term": w.decode(), "p": p} for p, w in enumerate(words) if kept is None or w in kept.value]
+    def index(part: pa.RecordBatch) -> pa.RecordBatch:
+        found, places, ends, n = [], [], [0], []
+        for t in part.column(1):
+            words = split_words(t.as_py())
+            mine = [(w, p) for p, w in enumerate(words) if kept is None or w in kept.value]
+            found += [w for w, _ in mine]
+            places += [p for _, p in mine]
+            ends.append(len(found))
+            n.append(len(words))
+        pairs = pa.StructArray.from_arrays([pa.array(found, pa.binary()).cast(pa.string()), pa.array(places, pa.int32())], ["term", "p"])
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["doc_id", "n_words", "found"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, n = [], []
-            for t in b.column(1):
-                words = split_words(t.as_py())
-                lists.append(found(words))
-                n.append(len(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(lists, kind)], ["doc_id", "n_words", "found"])
+            for start in range(0, b.num_rows, PART):
+                yield index(b.slice(start, PART))
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return stored(rows.mapInArrow(run, "doc_id long, n_words long, found array<struct<term:string,p:int>>"), "postings")
