@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import stored, table
 
 K, KEEP = 10, 11
-TREES, LEAF, SAMPLE, SHARE, BLOCK = 16, 1024, 8192, 0.075, 8192
+TREES, LEAF, SAMPLE, SHARE, BLOCK = 16, 1024, 8192, 0.075, 2048
 LEAST_SAMPLED = 8  # sampled vectors to a leaf, at least
 
 
