@@ -6,8 +6,8 @@ letters, three- and four-letter windows (hashed, with the word's edges). Viterbi
 the labelling of the text's words with the best sum less PENALTY for each change of language. A
 text's language is the one with most letters in it.
 
-The model comes from at most MOST_TRAIN documents of each language, by a hash of their ids,
-counted in Spark; it has BUCKETS rows and one column for each language. Null text and text without
+The model comes from at most MOST_TRAIN documents of each language, by a hash of their ids (so few that
+each task drops the rest before the shuffle), counted in Spark; it has BUCKETS rows and one column for each language. Null text and text without
 letters: ``und``, score 0, no spans. Without any training text all is ``und``. Ties go to the
 language that sorts first. Repeated rows are labelled alike.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import table
 
-BUCKETS, MOST_TRAIN, PENALTY = 1 << 16, 1500, 12.0
+BUCKETS, MOST_TRAIN, PENALTY = 1 << 16, 1000, 12.0
 UNKNOWN, LEAST_SHARE, FORBIDDEN = "und", 0.01, -1e4
 # First code points of script ranges and their names; what isn't listed belongs to the range before.
 SCRIPTS = (
