@@ -21,14 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stored").rstrip("/")
 
 
+#: Rows that a Python worker gets at a time while stored() writes; texts are long, so Spark's default of 10,000 takes much memory.
+BATCH = 1000
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read from there.
 
     Its lineage ends at those files, so that a lost executor costs no more than a reread.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, batch = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -37,11 +46,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def bounded_broadcast(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most most_rows rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= most_rows else df
-
-
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value evaluated once although use may name it in many places or in lambdas."""
     return F.element_at(F.transform(F.array(value), use), 1)

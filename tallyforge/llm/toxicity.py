@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.common import BATCH as PIECE
 from tallyforge.llm.common import table
 
 WORD_BITS, PREFIX_BITS, PREFIX = 16, 14, 4
 WIDTHS, FILTERS, DIM, PAD = (1, 2, 3), 12, 16, 2
 MOST_LABELLED, LEAST_LABELLED, CUT, LEAST_CALIBRATED = 4000, 10, 0.3, 20
 EPOCHS, BATCH, RATE, BLOCK = 6, 32, 0.05, 1 << 15
-_WORDS, _KEPT = re.compile(r"\w+"), 400_000
+_WORDS, _KEPT = re.compile(r"\w+"), 200_000
 _CACHE: dict[str, int] = {}
 
 
@@ -247,7 +248,9 @@ def score(docs: DataFrame, net: Net, text: str = "text", name: str = "toxicity")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = pickle.loads(model.value)
         for part in parts:
-            yield pd.Series(own.scores([features(t) for t in part]))
+            pieces = [part.iloc[i : i + PIECE] for i in range(0, max(len(part), 1), PIECE)]
+            yield pd.Series(np.concatenate([own.scores([features(t) for t in piece]) for piece in pieces]))
+        _CACHE.clear()  # workers outlive their tasks
 
     return docs.withColumn(name, scored(F.col(text).cast("string")))
 
