@@ -40,30 +40,36 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        whole = Tokenizer.from_file(path)
+        plain = Tokenizer(whole.model)
+        self.encode, self.encode_plain = whole.encode_batch_fast, plain.encode_batch_fast
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
         words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        found = list(map(self.young.get, words))
-        if None in found:
-            extra = self._learn({w for w, x in zip(words, found, strict=True) if x is None})
-            found = [extra[w] if x is None else x for w, x in zip(words, found, strict=True)]
-        return b"".join(found)
+        fresh = set(words).difference(self.young)
+        if not fresh:
+            return b"".join(map(self.young.__getitem__, words))
+        got = self._learn(fresh)
+        if all(len(w) <= LONGEST for w in fresh):
+            return b"".join(map(self.young.__getitem__, words))
+        return b"".join([got[w] if w in got else self.young[w] for w in words])
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that weren't found; letters and a mark after them are separate tokens, and letters have one form for both cases."""
         parts = {w: _parts(w) for w in words}
         pieces = {p for ps in parts.values() for p in ps}
         known = {p: x for p in pieces if (x := self.young.get(p) or self.old.get(p)) is not None}
-        fresh = [p for p in pieces if p not in known]
-        for p, e in zip(fresh, self.encode(fresh, add_special_tokens=False), strict=True):
-            known[p] = array("I", e.ids).tobytes()
+        fresh = pieces.difference(known)
+        plain = {p for p in fresh if p.isascii() and p.isalpha() and p.islower()}  # what normalising and cutting leave alone
+        for encode, some in ((self.encode_plain, [*plain]), (self.encode, [*fresh.difference(plain)])):
+            for p, e in zip(some, encode(some, add_special_tokens=False), strict=True):
+                known[p] = array("I", e.ids).tobytes()
         got = {w: b"".join([known[p] for p in ps]) for w, ps in parts.items()}
         self.young.update((w, x) for d in (known, got) for w, x in d.items() if len(w) <= LONGEST)
-        if len(self.young) > CACHED:
-            self.old, self.young = self.young, {}
         return got
 
 
