@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stored, table
@@ -129,50 +128,99 @@ def op5_simhash(spark, sf_dir: str, hot: int = 4096) -> DataFrame:
     return docs.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
-#: Of the near-duplicate groups below: words of a shingle, bits of a wide fingerprint, segments that it is cut into, least similarity
-#: of a link, and distances (as shares of all bits) under which fingerprints alone decide and over which no pair is looked at.
-SHINGLE, WIDE, SEGMENTS, SIMILARITY, SURE, BEYOND = 5, 448, 14, 0.8, 0.09, 0.24
+#: Of the near-duplicate groups below: words of a shingle and least similarity of a link.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Texts looked at for frequent shingles, occurrences that make one frequent, and the most that are kept. They set an order: any order gives the same groups.
+LOOK, OFTEN, COMMON = 20_000, 8, 20_000
+#: Rows of an index key that are joined in one piece.
+BLOCK = 512
 
 
-def wide_fingerprint(hashes: np.ndarray, bits: int = WIDE) -> bytes:
-    """bits // 8 bytes, from 64 bits at a time of remixed shingle hashes."""
-    parts = []
-    for i in range(bits // 64):
-        h = hashes + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & (1 << 64) - 1)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        parts.append(majority_bits(h ^ (h >> np.uint64(31))))
-    return np.packbits(np.concatenate(parts), bitorder="little").tobytes()
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
 
-def _wide(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(id, sig: hash of the text's shingles, words: the fingerprint as longs of 32 bits)."""
+def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found often in some of the texts, sorted, and their ranks: the more frequent, the higher."""
+    part = int(np.ceil(LOOK / max(texts.count(), 1) * 1e6))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, parts = [], []
+            found = [np.unique(shingle_hashes(t.as_py(), k)) for t in b.column(0)]
+            h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+
+    counted = texts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.arange(len(h), 0, -1)[order]
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first of a text's distinct shingles, frequent ones last: texts as similar as that share at least one of these."""
+    rank = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, ranks[at], 0)
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, rank))][: n - int(np.ceil(similarity * n - 1e-6)) + 1]
+
+
+def _prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(id, sig: hash of the text's distinct shingles, n: how many, first: their prefix)."""
+    known = texts.sparkSession.sparkContext.broadcast(_common(texts, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sigs, sizes, first = [], [], []
             for t in b.column(1):
-                h = shingle_hashes(t.as_py(), k)
+                h = np.unique(shingle_hashes(t.as_py(), k))
                 sigs.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
-                parts.append(np.frombuffer(wide_fingerprint(h), "<u4").astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], ["id", "sig", "parts"])
+                sizes.append(len(h))
+                first.append(prefix(h, similarity, *known.value).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["id", "sig", "n", "first"])
+
+    return texts.mapInArrow(run, "id long, sig long, n int, first array<long>")
+
+
+def _index(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(key, id, n, i: the shingle's place, short: whether the text may be the smaller of a pair here, c: rows of the key) for keys that pairs may meet in."""
+    short = (F.col("n") - F.col("i")) * (1 + similarity) >= F.col("n") * (2 * similarity) - 1e-6
+    rows = nodes.select("id", "n", F.posexplode("first").alias("i", "key")).select("key", "id", "n", "i", short.alias("short"))
+    keys = rows.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.col("short").cast("int")).alias("shorts")).where("c > 1 AND shorts > 0")
+    return rows.join(keys.select("key", "c"), "key")
+
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, sig long, parts array<long>")
+def _fits(similarity: float) -> Column:
+    """Whether the smaller text a and the larger b can be similar if this is the first shingle that they share."""
+    rest = lambda x: (F.col(f"{x}.n") - F.col(f"{x}.i")) * (1 + similarity) >= (F.col("a.n") + F.col("b.n")) * similarity - 1e-6
+    return F.expr("a.n < b.n OR (a.n = b.n AND a.id < b.id)") & (F.col("a.n") >= F.col("b.n") * similarity - 1e-6) & rest("a") & rest("b")
 
 
-def segment_bits(n: int) -> int:
-    """So many that of n unrelated fingerprints few share an index key; a segment lies in one 32-bit part."""
-    return max(18, min(31, int(np.ceil(np.log2(max(n, 2)))) + 6))
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
 
 
-def _bucket_links(nodes: DataFrame, bits: int) -> DataFrame:
-    """(u, v): neighbours in each index key's nodes, which a hash puts in order; no key's nodes meet in pairs."""
-    segments = F.transform("parts", lambda p: p.bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
-    rows = nodes.select("id", F.posexplode(segments).alias("seg", "val")).select("id", F.col("seg").cast("long").alias("seg"), "val", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("j"))
-    rows = rows.select(F.expr("shiftleft(seg * 32 + j, 32) | (val & ~shiftleft(1L, j))").alias("key"), "id")
-    before = F.lag("id").over(W.partitionBy("key").orderBy(F.xxhash64("id", "key")))
-    met = rows.withColumn("u", before).where("u IS NOT NULL")
-    return met.select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
+def _first_pairs(index: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): each key's smallest text with the others."""
+    least = index.where("short").groupBy("key").agg(F.min(F.struct("n", "id", "i")).alias("h")).select("key", "h.*")
+    return _pairs(least.alias("a").join(index.alias("b"), (F.col("a.key") == F.col("b.key")) & _fits(similarity)))
+
+
+def _other_pairs(index: DataFrame, root: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(u, v): all pairs of each key that aren't in one group yet.
+
+    Texts of the key's largest group aren't joined with each other. The larger texts of a key are dealt
+    into blocks and the smaller ones go to each block, so that no task gets all pairs of a frequent key.
+    """
+    rows = index.join(root.select(F.col("node").alias("id"), F.col("component").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = rows.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+    rows = stored(rows.join(groups.select("key", F.col("top.root").alias("top")), "key").withColumn("blocks", F.ceil(F.col("c") / block).cast("int")), "near-apart")
+    small = rows.where("short").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("side", F.explode(F.when(F.col("root") == F.col("top"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    large = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("side", (F.col("root") == F.col("top")).cast("int"))
+    met = F.expr("a.key = b.key AND a.block = b.block AND a.side = b.side AND a.root <> b.root")
+    return _pairs(small.alias("a").join(large.alias("b"), met & _fits(similarity)))
 
 
 def jaccard(a: str | None, b: str | None, k: int = SHINGLE) -> float:
@@ -181,36 +229,37 @@ def jaccard(a: str | None, b: str | None, k: int = SHINGLE) -> float:
     return both / max(len(x) + len(y) - both, 1)
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, group_id: least key of its near-duplicate group) for each row with a key.
-
-    Texts with equal shingles are one node. Candidates share a segment of their wide fingerprints but
-    for one bit. A fingerprint distance under SURE links; up to BEYOND, the Jaccard similarity of the
-    texts' k-word shingles decides, unless the pair is already in one group.
-    """
-    rows = stored(_wide(docs.where(F.col(key).isNotNull()), k, key, text), "near-rows")
-    nodes = stored(rows.groupBy("sig").agg(F.min("id").alias("id"), F.min("parts").alias("parts")), "near-nodes")
-    links = _bucket_links(nodes, segment_bits(nodes.count()))
-    differ = F.aggregate(F.zip_with("pu", "pv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x) / WIDE
-    seen = links.join(nodes.select(F.col("id").alias("u"), F.col("parts").alias("pu")), "u").join(nodes.select(F.col("id").alias("v"), F.col("parts").alias("pv")), "v")
-    seen = stored(seen.select("u", "v", differ.alias("d")).where(F.col("d") <= BEYOND), "near-links")
-    sure = seen.where(F.col("d") < SURE).select("u", "v")
-    root = stored(components(sure, "near-sure"), "near-roots")
-    maybe = seen.where(F.col("d") >= SURE).select("u", "v")
-    for end in ("u", "v"):
-        maybe = maybe.join(root.select(F.col("node").alias(end), F.col("component").alias(f"r{end}")), end, "left")
-    maybe = stored(maybe.where("coalesce(ru, u) <> coalesce(rv, v)").select("u", "v"), "near-maybe")
-    ids = maybe.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = stored(docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id").dropDuplicates(["id"]), "near-texts")
-    pairs = maybe.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+def _similar(pairs: DataFrame, all_texts: DataFrame, similarity: float, k: int) -> DataFrame:
+    """The pairs (u, v) whose texts' shingles have that Jaccard similarity."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    texts = stored(all_texts.join(ids, "id").dropDuplicates(["id"]), "near-texts")
+    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = [jaccard(x.as_py(), y.as_py(), k) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    verified = pairs.select("u", "v", "a", "b").mapInArrow(close, "u long, v long")
-    label = components(sure.unionByName(verified), "near").withColumnsRenamed({"node": "n", "component": "c"})
+    return both.select("u", "v", "a", "b").mapInArrow(close, "u long, v long")
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(key, group_id: least key of its near-duplicate group) for each row with a key.
+
+    Texts with equal sets of k-word shingles are one node; links are all pairs whose sets have that
+    Jaccard similarity, at every size of the table. Similar texts share a shingle of their prefixes.
+    First each shingle's smallest text is compared with the others; then all pairs that share a shingle
+    and aren't in one group yet are. Every link is verified by the texts.
+    """
+    texts = _texts(docs.where(F.col(key).isNotNull()), key, text)
+    rows = stored(_prefixes(texts, k, similarity), "near-rows")
+    nodes = stored(rows.groupBy("sig").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("first").alias("first")), "near-nodes")
+    index = stored(_index(nodes, similarity), "near-index")
+    tried = stored(_first_pairs(index, similarity), "near-first")
+    links = stored(_similar(tried, texts, similarity, k), "near-links")
+    root = stored(components(links, "near-first-groups"), "near-roots")
+    others = stored(_other_pairs(index, root, similarity, block).join(tried, ["u", "v"], "left_anti"), "near-others")
+    label = components(links.unionByName(_similar(others, texts, similarity, k)), "near").withColumnsRenamed({"node": "n", "component": "c"})
     named = nodes.select("sig", F.col("id").alias("n")).join(label, "n", "left").select("sig", F.coalesce("c", "n").alias("group_id"))
     return rows.select("id", "sig").join(named, "sig").select(F.col("id").alias(key), "group_id")
 
