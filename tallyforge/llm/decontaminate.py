@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import ascii_lower, stored, table
@@ -139,9 +140,9 @@ def candidates(lists: DataFrame, anchored: DataFrame) -> DataFrame:
 
 def proximity(lists: DataFrame, slop: int = SLOP) -> DataFrame:
     """(row, doc_id) where all anchors of a window of row lie within slop places of where its phrase would have them."""
-    cell = F.floor(F.col("shift") / (slop + 1)).cast("long")
-    near = lists.select("*", F.explode(F.array(cell, cell + 1)).alias("cell"))  # any slop places lie in one such pair of cells
-    return near.groupBy("row", "qs", "doc_id", "cell").agg((_all_met() & (F.max("shift") - F.min("shift") <= slop)).alias("all")).where("all").select("row", "doc_id").distinct()
+    following = W.partitionBy("row", "qs", "doc_id").orderBy("shift").rangeBetween(0, slop)
+    met = F.bit_or("bit").over(following) == F.expr("shiftleft(1, size(qs)) - 1")
+    return lists.select("row", "doc_id", met.alias("all")).where("all").select("row", "doc_id").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
