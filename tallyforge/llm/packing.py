@@ -1,15 +1,19 @@
 """Hierarchical packing of documents into training sequences.
 
 Each text is tokenised once; what goes on is its length and running checksums of its ids at
-every CUT-th place, from which the checksum of any piece follows. Whole windows are cut off
-long documents; what remains is routed to the smallest context tier that holds it. Documents are dealt
-into groups of bounded size by a hash, and each group is packed by itself: the longest tier opens
-windows, gaps are filled from the longest remainders of shorter tiers that fit, and a gap
-that no whole remainder fits is closed by cutting one where a checksum is known. Sequences are
-then dealt into step groups, so that steps get like shares of tokens and tiers.
-
-Null and empty texts are the end token alone. Repeated rows are packed once each. An empty
-table gives an empty result. Texts of any length are one row each and are never joined.
+every CUT-th place, from which the checksum of any piece follows. Whole windows of the longest tier are
+cut off long documents; what remains is routed to the smallest context tier that holds it. Documents are dealt
+into groups of bounded size by a hash, and each group is packed by itself, tier by tier from the
+longest: a tier's documents open windows of that tier's size, gaps are filled from the longest
+documents of shorter tiers that fit, and a gap that none fits is closed by cutting one where a
+checksum is known; what is left of it is routed anew. Windows of the shorter tiers are full to the last
+token, so that they need no padding; what can't be made so goes to windows of the longest tier, which may be padded. Sequences
+are then dealt into step groups of like tokens and tiers.
+
+Null and empty texts are the end token alone. Repeated rows are packed once each; equal lengths are
+taken in order of id and checksum, so that ties don't depend on how rows came. An empty
+table gives an empty result. Texts of any length are one row each and are never joined. Columns other
+than the id and the text aren't looked at.
 """
 
 from __future__ import annotations
@@ -27,14 +31,19 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stored, table
 
-WINDOW, TIERS, CUT, SLACK, END, STEP = 2048, (256, 512, 1024, 2048), 64, 8, 1, 8
+TIERS, CUT, SLACK, END, STEP = (256, 512, 1024, 2048), 64, 8, 1, 8
+WINDOW = TIERS[-1]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 #: Words kept in each of a worker's two generations of cached ids, and the longest word kept.
 CACHED, LONGEST = 700_000, 48
 
 
+#: Texts that a tokenizer must encode word by word as it does whole; one that doesn't is asked for whole texts.
+SAMPLES = ("Two words, and MORE: it's 3.5% of\n\tx_1  y!", "  Été Straße\u00a0ΟΔΟΣ İx ﬁ 漢字かな\U0001f600 ", "don't e.g. a-b (c) \"d\" <s> ... 12,345 fooBAR?! \u0301e", "")
+
+
 class WordTokens:
-    """Ids of texts as little-endian bytes. No token crosses a blank, so words are encoded once and looked up."""
+    """Ids of texts as little-endian bytes. Where no token crosses a blank, words are encoded once and looked up."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,8 +54,15 @@ class WordTokens:
         self.encode, self.encode_plain = whole.encode_batch_fast, plain.encode_batch_fast
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.by_word = True
+        self.by_word = all(self.ids(t) == self._whole(t) for t in SAMPLES)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.encode([text], add_special_tokens=False)[0].ids).tobytes()
 
     def ids(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._whole(text)
         if len(self.young) > CACHED:
             self.old, self.young = self.young, {}
         words = text.replace("\n", " ").replace("\t", " ").split(" ")
@@ -124,13 +140,11 @@ def lengths(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 
 class _Pool:
-    """Remainders (length, document, start), by length and by length modulo CUT."""
+    """A tier's remainders (length, document, start), by length and by length modulo CUT."""
 
-    def __init__(self, items: list[tuple[int, int, int]]):
-        self.all = sorted(items)
+    def __init__(self) -> None:
+        self.all: list[tuple] = []
         self.by: dict[int, list] = {}
-        for x in self.all:
-            self.by.setdefault(x[0] % CUT, []).append(x)
 
     def add(self, x: tuple) -> None:
         insort(self.all, x)
@@ -142,8 +156,8 @@ class _Pool:
         del same[bisect_left(same, x)]
         return x
 
-    def longest(self, most: int | None = None) -> tuple | None:
-        i = len(self.all) if most is None else bisect_left(self.all, (most + 1,))
+    def longest(self, most: int) -> tuple | None:
+        i = bisect_left(self.all, (most + 1,))
         return self.all[i - 1] if i else None
 
     def tail(self, gap: int) -> tuple | None:
@@ -157,43 +171,74 @@ def tier_of(length: int) -> int:
     return next(t for t in TIERS if length <= t)
 
 
-def pack(n: list[int]) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length); n: the documents' lengths."""
-    out = [[(d, s, WINDOW)] for d, m in enumerate(n) for s in range(0, m - m % WINDOW, WINDOW)]
-    pool = _Pool([(m % WINDOW, d, m - m % WINDOW) for d, m in enumerate(n) if m % WINDOW])
-    while pool.all:
-        length, d, start = pool.take(pool.longest())
-        window, gap = [(d, start, length)], WINDOW - length
-        while gap and pool.all:
-            if whole := pool.longest(gap):
-                length, d, start = pool.take(whole)
-                window.append((d, start, length))
-            elif gap <= SLACK:
-                break
-            elif x := pool.tail(gap):
-                length, d, start = pool.take(x)
-                window.append((d, start + length - gap, gap))
-                pool.add((length - gap, d, start))
-                length = gap
-            elif gap >= CUT:
-                length, d, start = pool.take(pool.longest())
-                head = gap - gap % CUT
-                window.append((d, start, head))
-                pool.add((length - head, d, start + head))
-                length = head
+class _Tiers:
+    """Remainders, each in the pool of the smallest tier that holds it."""
+
+    def __init__(self, items: list[tuple[int, int, int]]):
+        self.pools = {t: _Pool() for t in TIERS}
+        for x in sorted(items):
+            self.add(x)
+
+    def add(self, x: tuple) -> None:
+        self.pools[tier_of(x[0])].add(x)
+
+    def take(self, x: tuple) -> tuple:
+        return self.pools[tier_of(x[0])].take(x)
+
+    def longest(self, most: int) -> tuple | None:
+        return next((x for t in reversed(TIERS) if t // 2 < most or t == TIERS[0] if (x := self.pools[t].longest(most))), None)
+
+    def tail(self, gap: int) -> tuple | None:
+        return next((x for t in TIERS if t > gap if (x := self.pools[t].tail(gap))), None)
+
+    def fill(self, gap: int) -> list[tuple[int, int, int]]:
+        """Pieces (document, start, length) that close a gap, as far as that can be done."""
+        out = []
+        while gap:
+            if whole := self.longest(gap):
+                length, d, start = self.take(whole)
+            elif x := self.tail(gap):
+                rest, d, start = self.take(x)
+                self.add((rest - gap, d, start))
+                length, start = gap, start + rest - gap
+            elif gap >= CUT and (x := self.longest(WINDOW)):
+                rest, d, start = self.take(x)
+                length = gap - gap % CUT
+                self.add((rest - length, d, start + length))
             else:
                 break
+            out.append((d, start, length))
             gap -= length
-        out.append(window)
+        return out
+
+
+def pack(n: list[int]) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """(tier, its pieces: document, start, length) for each sequence; n: the documents' lengths."""
+    out = [(WINDOW, [(d, s, WINDOW)]) for d, m in enumerate(n) for s in range(0, m - m % WINDOW, WINDOW)]
+    tiers = _Tiers([(m % WINDOW, d, m - m % WINDOW) for d, m in enumerate(n) if m % WINDOW])
+    left: list[tuple[int, int, int]] = []
+    for tier in reversed(TIERS):
+        pool = tiers.pools[tier]
+        while pool.all:
+            length, d, start = pool.take(pool.all[-1])
+            window = [(d, start, length), *tiers.fill(tier - length)]
+            if sum(x[2] for x in window) >= tier - (SLACK if tier == WINDOW else 0):
+                out.append((tier, window))
+            else:
+                left += [(x[2], x[0], x[1]) for x in window]
+    rest = _Tiers(left)
+    while x := rest.longest(WINDOW):
+        length, d, start = rest.take(x)
+        out.append((WINDOW, [(d, start, length), *rest.fill(WINDOW - length)]))
     return out
 
 
-def steps(sequences: list[list[tuple]]) -> list[int]:
-    """A step group for each sequence: dealt there and back in order of tier and tokens."""
-    groups = -(-len(sequences) // STEP)
-    order = sorted(range(len(sequences)), key=lambda i: (tier_of(max(x[2] for x in sequences[i])), sum(x[2] for x in sequences[i])), reverse=True)
+def steps(sequences: list[tuple[int, list[tuple]]]) -> list[int]:
+    """A step group of about STEP windows' tokens for each sequence: dealt there and back in order of tier and tokens."""
+    tokens = [sum(x[2] for x in pieces) for _, pieces in sequences]
+    groups = max(1, sum(tokens) // (STEP * WINDOW))
     out = [0] * len(sequences)
-    for k, i in enumerate(order):
+    for k, i in enumerate(sorted(range(len(sequences)), key=lambda i: (sequences[i][0], tokens[i]), reverse=True)):
         lap, at = divmod(k, groups)
         out[i] = at if lap % 2 == 0 else groups - 1 - at
     return out
@@ -206,9 +251,9 @@ def pack_group(part: pd.DataFrame) -> pd.DataFrame:
     known = [array("I", x) for x in part["marks"]]
     base, rows = int(part["group"].iloc[0]) << 32, []
     sequences = pack(n)
-    for k, (sequence, step) in enumerate(zip(sequences, steps(sequences), strict=True)):
-        tier, offset = tier_of(max(x[2] for x in sequence)), 0
-        for d, start, length in sequence:
+    for k, ((tier, pieces), step) in enumerate(zip(sequences, steps(sequences), strict=True)):
+        offset = 0
+        for d, start, length in pieces:
             rows.append((ids[d], start, length, piece_crc(known[d], start, start + length), n[d], base + k, offset, tier, base + step))
             offset += length
     return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
@@ -218,7 +263,7 @@ def pack_documents(docs: DataFrame, path: str, group_docs: int = 4096, key: str
     """A row for each piece (see PIECES); group_docs: documents in a packing group, about."""
     known = stored(lengths(docs, path, key, text), "packing-lengths")
     groups = max(1, -(-known.count() // group_docs))
-    dealt = known.withColumn("group", F.pmod(F.xxhash64("doc_id", "n"), F.lit(groups)))
+    dealt = known.withColumn("group", F.pmod(F.xxhash64("doc_id", "n", "marks"), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(pack_group, PIECES)
 
 
