@@ -5,166 +5,260 @@ sentences. The identifiers found, in order, form a sequence; ordered rules are m
 against it and each rule takes the identifiers that it used, so that later rules see only
 what is left. Licence sentences that no rule explains are reported as such.
 
-Two cuts are tried: at sentence ends and line ends, and at sentence ends alone with the lines
-joined (a sentence wrapped over lines). Null and empty text: no sentences, no licences.
-Repeated rows and other columns pass through. No shuffle; the tables are fixed literals.
+Comment marks at line starts are dropped. Sentences end at stops, at blank lines and at colons before a line end;
+line ends inside one may be wrapping or not. So a sentence is looked up whole; if that finds
+nothing, each of its lines is, and what lines are left is looked up joined. All that is found counts, in order of place (lines
+found by themselves before the joined rest of their sentence).
+
+Null and empty text: no sentences, no licences. Texts of any length are looked at whole. A sentence that fits several patterns
+(a tie) has the first. Repeated rows and all other columns, whatever their names, pass through. No shuffle; the tables are fixed literals.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Identifier -> normalised sentence, as a pattern on lower-case words.
-SENTENCES = {
-    "Apache2": r"(?:this (?:file|work|software|project|code) is )?licensed under the apache license,? version 2(?:\.0)?(?: \(the license\))?",
+from tallyforge.llm.common import let, table
+
+_THIS, _GIVEN = r"(?:th(?:is|e) (?:file|work|software|project|code|program|library|text|source code|package|module) is )?", r"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?"
+_LATER = r"[,;]? ?(?:either )?(?:version|v) ?{v}(?:\.0)?(?: of the license)?,? or \(?(?:at your option\)? )?any later version.*"
+_GNU = {"GPL": ("general", ("2", "3")), "LGPL": ("(?:lesser|library) general", ("2", "2\\.1", "3")), "AGPL": ("affero general", ("3",))}
+_FIXED = {
+    "Apache2": _THIS + _GIVEN + r"apache(?: license)?,? (?:version |v ?)?2(?:\.0)?(?: \(the license\))?(?:[;,].*)?",
+    "ApacheTitle": r"apache license,? version 2\.0(?:, january 2004)?(?: http.*)?",
     "ApacheUse": r"you may not use this file except in compliance with the license",
     "ApacheCopy": r"you may obtain a copy of the license at(?: .*)?",
     "AsIsLicense": r"unless required by applicable law or agreed to in writing,? software distributed under the license is distributed on an as is basis,? without warranties or conditions of any kind,? either express or implied",
     "SeeLicense": r"see the license for the specific language governing permissions and limitations under the license",
-    "MITref": r"(?:this (?:file|work|software|project|code) is )?(?:released|licensed|distributed|available) under the (?:terms of the )?mit license",
+    "MITref": _THIS + _GIVEN + r"mit(?:/x11)? license(?: \(mit\))?",
+    "MITtitle": r"(?:the )?mit license(?: \(mit\))?",
     "MITgrant": r"permission is hereby granted,? free of charge,? to any person obtaining a copy of this software and associated documentation files \(the software\),? to deal in the software without restriction.*",
-    "MITnotice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "MITnotice": r"the above copyright notice and this permission notice(?: \(including the next paragraph\))? shall be included in all copies or substantial portions of the software",
     "MITasis": r"the software is provided as is,? without warranty of any kind.*",
-    "GPLref": r"(?:this (?:file|work|software|project|code|program) is )?(?:licensed|released|distributed) under the (?:terms of the )?gnu general public license,? (?:version|v) ?(?P<v>[23])(?:\.0)?(?: only)?",
-    "GPLgrant": r"this program is free software:? you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation,? either version [23] of the license,? or \(at your option\) any later version",
-    "GPLhope": r"this program is distributed in the hope that it will be useful,? but without any warranty.*",
-    "LGPLref": r"(?:this (?:file|work|software|project|code|library) is )?(?:licensed|released|distributed) under the (?:terms of the )?gnu lesser general public license,? (?:version|v) ?(?:2\.1|3)(?:\.0)?",
-    "AGPLref": r"(?:this (?:file|work|software|project|code) is )?(?:licensed|released|distributed) under the (?:terms of the )?gnu affero general public license,? (?:version|v) ?3(?:\.0)?",
-    "CCBYNC4": r"(?:this (?:file|work|text) is )?licensed under (?:a )?(?:cc by-nc 4\.0|creative commons attribution-noncommercial 4\.0 international license)",
-    "CCBYNCSA4": r"(?:this (?:file|work|text) is )?licensed under (?:a )?(?:cc by-nc-sa 4\.0|creative commons attribution-noncommercial-sharealike 4\.0 international license)",
-    "CCBYSA4": r"(?:this (?:file|work|text) is )?licensed under (?:a )?(?:cc by-sa 4\.0|creative commons attribution-sharealike 4\.0 international license)",
-    "CCBY4": r"(?:this (?:file|work|text) is )?licensed under (?:a )?(?:cc by 4\.0|creative commons attribution 4\.0 international license)",
-    "CC0": r"(?:this (?:file|work|text) is )?(?:dedicated to the public domain under|released under|licensed under) cc0(?: 1\.0)?(?: universal)?",
-    "BSDref": r"(?:this (?:file|work|software|project|code) is )?(?:licensed|released|distributed) under the (?:terms of the )?(?:[23]-clause )?bsd license",
+    "MITliable": r"in no event shall the authors or copyright holders be liable for any claim,? damages or other liability.*",
+    "BSDref": _THIS + _GIVEN + r"(?:(?:new |modified |simplified )?bsd license|bsd-style license.*)",
+    "BSD2ref": _THIS + _GIVEN + r"(?:2-clause bsd license|bsd 2-clause license.*)",
+    "BSD3ref": _THIS + _GIVEN + r"(?:3-clause bsd license|bsd 3-clause license.*)",
+    "BSDtitle": r"(?:the )?bsd [23]-clause (?:simplified |new or revised |new |revised )?license",
     "BSDgrant": r"redistribution and use in source and binary forms,? with or without modification,? are permitted provided that the following conditions are met:?",
     "BSDsource": r"(?:\d\. )?redistributions of source code must retain the above copyright notice,? this list of conditions and the following disclaimer",
     "BSDbinary": r"(?:\d\. )?redistributions in binary form must reproduce the above copyright notice,? this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
-    "BSDnames": r"(?:\d\. )?neither the name of .* may be used to endorse or promote products derived from this software without specific prior written permission",
+    "BSDnames": r"(?:\d\. )?neither the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission",
     "BSDasis": r"this software is provided by .* as is and any express or implied warranties.*",
-    "MPL2": r"this source code form is subject to the terms of the mozilla public license,? v\. 2\.0",
+    "BSDliable": r"in no event shall .* be liable for any direct,? indirect,? incidental,? special.*",
+    "MPL2": r"this source code form is subject to the terms of the mozilla public license,? v ?2\.0",
+    "MPL2ref": _THIS + _GIVEN + r"mozilla public license,? (?:version |v ?)?2\.0",
+    "MPLtitle": r"mozilla public license,? version 2\.0",
     "MPLcopy": r"if a copy of the mpl was not distributed with this file,? you can obtain one at .*",
-    "ISCgrant": r"permission to use,? copy,? modify,? and/or distribute this software for any purpose with or without fee is hereby granted.*",
+    "ISCref": _THIS + _GIVEN + r"isc license",
+    "ISCtitle": r"(?:the )?isc license(?: \(isc\))?",
+    "ISCgrant": r"permission to use,? copy,? modify,? and/or distribute this software for any purpose with or without fee is hereby granted,? provided that the above copyright notice and this permission notice appear in all copies",
+    "ISCasis": r"the software is provided as is and .* disclaims all warranties.*",
+    "CC0": r"(?:this (?:file|work|text) is )?(?:dedicated to the public domain under|released under|licensed under) cc0(?: 1\.0)?(?: universal)?",
     "Unlicense": r"this is free and unencumbered software released into the public domain",
-    "Reserved": r"all rights reserved",
-    "Copyright": r"copyright (?:\(c\)|©)? ?(?:\d{4}.*)",
+    "GNUhope": r"this (?:program|library) is distributed in the hope that it will be useful,? but without any warranty.*",
+    "GNUsee": r"see the gnu (?:lesser |library |affero )?general public license for more details",
+    "GNUcopy": r"you should have received a copy of the gnu (?:lesser |library |affero )?general public license.*",
+    "Reserved": r"(?:copyright .*)?all rights reserved",
+    "Copyright": r"(?:portions )?copyright (?:\(c\)|©)? ?(?:\d{4}|<year>|\[yyyy\]).*",
 }
-# Ordered rules, identifier sequence -> licence; ? marks identifiers that may be absent.
+_CC = {"BY": "attribution", "BY-SA": "attribution-sharealike", "BY-NC": "attribution-noncommercial", "BY-ND": "attribution-noderivatives", "BY-NC-SA": "attribution-noncommercial-sharealike", "BY-NC-ND": "attribution-noncommercial-noderivatives"}
+_CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+
+
+def _known() -> dict[str, str]:
+    """identifier -> pattern of the normalised sentence; those of families of licences and versions are made from a rule."""
+    out = dict(_FIXED)
+    for name, (words, versions) in _GNU.items():
+        for v in versions:
+            tag, public = f"{name}{v.replace(chr(92), '')}", rf"gnu {words} public license"
+            later = _LATER.format(v=v)
+            out[f"{tag}grant"] = rf"(?:this (?:program|library|file|software)|[^ ]+(?: [^ ]+)?) is free software[:;]? you can redistribute it and/or modify it under the terms of the {public} as published by the free software foundation{later}"
+            out[f"{tag}only"] = rf"(?:this (?:program|library|file|software)|[^ ]+(?: [^ ]+)?) is free software[:;]? you can redistribute it and/or modify it under the terms of the {public},? (?:version {v}(?:\.0)?,? )?as published by the free software foundation(?:[,;]? version {v}(?:\.0)?(?: of the license)?)?"
+            out[f"{tag}laterref"] = rf"{_THIS}{_GIVEN}{public}{later}"
+            out[f"{tag}ref"] = rf"{_THIS}{_GIVEN}{public},? (?:version|v) ?{v}(?:\.0)?(?: only)?"
+            out[f"{tag}title"] = rf"{public},? version {v}(?:\.0)?,? \d* ?[a-z]+ \d{{4}}"
+    for short, words in _CC.items():
+        for v in _CC_VERSIONS:
+            dotted = v.replace(".", r"\.")
+            out[f"CC{short}{v}"] = rf"(?:this (?:file|work|text|document) is )?licensed under (?:a |the )?(?:cc {short.lower()} {dotted}|creative commons {words} {dotted}(?: (?:international|unported|generic))?(?: license)?)"
+    return out
+
+
+def _spdx() -> list[str]:
+    gnu = [f"{n}-{v.replace(chr(92), '')}{'' if '.' in v else '.0'}-{how}" for n, (_, vs) in _GNU.items() for v in vs for how in ("or-later", "only")]
+    return [*gnu, *(f"CC-{s}-{v}" for s in _CC for v in _CC_VERSIONS), "Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "CC0-1.0", "Unlicense"]
+
+
+def _made_rules() -> tuple:
+    """Rules of the families: a grant with what goes with it, else a reference or title."""
+    gnu = []
+    for name, (_, versions) in _GNU.items():
+        for v in versions:
+            tag, shown = f"{name}{v.replace(chr(92), '')}", f"{name}-{v.replace(chr(92), '')}{'' if '.' in v else '.0'}"
+            gnu += [((f"{tag}grant", "GNUhope?", "GNUsee?", "GNUcopy?"), f"{shown}-or-later"), ((f"{tag}laterref", "GNUhope?"), f"{shown}-or-later")]
+            gnu += [((f"{tag}only", "GNUhope?", "GNUsee?", "GNUcopy?"), f"{shown}-only"), ((f"{tag}ref", "GNUhope?"), f"{shown}-only"), ((f"{tag}title",), shown)]
+    return (*gnu, *(((f"CC{s}{v}",), f"CC-{s}-{v}") for s in _CC for v in _CC_VERSIONS), *(((f"SPDX:{x}",), x) for x in _spdx()))
+
+
+#: identifier -> normalised sentence, as a pattern on lower-case words.
+SENTENCES = {f"SPDX:{x}": r"spdx-license-identifier: \(?" + x.lower().replace(".", r"\.").replace("-or-later", r"(?:-or-later|\+)").replace("-only", "(?:-only)?") + r"\)?" for x in _spdx()} | _known()
+# Ordered rules, identifier sequence -> licence; ? marks identifiers that may be absent. A title alone counts where no sentence of its licence follows.
 RULES = (
-    (("Apache2", "ApacheUse", "ApacheCopy", "AsIsLicense?", "SeeLicense?"), "Apache-2.0"),
+    (("Apache2", "ApacheUse", "ApacheCopy?", "AsIsLicense?", "SeeLicense?"), "Apache-2.0"),
     (("Apache2",), "Apache-2.0"),
-    (("MITgrant", "MITnotice?", "MITasis?"), "MIT"),
+    (("ApacheTitle",), "Apache-2.0"),
+    (("MITtitle?", "Copyright?", "Reserved?", "MITgrant", "MITnotice?", "MITasis?", "MITliable?"), "MIT"),
     (("MITref",), "MIT"),
-    (("GPLgrant", "GPLhope?"), "GPL-or-later"),
-    (("LGPLref",), "LGPL"),
-    (("AGPLref",), "AGPL-3.0"),
-    (("GPLref", "GPLhope?"), "GPL"),
-    (("BSDgrant", "BSDsource", "BSDbinary", "BSDnames", "BSDasis?"), "BSD-3-Clause"),
-    (("BSDgrant", "BSDsource", "BSDbinary", "BSDasis?"), "BSD-2-Clause"),
+    (("MITtitle",), "MIT"),
+    (("BSDtitle?", "Copyright?", "Reserved?", "BSDgrant", "BSDsource", "BSDbinary", "BSDnames", "BSDasis?", "BSDliable?"), "BSD-3-Clause"),
+    (("BSDtitle?", "Copyright?", "Reserved?", "BSDgrant", "BSDsource", "BSDbinary", "BSDasis?", "BSDliable?"), "BSD-2-Clause"),
+    (("BSD3ref",), "BSD-3-Clause"),
+    (("BSD2ref",), "BSD-2-Clause"),
     (("BSDref",), "BSD"),
     (("MPL2", "MPLcopy?"), "MPL-2.0"),
-    (("ISCgrant",), "ISC"),
-    (("CCBYNCSA4",), "CC-BY-NC-SA-4.0"),
-    (("CCBYNC4",), "CC-BY-NC-4.0"),
-    (("CCBYSA4",), "CC-BY-SA-4.0"),
-    (("CCBY4",), "CC-BY-4.0"),
+    (("MPL2ref",), "MPL-2.0"),
+    (("MPLtitle",), "MPL-2.0"),
+    (("ISCtitle?", "Copyright?", "ISCgrant", "ISCasis?"), "ISC"),
+    (("ISCref",), "ISC"),
+    (("ISCtitle",), "ISC"),
     (("CC0",), "CC0-1.0"),
     (("Unlicense",), "Unlicense"),
+    *_made_rules(),
     (("Reserved",), "Proprietary"),
 )
 #: Every known sentence has one of these, and so has any text that is looked at further.
-ANCHOR = r"(?i)licen[sc]e|copyright|permission|redistribution|warrant|free software|rights reserved|cc0|public domain"
+ANCHOR = r"licen[sc]e|copyright|permission|redistribution|warrant|free software|rights reserved|cc0|public domain|liable|mpl was not|neither the name|any later version|cc by"
+
+#: What is done to a text before it is cut, in order; \x01 marks a sentence's end.
+CUTS = (
+    (r"\r\n?", "\n"),
+    (r"(?:^|\n)[ \t/*#;!>%-]+", "\n"),
+    (r"(?i)\bv\.\s+([0-9])", "v$1"),
+    (r"(?i)(spdx-license-identifier:\s*\(?[a-z0-9.+-]+\)?)[ \t]+(?:or|and)[ \t]+", "$1\x01SPDX-License-Identifier: "),
+    (r"(?i)(spdx-license-identifier:\s*\(?[a-z0-9.+-]+\)?)[ \t]+(?:or|and)[ \t]+", "$1\x01SPDX-License-Identifier: "),
+    (r"\n\s*\n", "\x01"),
+    (r":[ \t]*\n", "\x01"),
+    (r"([.!?])\s+", "$1\x01"),
+)
+#: And to a sentence or line, after lower-casing.
+NORMALISE = ((r"^[\s/*#;!-]+|[\"“”'`*]|[\s.;!?:/*-]+$", ""), (r"\s+", " "))
 
 
 def normalised(sentence: Column) -> Column:
     """Lower case, no comment marks or quotes, one space between words, no stop at the end."""
-    s = F.regexp_replace(F.lower(sentence), r"^[\s/*#;!-]+|[\"'`*]|[\s.;!?]+$", "")
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    s = F.lower(sentence)
+    for pattern, new in NORMALISE:
+        s = F.regexp_replace(s, pattern, new)
+    return F.trim(s)
 
 
-def _sentences(text: Column, by_line: bool) -> Column:
-    t = text if by_line else F.regexp_replace(text, r"\s*\n[\s/*#;!-]*", " ")
-    ends = r"[\n\r]+|(?<=[.!?;])\s+" if by_line else r"(?<=[.!?;])\s+"
-    return F.filter(F.transform(F.split(t, ends, -1), normalised), lambda s: s != "")
+def _sentences(text: Column) -> Column:
+    """Sentences of text, as written, line ends in them kept."""
+    for pattern, new in CUTS:
+        text = F.regexp_replace(text, pattern, new)
+    return F.split(text, "\x01", -1)
 
 
 def _identifier(sentence: Column, sentences: dict) -> Column:
-    """The first known identifier whose pattern fits the whole sentence; null if none does."""
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(sentences.items()):
-        out = F.when(sentence.rlike(f"^(?:{pattern.replace('(?P<v>', '(?:')})$"), F.lit(name)).otherwise(out)
-    return F.when(sentence.rlike(ANCHOR), out)
+    """The first known identifier whose pattern fits the whole normalised sentence; null if none does."""
+
+    def first(s: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, pattern in reversed(sentences.items()):
+            out = F.when(s.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
+        return F.when(s.rlike(ANCHOR), out)
+
+    return let(normalised(sentence), first)
+
+
+def _found(sentence: Column, sentences: dict) -> Column:
+    """Identifiers in a sentence: its own, else those of its lines and of what lines are left, joined."""
+    none = F.array().cast("array<string>")
+    one = lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(none)
+
+    def by_line(lines: Column) -> Column:
+        named = F.transform(lines, lambda x: F.struct(x.alias("line"), _identifier(x, sentences).alias("id")))
+
+        def put(all_lines: Column) -> Column:
+            known = F.filter(all_lines, lambda y: y["id"].isNotNull())
+            left = F.array_join(F.transform(F.filter(all_lines, lambda y: y["id"].isNull()), lambda y: y["line"]), " ")
+            return F.concat(F.transform(known, lambda y: y["id"]), F.when(F.size(known) > 0, one(_identifier(left, sentences))).otherwise(none))
+
+        return let(named, put)
+
+    whole = lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(let(F.split(sentence, "\n", -1), by_line))
+    return F.when(F.lower(sentence).rlike(ANCHOR), let(_identifier(sentence, sentences), whole)).otherwise(none)
 
 
 def _rule_pattern(parts: tuple) -> str:
-    return "(?<= )" + "".join(f"(?:{p[:-1]} )?" if p.endswith("?") else f"{p} " for p in parts)
+    each = (p.replace(".", r"\.") for p in parts)
+    return "(?<= )" + "".join(f"(?:{p[:-1]} )?" if p.endswith("?") else f"{p} " for p in each)
 
 
 def recognise(docs: DataFrame, text: str = "text", sentences: dict = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """docs with ``licence_sentences`` (identifiers in order), ``licences`` (sorted, distinct) and ``licence_unmatched`` (identifiers no rule used)."""
-    t = F.col(text)
-
-    def ids(by_line: bool) -> Column:
-        found = F.transform(_sentences(t, by_line), lambda s: _identifier(s, sentences))
-        return F.filter(found, lambda i: i.isNotNull())
-
-    none = F.array().cast("array<string>")
-    worth = F.coalesce(t.rlike(ANCHOR), F.lit(False))
-    out = docs.withColumn("_a", F.when(worth, ids(True)).otherwise(none)).withColumn("_b", F.when(worth, ids(False)).otherwise(none))
-    out = out.withColumn("licence_sentences", F.when(F.size("_b") > F.size("_a"), F.col("_b")).otherwise(F.col("_a"))).drop("_a", "_b")
-    state = F.struct(F.concat(F.lit(" "), F.array_join("licence_sentences", " "), F.lit(" ")).alias("left"), none.alias("names"))
-    table = F.array(*(F.struct(F.lit(_rule_pattern(parts)).alias("p"), F.lit(name).alias("n")) for parts, name in rules))
+    t, none = F.col(text).cast("string"), F.array().cast("array<string>")
+    worth = F.coalesce(F.lower(t).rlike(ANCHOR), F.lit(False))
+    ids = F.when(worth, F.flatten(F.transform(_sentences(t), lambda s: _found(s, sentences)))).otherwise(none)
+    out = docs.withColumn("licence_sentences", ids)
+    table_of_rules = F.array(*(F.struct(F.lit(_rule_pattern(parts)).alias("p"), F.lit(name).alias("n")) for parts, name in rules))
 
     def apply(acc: Column, rule: Column) -> Column:
         hit = F.regexp_like(acc["left"], rule["p"])
         return F.struct(F.when(hit, F.call_function("regexp_replace", acc["left"], rule["p"], F.lit("_ "))).otherwise(acc["left"]).alias("left"), F.when(hit, F.array_append(acc["names"], rule["n"])).otherwise(acc["names"]).alias("names"))
 
-    found = F.when(F.size("licence_sentences") > 0, F.aggregate(table, state, apply))
-    rest = F.filter(F.split(F.trim(F.regexp_replace(F.col("_hit.left"), "_", "")), " +"), lambda x: (x != "") & (x != "Copyright"))
-    return (
-        out.withColumn("_hit", found)
-        .withColumn("licences", F.coalesce(F.array_sort(F.array_distinct(F.col("_hit.names"))), none))
-        .withColumn("licence_unmatched", F.coalesce(rest, none))
-        .drop("_hit")
-    )
+    def matched(found: Column) -> Column:
+        state = F.struct(F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" ")).alias("left"), none.alias("names"))
 
+        def shown(end: Column) -> Column:
+            rest = F.filter(F.split(F.trim(F.regexp_replace(end["left"], "_", "")), " +"), lambda x: (x != "") & (x != "Copyright"))
+            return F.struct(F.array_sort(F.array_distinct(end["names"])).alias("names"), rest.alias("rest"))
 
-def op3_licences(spark, sf_dir: str) -> DataFrame:
-    from tallyforge.llm.common import table
+        return F.when(F.size(found) > 0, let(F.aggregate(table_of_rules, state, apply), shown)).otherwise(F.struct(none.alias("names"), none.alias("rest")))
+
+    hit = let(F.col("licence_sentences"), matched)
+    return out.withColumn("licences", hit).withColumn("licence_unmatched", F.col("licences.rest")).withColumn("licences", F.col("licences.names"))
 
+
+def op3_licences(spark, sf_dir: str) -> DataFrame:
     found = recognise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("licences", "licence_sentences", "licence_unmatched")), F.size("licences").cast("long").alias("n_licences"))
 
 
 def oracle(sentences: dict = SENTENCES, rules: tuple = RULES) -> str:
-    """The same in DuckDB SQL: sentences unnested with their places, identifiers by the same patterns, rules in order."""
+    """The same in DuckDB SQL: sentences and lines unnested with their places, identifiers by the same patterns, rules in order."""
     esc = lambda s: s.replace("'", "''")
     whens = " ".join(f"WHEN regexp_full_match(s, '{esc(p)}') THEN '{k}'" for k, p in sentences.items())
-    norm = r"""trim(regexp_replace(regexp_replace(lower(s), '^[\s/*#;!-]+|["''`*]|[\s.;!?]+$', '', 'g'), '\s+', ' ', 'g'))"""
+    identifier = f"CASE WHEN regexp_matches(s, '{ANCHOR}') THEN (CASE {whens} END) END"
+    literal = lambda p: "'" + esc(p).replace("\x01", "' || chr(1) || '").replace("\n", "' || chr(10) || '") + "'"
 
-    def cut(name: str, t: str, ends: str) -> str:
-        return (
-            f"{name}_s AS (SELECT doc_id, i, {norm.replace('(s)', '(s[i])')} AS s FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, "
-            f"string_split_regex(regexp_replace({t}, '([.!?;])\\s+', '\\1' || chr(1), 'g'), '{ends}') AS s FROM worth))), "
-            f"{name} AS (SELECT doc_id, list(id ORDER BY i) AS ids FROM (SELECT doc_id, i, CASE WHEN regexp_matches(s, '{ANCHOR}') THEN (CASE {whens} END) END AS id FROM {name}_s) WHERE id IS NOT NULL GROUP BY doc_id)"
-        )
+    def normal(s: str) -> str:
+        s = f"lower({s})"
+        for pattern, new in NORMALISE:
+            s = f"regexp_replace({s}, '{esc(pattern)}', '{new}', 'g')"
+        return f"trim({s})"
 
-    steps, last = [], "seqs"
+    cut = "text"
+    for pattern, new in CUTS:
+        cut = f"regexp_replace({cut}, '{esc(pattern)}', {literal(new.replace('$1', chr(92) + '1'))}, 'g')"
+    ctes = [
+        f"worth AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE regexp_matches(lower(text), '{ANCHOR}'))",
+        f"cut AS (SELECT r, unnest(p) AS raw, generate_subscripts(p, 1) AS i FROM (SELECT r, string_split({cut}, chr(1)) AS p FROM worth))",
+        f"whole AS (SELECT r, i, raw, {identifier} AS id FROM (SELECT r, i, raw, {normal('raw')} AS s FROM cut WHERE regexp_matches(lower(raw), '{ANCHOR}')))",
+        f"lines AS (SELECT r, i, j, line, {identifier} AS id FROM (SELECT r, i, j, line, {normal('line')} AS s FROM (SELECT r, i, unnest(p) AS line, generate_subscripts(p, 1) AS j FROM (SELECT r, i, string_split(raw, chr(10)) AS p FROM whole WHERE id IS NULL))))",
+        f"rest AS (SELECT r, i, {identifier} AS id FROM (SELECT r, i, {normal('l')} AS s FROM (SELECT r, i, string_agg(line, ' ' ORDER BY j) FILTER (WHERE id IS NULL) AS l FROM lines GROUP BY r, i HAVING count(id) > 0)))",
+        "found AS (SELECT r, i, 0 AS j, id FROM whole UNION ALL SELECT r, i, j, id FROM lines UNION ALL SELECT r, i, 1000000000, id FROM rest)",
+        "seqs AS (SELECT r, ids, ' ' || array_to_string(ids, ' ') || ' ' AS l, []::VARCHAR[] AS names FROM (SELECT r, list(id ORDER BY i, j) AS ids FROM found WHERE id IS NOT NULL GROUP BY r))",
+    ]
+    last = "seqs"
     for k, (parts, name) in enumerate(rules):
         p = esc(_rule_pattern(parts).replace("(?<= )", " "))
-        steps.append(f"r{k} AS (SELECT doc_id, ids, CASE WHEN regexp_matches(l, '{p}') THEN regexp_replace(l, '{p}', ' _ ', 'g') ELSE l END AS l, CASE WHEN regexp_matches(l, '{p}') THEN list_append(names, '{name}') ELSE names END AS names FROM {last})")
+        ctes.append(f"r{k} AS (SELECT r, ids, CASE WHEN regexp_matches(l, '{p}') THEN regexp_replace(l, '{p}', ' _ ', 'g') ELSE l END AS l, CASE WHEN regexp_matches(l, '{p}') THEN list_append(names, '{name}') ELSE names END AS names FROM {last})")
         last = f"r{k}"
-    ctes = [
-        f"worth AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '{ANCHOR}'))",
-        cut("a", "text", "[\\n\\r]+|' || chr(1) || '"),
-        cut("b", "regexp_replace(text, '\\s*\\n[\\s/*#;!-]*', ' ', 'g')", "' || chr(1) || '"),
-        "seqs AS (SELECT doc_id, ids, ' ' || array_to_string(ids, ' ') || ' ' AS l, []::VARCHAR[] AS names FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN coalesce(len(b.ids), 0) > coalesce(len(a.ids), 0) THEN b.ids ELSE a.ids END AS ids FROM a FULL JOIN b ON a.doc_id = b.doc_id))",
-        *steps,
-    ]
     return (
         f"WITH {', '.join(ctes)} SELECT d.doc_id, coalesce(array_to_string(list_sort(list_distinct(names)), ','), '') AS licences, coalesce(array_to_string(ids, ','), '') AS licence_sentences, "
         "coalesce(array_to_string(list_filter(string_split_regex(trim(replace(l, '_', '')), ' +'), lambda x: x <> '' AND x <> 'Copyright'), ','), '') AS licence_unmatched, "
-        f"coalesce(len(list_distinct(names)), 0)::BIGINT AS n_licences FROM documents d LEFT JOIN {last} USING (doc_id)"
+        f"coalesce(len(list_distinct(names)), 0)::BIGINT AS n_licences FROM documents d LEFT JOIN worth USING (doc_id) LEFT JOIN {last} f ON f.r = worth.r"
     )
