@@ -6,10 +6,11 @@ letters, three- and four-letter windows (hashed, with the word's edges). Viterbi
 the labelling of the text's words with the best sum less PENALTY for each change of language. A
 text's language is the one with most letters in it.
 
-The model comes from at most MOST_TRAIN documents of each language, by a hash of their ids (so few that
-each task drops the rest before the shuffle), counted in Spark; it has BUCKETS rows and one column for each language. Null text and text without
+The model comes from about MOST_TRAIN documents of each language (the share of its documents that gives so many, by a hash of
+their ids: no task holds a language's rows), counted in Spark; it has BUCKETS rows and one column for each language, 256 KB. Null text and text without
 letters: ``und``, score 0, no spans. Without any training text all is ``und``. Ties go to the
-language that sorts first. Repeated rows are labelled alike.
+language that sorts first. Repeated rows are labelled alike. Texts of any length are labelled whole. Columns other than the id, text and language aren't
+looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import table
@@ -75,10 +75,9 @@ class Model:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MOST_TRAIN) -> Model:
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))
-    ids = rows.select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(key).alias("h")).withColumn("r", place).where(f"r <= {most}")
-    sample = rows.select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids.select("id", "lang").distinct()), ["id", "lang"])
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("h"))
+    share = rows.groupBy("lang").agg(F.ceil(F.lit(float(1 << 30) * most) / F.count("*")).alias("below"))  # a row for each language
+    sample = rows.join(F.broadcast(share), "lang").where("h < below")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         script = _tables()["script"]

@@ -3,13 +3,14 @@
 A word's vector is the sum of a row for its hash and one for its first letters' hash. Filters
 of several widths run over the words; each filter's maximum over the whole text feeds one
 output. The net is trained in numpy, on the driver, on a bounded sample of labelled documents
-(MOST_LABELLED of each label, by a hash of their ids) that arrives as hashed words. A fifth of
+(MOST_LABELLED of each label, by a hash of their ids, less those of over MOST_CHARS characters, so that it is 262 MB at the very most) that arrives as hashed words. A fifth of
 the sample is held back: on it a threshold is set for each language, as guessed from the words
 (naive Bayes over first letters, learned from the same sample), and scores are moved so that
 the threshold of each language lies at CUT.
 
 Null and empty texts have no words; they score as a text without any evidence. Texts of any
-length are scored whole, in blocks. Repeated rows score alike. With under LEAST_LABELLED rows of either label in
+length are scored whole, in blocks that give the same score as one piece. Repeated rows score alike; rows with equal hashes of
+their ids (ties) are taken in order of id. Other columns pass through, but one with the score's name is replaced. With under LEAST_LABELLED rows of either label in
 the sample every score is zero. Languages of fewer than LEAST_CALIBRATED held-back positives take the threshold
 of all languages.
 """
@@ -30,8 +31,9 @@ from tallyforge.llm.common import BATCH as PIECE
 from tallyforge.llm.common import table
 
 WORD_BITS, PREFIX_BITS, PREFIX = 16, 14, 4
-WIDTHS, FILTERS, DIM, PAD = (1, 2, 3), 12, 16, 2
-MOST_LABELLED, LEAST_LABELLED, CUT, LEAST_CALIBRATED = 4000, 10, 0.3, 20
+WIDTHS, FILTERS, DIM = (1, 2, 3), 12, 16
+PAD = max(WIDTHS)  # empty places after a document: windows that begin in it, or right after it, reach into no other
+MOST_LABELLED, MOST_CHARS, LEAST_LABELLED, CUT, LEAST_CALIBRATED = 4000, 16_384, 10, 0.3, 20
 EPOCHS, BATCH, RATE, BLOCK = 6, 32, 0.05, 1 << 15
 _WORDS, _KEPT = re.compile(r"\w+"), 200_000
 _CACHE: dict[str, int] = {}
@@ -94,31 +96,29 @@ class Net:
 
     def raw(self, docs: list[np.ndarray]) -> np.ndarray:
         """The output for each document before any threshold; whole documents, in blocks of about BLOCK words."""
-        out = np.empty(len(docs), np.float32)
-        pending: list[np.ndarray] = []
-        owners: list[int] = []
+        pending: list[tuple[int, np.ndarray, int]] = []  # document, words, places whose windows count
         tops = np.full((len(docs), len(self.out)), -np.inf, np.float32)
 
         def flush() -> None:
             if pending:
-                z, starts, _, _ = self.responses(pending)
-                np.maximum.at(tops, owners, np.maximum.reduceat(z, starts, axis=0))
+                z, starts, _, _ = self.responses([d for _, d, _ in pending])
+                for (i, _, places), at in zip(pending, starts.tolist(), strict=True):
+                    np.maximum(tops[i], z[at : at + places].max(axis=0), out=tops[i])
                 pending.clear()
-                owners.clear()
 
         held = 0
         for i, d in enumerate(docs):
             for s in range(0, max(len(d), 1), BLOCK):
-                part = d[s : s + BLOCK + PAD]
-                pending.append(part)
-                owners.append(i)
+                # a block carries the words that its last windows reach into; windows that begin in those belong to the next block
+                last = s + BLOCK >= len(d)
+                part = d[s : s + BLOCK + PAD - 1]
+                pending.append((i, part, len(part) + 1 if last else BLOCK))
                 held += len(part)
                 if held >= BLOCK:
                     flush()
                     held = 0
         flush()
-        out[:] = np.maximum(tops + self.shift, 0) @ self.out + self.bias
-        return out
+        return np.maximum(tops + self.shift, 0) @ self.out + self.bias
 
     def language(self, docs: list[np.ndarray]) -> np.ndarray:
         if self.priors is None:
@@ -146,7 +146,7 @@ class Net:
             for begin in range(0, len(order), BATCH):
                 some = order[begin : begin + BATCH]
                 z, starts, sizes, x = self.responses([docs[i] for i in some])
-                best = np.stack([s + z[s : s + n].argmax(axis=0) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+                best = np.stack([s + z[s : s + n - PAD + 1].argmax(axis=0) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
                 top = np.take_along_axis(z, best.reshape(-1, len(k)), axis=0) + self.shift
                 pooled = np.maximum(top, 0)
                 p = 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.bias, -30, 30)))
@@ -215,7 +215,7 @@ def best_threshold(z: np.ndarray, labels: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Net:
-    """Fits on at most `most` documents of each label. labels: (key, toxic)."""
+    """Fits on at most `most` documents of each label, of up to MOST_CHARS characters. labels: (key, toxic)."""
     marked = labels.where(F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col(key).alias("_id")).agg(F.max("toxic").alias("toxic"))
     ids = [marked.where(f"toxic = {y}").orderBy(F.xxhash64("_id"), "_id").limit(most) for y in (0, 1)]
     sample = F.broadcast(ids[0].unionByName(ids[1]))  # 2 * most rows
@@ -225,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, key: st
             x = [features(t.as_py()).tobytes() for t in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(x, pa.binary())], ["id", "toxic", "lang", "x"])
 
-    rows = docs.join(sample, F.col(key) == F.col("_id")).select(F.col("_id").cast("long").alias("id"), F.col("toxic").cast("int"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    rows = docs.where(F.length(text) <= MOST_CHARS).select(key, text, lang).join(sample, F.col(key) == F.col("_id")).select(F.col("_id").cast("long").alias("id"), F.col("toxic").cast("int"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     found = sorted({(r.id, r.x): r for r in rows.mapInArrow(run, "id long, toxic int, lang string, x binary").collect()}.values(), key=lambda r: (r.id, r.x))
     net, x, y = Net.fresh(), [np.frombuffer(r.x, np.int32) for r in found], np.array([r.toxic for r in found], np.float32)
     if min((y == 1).sum(), (y == 0).sum()) < LEAST_LABELLED:

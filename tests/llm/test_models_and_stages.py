@@ -133,3 +133,37 @@ def test_stages_take_empty_tables(spark, empty_dir):
 
 def test_pipeline_runs(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_long_texts_score_as_one_piece(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    net, docs = toxicity.Net.fresh(), [r.integers(0, 1 << 30, n).astype(np.int32) for n in (0, 1, 3, 4, 5, 6, 8, 9, 31, 400)]
+    whole = net.raw(docs)
+    for block in (1, 2, 4, 7):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        assert np.allclose(net.raw(docs), whole, atol=1e-5)
+
+
+TABLES = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(TABLES), reason="needs the given tables")
+def test_queries_on_held_out_rows(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "lang")
+    found = langid.op4_langid(spark, TABLES).join(docs, "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
+    right = found.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
+    assert right[0] > 250 and right[1] >= 0.97 * right[0]
+    marks = spark.read.parquet(f"{TABLES}/labels.parquet").select("doc_id", "toxic")
+    x = toxicity.op8_toxicity(spark, TABLES).join(marks, "doc_id").where("held_out").collect()
+    hits = sum(r.predicted and r.toxic for r in x)
+    assert hits >= 0.5 * sum(r.toxic for r in x) and hits >= 0.5 * sum(r.predicted for r in x)
+
+
+def test_scores_do_not_depend_on_neighbours():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    net, docs = toxicity.Net.fresh(), [r.integers(0, 1 << 30, n).astype(np.int32) for n in (0, 1, 2, 3, 0, 7, 40)]
+    assert np.allclose(net.raw(docs), [net.raw([d])[0] for d in docs], atol=1e-5)
