@@ -3,12 +3,14 @@
 Each kind of value is found by a pattern, validated, read as a number below a*b and permuted
 by a keyed Feistel network on Z_a x Z_b: every round adds a keyed hash of one half to the
 other, so the whole is a bijection on the valid values of that format. Equal values have
-equal pseudonyms in all documents, whatever their separators. E-mail addresses, which are no
+equal pseudonyms in all documents, whatever their separators, and different ones different pseudonyms. Digits stay where digits were: a date's
+fields keep their widths, and a date keeps the order in which its fields are read. E-mail addresses, which are no
 numbers, get a keyed hash of the address in the shape of one.
 
-Null text stays null with zero counts; text without values is unchanged. Values that fail
-validation (a card whose check digit is wrong, 31 February) are left as they are. Repeated
-rows and other columns pass through. No shuffle.
+Null text stays null with zero counts; empty text and text without values is unchanged. Values that fail
+validation (a card whose check digit is wrong, 31 February) are left as they are. A value that fits two kinds (a tie) is
+of the one listed first. Texts of any length are rewritten whole; repeated
+rows alike. Columns other than the text pass through, whatever their names. No shuffle.
 """
 
 from __future__ import annotations
@@ -138,19 +140,20 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """Numbers whose area and exchange start with 2 to 9 go to such numbers; others that are written as phone numbers, to any ten digits."""
+    """Three classes of ten digits, each permuted by itself: area codes below 200, exchanges below 200, and the numbers that can be assigned."""
     digits = _digits(m)
     ten = F.substring(digits, F.length(digits) - 9, F.lit(10))
-    x = ((_long(F.substring(ten, 1, 3)) - 200) * 800 + _long(F.substring(ten, 4, 3)) - 200) * 10000 + _long(F.substring(ten, 7, 4))
+    half = lambda n: F.lit(n).cast("long")
 
-    def shown(y: Column) -> Column:
-        return F.concat(_pad(_div(y, 8_000_000) + 200, 3), _pad(_div(y, 10000) % 800 + 200, 3), _pad(y % 10000, 4))
+    def permuted(t: Column) -> Column:
+        area, exchange, line = (_long(F.substring(t, i, n)) for i, n in ((1, 3), (4, 3), (7, 4)))
+        shown = lambda low: lambda y: F.concat(_pad(_div(y, (1000 - low if low else 200) * 10000) + 200, 3), _pad(_div(y, 10000) % (1000 - low if low else 200) + low, 3), _pad(y % 10000, 4))
+        unused = _pad(feistel(_long(t), half(40_000), half(50_000), key, "phone-area"), 10)
+        special = let(feistel(((area - 200) * 200 + exchange) * 10000 + line, half(32_000), half(50_000), key, "phone-exchange"), shown(0))
+        assigned = let(feistel(((area - 200) * 800 + exchange - 200) * 10000 + line, half(80_000), half(80_000), key, "phone"), shown(200))
+        return F.when(area < 200, unused).when(exchange < 200, special).otherwise(assigned)
 
-    half = lambda n: F.lit(n).cast("long")
-    assigned = let(feistel(x, half(80_000), half(80_000), key, "phone"), shown)
-    other = _pad(feistel(_long(ten), half(100_000), half(100_000), key, "digits"), 10)
-    new = F.when(ten.rlike("^[2-9]..[2-9]"), assigned).otherwise(other)
-    return refill(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), new))
+    return refill(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), let(ten, permuted)))
 
 
 def _card(m: Column, key: str) -> Column:
@@ -165,20 +168,53 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """ISO; with dots the day first; with slashes the month first unless only the other order is a date."""
-    iso, dots = m.rlike("^[0-9]{4}-"), m.contains(".")
+    """ISO; with dots the day first; with slashes the month first unless only the other order is a date.
+
+    The day's number is permuted, again and again until the new date can be written with the same
+    widths of month and day and is read in the same order. Walking a permutation's cycle in this way is a
+    permutation of the dates so written; the WALK steps are more than any of them is known to take.
+    """
     p = F.split(m, "[./-]")
+    return let(F.struct(F.when(m.rlike("^[0-9]{4}-"), "iso").when(m.contains("."), "dots").otherwise("slashes").alias("form"), p.alias("p")), lambda x: _walked(x["form"], x["p"], key))
+
+
+#: Steps of a walk; each ends it with a chance of over a fifth, so that one in 10**30 dates would need more.
+WALK = 300
+
+
+def _walked(form: Column, p: Column, key: str) -> Column:
     at = lambda i: F.element_at(p, i).cast("int")
     day = lambda y, mo, d: F.try_to_date(F.concat_ws("-", _pad(y, 4), _pad(mo, 2), _pad(d, 2)), "yyyy-MM-dd")
-    first = F.when(iso, day(at(1), at(2), at(3))).when(dots, day(at(3), at(2), at(1))).otherwise(day(at(3), at(1), at(2)))
-    second = F.when(~iso & ~dots, day(at(3), at(2), at(1)))
-    real = F.coalesce(first, second)
+    first = F.when(form == "iso", day(at(1), at(2), at(3))).when(form == "dots", day(at(3), at(2), at(1))).otherwise(day(at(3), at(1), at(2)))
+    second = F.when(form == "slashes", day(at(3), at(2), at(1)))
     a, b = DAYS
-    x = F.datediff(real, F.lit(FIRST_DAY).cast("date")).cast("long")
-    y = feistel(F.pmod(x, F.lit(a * b)).cast("long"), F.lit(a).cast("long"), F.lit(b).cast("long"), key, "date")
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), y.cast("int"))
-    form = F.when(iso, "yyyy-MM-dd").when(dots, "dd.MM.yyyy").when(first.isNotNull(), "MM/dd/yyyy").otherwise("dd/MM/yyyy")
-    return F.when((x >= 0) & (x < a * b), F.call_function("date_format", new, form))
+    start = F.lit(FIRST_DAY).cast("date")
+    wide = lambda v, field: (F.length(field) == 2) | (v < 10)
+
+    def new(read: Column) -> Column:
+        swapped, real = read["swapped"], read["real"]
+        day_field = F.when(form == "iso", F.element_at(p, 3)).when((form == "dots") | swapped, F.element_at(p, 1)).otherwise(F.element_at(p, 2))
+        month_field = F.when((form == "iso") | (form == "dots") | swapped, F.element_at(p, 2)).otherwise(F.element_at(p, 1))
+
+        def fits(y: Column) -> Column:
+            date = F.date_add(start, y.cast("int"))
+            return wide(F.month(date), month_field) & wide(F.dayofmonth(date), day_field) & (~swapped | (F.dayofmonth(date) > 12))
+
+        def step(acc: Column, _: Column) -> Column:
+            return F.when(acc["done"], acc).otherwise(let(feistel(acc["y"], F.lit(a).cast("long"), F.lit(b).cast("long"), key, "date"), lambda y: F.struct(y.alias("y"), fits(y).alias("done"))))
+
+        x = F.datediff(real, start).cast("long")
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(x.alias("y"), F.lit(False).alias("done")), step)
+
+        def shown(end: Column) -> Column:
+            date = F.date_add(start, end["y"].cast("int"))
+            d, mo, y = _pad(F.dayofmonth(date), F.length(day_field)), _pad(F.month(date), F.length(month_field)), _pad(F.year(date), 4)
+            text = F.when(form == "iso", F.concat_ws("-", y, mo, d)).when(form == "dots", F.concat_ws(".", d, mo, y)).when(swapped, F.concat_ws("/", d, mo, y)).otherwise(F.concat_ws("/", mo, d, y))
+            return F.when(end["done"], text)
+
+        return F.when((x >= 0) & (x < a * b), let(walked, shown))
+
+    return let(F.struct(F.coalesce(first, second).alias("real"), (first.isNull() & second.isNotNull()).alias("swapped")), new)
 
 
 _MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -203,13 +239,18 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             out = F.when(m.rlike(rf"^(?:{PATTERNS[kind]})$"), made).otherwise(out)
         return out
 
-    found = docs.withColumn("_found", F.when(F.col(text).rlike(MAYBE), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))))
-    found = found.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", replaced)))
-    pieces = F.zip_with(F.split(F.col(text), pattern, -1), "_new", lambda gap, new: F.concat(gap, F.coalesce(new["new"], F.lit(""))))
-    return found.select(
-        *(F.when(F.col("_new").isNotNull(), F.array_join(pieces, "")).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns),
-        F.coalesce(F.filter(F.transform("_new", lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>")).alias("pii_kinds"),
-    )
+    t, none = F.col(f"`{text}`").cast("string"), F.array().cast("array<string>")
+
+    def rewritten(found: Column) -> Column:
+        def put(new: Column) -> Column:
+            pieces = F.zip_with(F.split(t, pattern, -1), new, lambda gap, x: F.concat(gap, F.coalesce(x["new"], F.lit(""))))
+            return F.struct(F.array_join(pieces, "").alias("text"), F.filter(F.transform(new, lambda x: x["kind"]), lambda k: k.isNotNull()).alias("kinds"))
+
+        return F.when(F.size(found) > 0, let(F.transform(found, replaced), put))
+
+    done = F.coalesce(F.when(t.rlike(MAYBE), let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), rewritten)), F.struct(t.alias("text"), none.alias("kinds")))
+    out = docs.withColumn("pii_kinds", done)
+    return out.select(*(F.col("pii_kinds.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "pii_kinds"), F.col("pii_kinds.kinds").alias("pii_kinds"))
 
 
 def op7_pseudonyms(spark, sf_dir: str, key: str = "set-your-own-key") -> DataFrame:
