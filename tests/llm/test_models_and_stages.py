@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyforge.llm import ann, langid, linededup, simhash, toxicity
+from tallyforge.llm import ann, langid, simhash, toxicity
 from tallyforge.llm.components import components
 from tests.llm.conftest import SCHEMA, prose
 
@@ -26,29 +26,6 @@ def test_components(spark):
     assert got == least
 
 
-def test_line_dedup_against_one_pass(spark):
-    r = random.Random(2)
-    pool = [prose(i, r.randint(2, 9)) for i in range(60)] + [prose(100 + i, 55) for i in range(5)]
-    rows = [(i, "\n".join(" ".join(pool[(s + k) % len(pool)].split()) for k in range(r.randint(1, 12)))) for i in range(80) for s in [r.randint(0, 64)]]
-    seen, want = set(), {}
-    for i, t in rows:
-        lines, start, out = t.split("\n"), 0, []
-        for end in linededup.chunk_ends(lines, linededup.line_hashes(lines)):
-            body = linededup.chunk_bytes(lines, start, end)
-            out += lines[start:end] if body is None or body not in seen else []
-            seen.add(body)
-            start = end
-        want[i] = "\n".join(out)
-    got = {x.doc_id: x.text for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want and sum(map(len, got.values())) < sum(len(t) for _, t in rows)
-
-
-def test_chunk_ends_resist_shifts():
-    lines = [prose(i, 6) for i in range(60)]
-    a, b = (linededup.chunk_ends(x, linededup.line_hashes(x)) for x in (lines, ["new line", *lines]))
-    assert len(set(a) & {e - 1 for e in b}) >= 0.8 * len(a)
-
-
 def test_near_groups(spark):
     base = prose(1, 200).split()
     near = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in range(10, 190, 20)]
