@@ -199,15 +199,23 @@ def _fits(similarity: float) -> Column:
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+    """(u, v, shared: shingles of theirs that met)."""
+    return joined.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"), F.col("b.id").alias("larger")).groupBy("u", "v", "larger").agg(F.count("*").alias("shared"))
 
 
 def _first_pairs(index: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): each key's smallest text with the others."""
+    """Each key's smallest text with the others."""
     least = index.where("short").groupBy("key").agg(F.min(F.struct("n", "id", "i")).alias("h")).select("key", "h.*")
     return _pairs(least.alias("a").join(index.alias("b"), (F.col("a.key") == F.col("b.key")) & _fits(similarity)))
 
 
+def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """The pairs that aren't in one group yet."""
+    named = lambda x: root.select(F.col("node").alias(x), F.col("component").alias(f"{x}_root"))
+    both = pairs.join(named("u"), "u", "left").join(named("v"), "v", "left")
+    return both.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
 def _other_pairs(index: DataFrame, root: DataFrame, similarity: float, block: int) -> DataFrame:
     """(u, v): all pairs of each key that aren't in one group yet.
 
@@ -231,7 +239,7 @@ def jaccard(a: str | None, b: str | None, k: int = SHINGLE) -> float:
 
 def _similar(pairs: DataFrame, all_texts: DataFrame, similarity: float, k: int) -> DataFrame:
     """The pairs (u, v) whose texts' shingles have that Jaccard similarity."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
     texts = stored(all_texts.join(ids, "id").dropDuplicates(["id"]), "near-texts")
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
 
@@ -248,17 +256,19 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGL
 
     Texts with equal sets of k-word shingles are one node; links are all pairs whose sets have that
     Jaccard similarity, at every size of the table. Similar texts share a shingle of their prefixes.
-    First each shingle's smallest text is compared with the others; then all pairs that share a shingle
-    and aren't in one group yet are. Every link is verified by the texts.
+    First each text is compared with one smaller text, that with which it shares most of its prefix among
+    the smallest texts of its shingles; then with the other smallest texts, where they aren't in one group yet; then all
+    pairs that share a shingle and still aren't in one group are. Every link is verified by the texts.
     """
     texts = _texts(docs.where(F.col(key).isNotNull()), key, text)
     rows = stored(_prefixes(texts, k, similarity), "near-rows")
     nodes = stored(rows.groupBy("sig").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("first").alias("first")), "near-nodes")
     index = stored(_index(nodes, similarity), "near-index")
     tried = stored(_first_pairs(index, similarity), "near-first")
-    links = stored(_similar(tried, texts, similarity, k), "near-links")
-    root = stored(components(links, "near-first-groups"), "near-roots")
-    others = stored(_other_pairs(index, root, similarity, block).join(tried, ["u", "v"], "left_anti"), "near-others")
+    best = tried.groupBy("larger").agg(F.max_by(F.struct("u", "v"), F.struct("shared", -F.col("u"), -F.col("v"))).alias("p")).select("p.u", "p.v")
+    links = stored(_similar(best, texts, similarity, k), "near-links-1")
+    links = stored(links.unionByName(_similar(stored(_apart(tried, components(links, "near-1")), "near-second"), texts, similarity, k)), "near-links-2")
+    others = stored(_other_pairs(index, stored(components(links, "near-2"), "near-roots"), similarity, block).join(tried, ["u", "v"], "left_anti").select("u", "v"), "near-others")
     label = components(links.unionByName(_similar(others, texts, similarity, k)), "near").withColumnsRenamed({"node": "n", "component": "c"})
     named = nodes.select("sig", F.col("id").alias("n")).join(label, "n", "left").select("sig", F.coalesce("c", "n").alias("group_id"))
     return rows.select("id", "sig").join(named, "sig").select(F.col("id").alias(key), "group_id")
