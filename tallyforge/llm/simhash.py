@@ -132,8 +132,8 @@ def op5_simhash(spark, sf_dir: str, hot: int = 4096) -> DataFrame:
 SHINGLE, SIMILARITY = 5, 0.8
 #: Texts looked at for frequent shingles, occurrences that make one frequent, and the most that are kept. They set an order: any order gives the same groups.
 LOOK, OFTEN, COMMON = 20_000, 8, 20_000
-#: Rows of an index key that are joined in one piece.
-BLOCK = 512
+#: Rows of an index key that are joined in one piece, and 64-bit words of a set's parity sketch.
+BLOCK, SKETCH = 512, 8
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -167,21 +167,28 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, ranks: np.
     return hashes[np.lexsort((hashes, rank))][: n - int(np.ceil(similarity * n - 1e-6)) + 1]
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * SKETCH buckets whether an odd number of shingles falls in it: sets differ in at least as many shingles as their sketches in bits."""
+    odd = np.bincount((hashes >> np.uint64(17)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(id, sig: hash of the text's distinct shingles, n: how many, first: their prefix)."""
+    """(id, sig: hash of the text's distinct shingles, n: how many, first: their prefix, bits: their sketch)."""
     known = texts.sparkSession.sparkContext.broadcast(_common(texts, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, sizes, first = [], [], []
+            sigs, sizes, first, bits = [], [], [], []
             for t in b.column(1):
                 h = np.unique(shingle_hashes(t.as_py(), k))
                 sigs.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
                 sizes.append(len(h))
                 first.append(prefix(h, similarity, *known.value).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["id", "sig", "n", "first"])
+                bits.append(sketch(h))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["id", "sig", "n", "first", "bits"])
 
-    return texts.mapInArrow(run, "id long, sig long, n int, first array<long>")
+    return texts.mapInArrow(run, "id long, sig long, n int, first array<long>, bits array<long>")
 
 
 def _index(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -216,19 +223,28 @@ def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
     return both.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
 
 
-def _other_pairs(index: DataFrame, root: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(u, v): all pairs of each key that aren't in one group yet.
+def _may_be(similarity: float) -> Column:
+    """Whether two sets can be similar by their sketches."""
+    both = F.col("a.n") + F.col("b.n")
+    apart = sum((F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))))
+    return (both - apart) * (1 + similarity) >= both * (2 * similarity) - 1e-6
+
+
+def _other_pairs(index: DataFrame, nodes: DataFrame, root: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(u, v): all pairs of each key that aren't in one group yet and whose sketches don't rule them out.
 
     Texts of the key's largest group aren't joined with each other. The larger texts of a key are dealt
     into blocks and the smaller ones go to each block, so that no task gets all pairs of a frequent key.
     """
     rows = index.join(root.select(F.col("node").alias("id"), F.col("component").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rows.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    rows = stored(rows.join(groups.select("key", F.col("top.root").alias("top")), "key").withColumn("blocks", F.ceil(F.col("c") / block).cast("int")), "near-apart")
+    sketches = nodes.select("id", *(F.col("bits")[k].alias(f"b{k}") for k in range(SKETCH)))
+    rows = rows.join(groups.select("key", F.col("top.root").alias("top")), "key").withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
+    rows = stored(rows.join(sketches, "id"), "near-apart")
     small = rows.where("short").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("side", F.explode(F.when(F.col("root") == F.col("top"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     large = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("side", (F.col("root") == F.col("top")).cast("int"))
     met = F.expr("a.key = b.key AND a.block = b.block AND a.side = b.side AND a.root <> b.root")
-    return _pairs(small.alias("a").join(large.alias("b"), met & _fits(similarity)))
+    return _pairs(small.alias("a").join(large.alias("b"), met & _fits(similarity) & _may_be(similarity)))
 
 
 def jaccard(a: str | None, b: str | None, k: int = SHINGLE) -> float:
@@ -258,17 +274,18 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGL
     Jaccard similarity, at every size of the table. Similar texts share a shingle of their prefixes.
     First each text is compared with one smaller text, that with which it shares most of its prefix among
     the smallest texts of its shingles; then with the other smallest texts, where they aren't in one group yet; then all
-    pairs that share a shingle and still aren't in one group are. Every link is verified by the texts.
+    pairs that share a shingle and still aren't in one group are, less those whose sketches show that they differ in too many
+    shingles (a bound, not an estimate). Every link is verified by the texts.
     """
     texts = _texts(docs.where(F.col(key).isNotNull()), key, text)
     rows = stored(_prefixes(texts, k, similarity), "near-rows")
-    nodes = stored(rows.groupBy("sig").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("first").alias("first")), "near-nodes")
+    nodes = stored(rows.groupBy("sig").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("first").alias("first"), F.min("bits").alias("bits")), "near-nodes")
     index = stored(_index(nodes, similarity), "near-index")
     tried = stored(_first_pairs(index, similarity), "near-first")
     best = tried.groupBy("larger").agg(F.max_by(F.struct("u", "v"), F.struct("shared", -F.col("u"), -F.col("v"))).alias("p")).select("p.u", "p.v")
     links = stored(_similar(best, texts, similarity, k), "near-links-1")
     links = stored(links.unionByName(_similar(stored(_apart(tried, components(links, "near-1")), "near-second"), texts, similarity, k)), "near-links-2")
-    others = stored(_other_pairs(index, stored(components(links, "near-2"), "near-roots"), similarity, block).join(tried, ["u", "v"], "left_anti").select("u", "v"), "near-others")
+    others = stored(_other_pairs(index, nodes, stored(components(links, "near-2"), "near-roots"), similarity, block).join(tried, ["u", "v"], "left_anti").select("u", "v"), "near-others")
     label = components(links.unionByName(_similar(others, texts, similarity, k)), "near").withColumnsRenamed({"node": "n", "component": "c"})
     named = nodes.select("sig", F.col("id").alias("n")).join(label, "n", "left").select("sig", F.coalesce("c", "n").alias("group_id"))
     return rows.select("id", "sig").join(named, "sig").select(F.col("id").alias(key), "group_id")
