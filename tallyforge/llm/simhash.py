@@ -132,8 +132,8 @@ def op5_simhash(spark, sf_dir: str, hot: int = 4096) -> DataFrame:
 SHINGLE, SIMILARITY = 5, 0.8
 #: Texts looked at for frequent shingles, occurrences that make one frequent, and the most that are kept. They set an order: any order gives the same groups.
 LOOK, OFTEN, COMMON = 20_000, 8, 20_000
-#: Rows of an index key that are joined in one piece, and 64-bit words of a set's parity sketch.
-BLOCK, SKETCH = 512, 8
+#: Rows of an index key that are joined in one piece, 64-bit words of a set's parity sketch, and turns of pivots at most.
+BLOCK, SKETCH, TURNS = 512, 8, 4
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -200,51 +200,63 @@ def _index(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def _fits(similarity: float) -> Column:
-    """Whether the smaller text a and the larger b can be similar if this is the first shingle that they share."""
+    """Whether the texts a and b can be similar if this is the first shingle that they share."""
     rest = lambda x: (F.col(f"{x}.n") - F.col(f"{x}.i")) * (1 + similarity) >= (F.col("a.n") + F.col("b.n")) * similarity - 1e-6
-    return F.expr("a.n < b.n OR (a.n = b.n AND a.id < b.id)") & (F.col("a.n") >= F.col("b.n") * similarity - 1e-6) & rest("a") & rest("b")
+    return (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * similarity - 1e-6) & rest("a") & rest("b")
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    """(u, v, shared: shingles of theirs that met)."""
-    return joined.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"), F.col("b.id").alias("larger")).groupBy("u", "v", "larger").agg(F.count("*").alias("shared"))
+def _differ() -> Column:
+    """Bits in which the sketches of a and b differ."""
+    return sum((F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))))
+
+
+def _may_be(similarity: float) -> Column:
+    """Whether two sets can be similar by their sketches."""
+    both = F.col("a.n") + F.col("b.n")
+    return (both - _differ()) * (1 + similarity) >= both * (2 * similarity) - 1e-6
+
+
+def _ordered(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _first_pairs(index: DataFrame, similarity: float) -> DataFrame:
-    """Each key's smallest text with the others."""
+    """(u, v): each text with the one that it shares most keys with, of its keys' smallest texts."""
     least = index.where("short").groupBy("key").agg(F.min(F.struct("n", "id", "i")).alias("h")).select("key", "h.*")
-    return _pairs(least.alias("a").join(index.alias("b"), (F.col("a.key") == F.col("b.key")) & _fits(similarity)))
+    met = least.alias("a").join(index.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _fits(similarity))
+    shared = met.groupBy(F.col("b.id").alias("v"), F.col("a.id").alias("u")).agg(F.count("*").alias("shared"))
+    return _ordered(shared.groupBy("v").agg(F.max_by("u", F.struct("shared", -F.col("u"))).alias("u")))
 
 
-def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
-    """The pairs that aren't in one group yet."""
-    named = lambda x: root.select(F.col("node").alias(x), F.col("component").alias(f"{x}_root"))
-    both = pairs.join(named("u"), "u", "left").join(named("v"), "v", "left")
-    return both.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+def _apart(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """rows of the keys whose texts aren't all in one group yet, with each text's group (root) and its key's largest (top)."""
+    rows = rows.drop("root", "top").join(root.select(F.col("node").alias("id"), F.col("component").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = rows.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+    return rows.join(groups.select("key", F.col("top.root").alias("top")), "key")
 
 
-def _may_be(similarity: float) -> Column:
-    """Whether two sets can be similar by their sketches."""
-    both = F.col("a.n") + F.col("b.n")
-    apart = sum((F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))))
-    return (both - apart) * (1 + similarity) >= both * (2 * similarity) - 1e-6
+def _pivot_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """(u, v): each text with the nearest by sketch of its keys' pivots, one text of each key, another one each turn."""
+    pivot = rows.groupBy("key").agg(F.max_by(F.struct("id", "n", "i", "root", *_BITS), F.xxhash64("id", F.lit(turn))).alias("p")).select("key", "p.*")
+    met = pivot.alias("a").join(rows.alias("b"), F.expr("a.key = b.key AND a.root <> b.root") & _fits(similarity) & _may_be(similarity))
+    near = met.select(F.col("b.id").alias("v"), F.col("a.id").alias("u"), _differ().alias("d"))
+    return _ordered(near.groupBy("v").agg(F.min_by("u", F.struct("d", "u")).alias("u")))
 
 
-def _other_pairs(index: DataFrame, nodes: DataFrame, root: DataFrame, similarity: float, block: int) -> DataFrame:
+_BITS = [f"b{k}" for k in range(SKETCH)]
+
+
+def _other_pairs(rows: DataFrame, similarity: float, block: int) -> DataFrame:
     """(u, v): all pairs of each key that aren't in one group yet and whose sketches don't rule them out.
 
     Texts of the key's largest group aren't joined with each other. The larger texts of a key are dealt
     into blocks and the smaller ones go to each block, so that no task gets all pairs of a frequent key.
     """
-    rows = index.join(root.select(F.col("node").alias("id"), F.col("component").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    groups = rows.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    sketches = nodes.select("id", *(F.col("bits")[k].alias(f"b{k}") for k in range(SKETCH)))
-    rows = rows.join(groups.select("key", F.col("top.root").alias("top")), "key").withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
-    rows = stored(rows.join(sketches, "id"), "near-apart")
+    rows = rows.withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
     small = rows.where("short").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("side", F.explode(F.when(F.col("root") == F.col("top"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     large = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("side", (F.col("root") == F.col("top")).cast("int"))
-    met = F.expr("a.key = b.key AND a.block = b.block AND a.side = b.side AND a.root <> b.root")
-    return _pairs(small.alias("a").join(large.alias("b"), met & _fits(similarity) & _may_be(similarity)))
+    met = F.expr("a.key = b.key AND a.block = b.block AND a.side = b.side AND a.root <> b.root AND (a.n < b.n OR (a.n = b.n AND a.id < b.id))")
+    return _ordered(small.alias("a").join(large.alias("b"), met & _fits(similarity) & _may_be(similarity)).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")))
 
 
 def jaccard(a: str | None, b: str | None, k: int = SHINGLE) -> float:
@@ -272,20 +284,26 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGL
 
     Texts with equal sets of k-word shingles are one node; links are all pairs whose sets have that
     Jaccard similarity, at every size of the table. Similar texts share a shingle of their prefixes.
-    First each text is compared with one smaller text, that with which it shares most of its prefix among
-    the smallest texts of its shingles; then with the other smallest texts, where they aren't in one group yet; then all
-    pairs that share a shingle and still aren't in one group are, less those whose sketches show that they differ in too many
+    First each text is compared with one other, that with which it shares most of its prefix among
+    the smallest texts of its shingles. Then, as long as this finds links and for TURNS turns at most, with the nearest of its shingles'
+    pivots, where they aren't in one group yet. Last, all pairs that share a shingle and still aren't
+    in one group are compared, less those whose sketches show that they differ in too many
     shingles (a bound, not an estimate). Every link is verified by the texts.
     """
     texts = _texts(docs.where(F.col(key).isNotNull()), key, text)
     rows = stored(_prefixes(texts, k, similarity), "near-rows")
     nodes = stored(rows.groupBy("sig").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("first").alias("first"), F.min("bits").alias("bits")), "near-nodes")
     index = stored(_index(nodes, similarity), "near-index")
-    tried = stored(_first_pairs(index, similarity), "near-first")
-    best = tried.groupBy("larger").agg(F.max_by(F.struct("u", "v"), F.struct("shared", -F.col("u"), -F.col("v"))).alias("p")).select("p.u", "p.v")
-    links = stored(_similar(best, texts, similarity, k), "near-links-1")
-    links = stored(links.unionByName(_similar(stored(_apart(tried, components(links, "near-1")), "near-second"), texts, similarity, k)), "near-links-2")
-    others = stored(_other_pairs(index, nodes, stored(components(links, "near-2"), "near-roots"), similarity, block).join(tried, ["u", "v"], "left_anti").select("u", "v"), "near-others")
+    links = stored(_similar(stored(_first_pairs(index, similarity), "near-first"), texts, similarity, k), "near-links")
+    sketches = nodes.select("id", *(F.col("bits")[i].alias(c) for i, c in enumerate(_BITS)))
+    apart = stored(_apart(index, components(links, "near-groups")).join(sketches, "id"), "near-apart")
+    for turn in range(TURNS):
+        new = stored(_similar(stored(_pivot_pairs(apart, similarity, turn), "near-pivots"), texts, similarity, k), "near-links")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        apart = stored(_apart(apart, components(links, "near-groups")), "near-apart")
+    others = stored(_other_pairs(apart, similarity, block), "near-others")
     label = components(links.unionByName(_similar(others, texts, similarity, k)), "near").withColumnsRenamed({"node": "n", "component": "c"})
     named = nodes.select("sig", F.col("id").alias("n")).join(label, "n", "left").select("sig", F.coalesce("c", "n").alias("group_id"))
     return rows.select("id", "sig").join(named, "sig").select(F.col("id").alias(key), "group_id")
