@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stored, table
@@ -132,8 +133,8 @@ def op5_simhash(spark, sf_dir: str, hot: int = 4096) -> DataFrame:
 SHINGLE, SIMILARITY = 5, 0.8
 #: Texts looked at for frequent shingles, occurrences that make one frequent, and the most that are kept. They set an order: any order gives the same groups.
 LOOK, OFTEN, COMMON = 20_000, 8, 20_000
-#: Rows of an index key that are joined in one piece, 64-bit words of a set's parity sketch, and turns of pivots at most.
-BLOCK, SKETCH, TURNS = 512, 8, 4
+#: Rows of an index key that are joined in one piece, 64-bit words of a set's parity sketch, texts of a key that the others are first compared with, and how many of these.
+BLOCK, SKETCH, PIVOTS, NEAREST = 512, 8, 4, 3
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -220,12 +221,13 @@ def _ordered(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _first_pairs(index: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): each text with the one that it shares most keys with, of its keys' smallest texts."""
-    least = index.where("short").groupBy("key").agg(F.min(F.struct("n", "id", "i")).alias("h")).select("key", "h.*")
-    met = least.alias("a").join(index.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _fits(similarity))
-    shared = met.groupBy(F.col("b.id").alias("v"), F.col("a.id").alias("u")).agg(F.count("*").alias("shared"))
-    return _ordered(shared.groupBy("v").agg(F.max_by("u", F.struct("shared", -F.col("u"))).alias("u")))
+def _pivot_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): each text with the NEAREST, by sketch, of its keys' pivots: PIVOTS texts of each key, by hashes."""
+    chosen = [F.max_by(F.struct("id", "n", "i", *_BITS), F.xxhash64("id", F.lit(turn))) for turn in range(PIVOTS)]
+    pivots = rows.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("p")).select("key", F.inline("p"))
+    met = pivots.alias("a").join(rows.alias("b"), F.expr("a.key = b.key AND a.id <> b.id") & _fits(similarity) & _may_be(similarity))
+    near = met.select(F.col("b.id").alias("v"), F.col("a.id").alias("u"), _differ().alias("d")).distinct()
+    return _ordered(near.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("d", "u"))).where(f"r <= {NEAREST}"))
 
 
 def _apart(rows: DataFrame, root: DataFrame) -> DataFrame:
@@ -235,14 +237,6 @@ def _apart(rows: DataFrame, root: DataFrame) -> DataFrame:
     return rows.join(groups.select("key", F.col("top.root").alias("top")), "key")
 
 
-def _pivot_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """(u, v): each text with the nearest by sketch of its keys' pivots, one text of each key, another one each turn."""
-    pivot = rows.groupBy("key").agg(F.max_by(F.struct("id", "n", "i", "root", *_BITS), F.xxhash64("id", F.lit(turn))).alias("p")).select("key", "p.*")
-    met = pivot.alias("a").join(rows.alias("b"), F.expr("a.key = b.key AND a.root <> b.root") & _fits(similarity) & _may_be(similarity))
-    near = met.select(F.col("b.id").alias("v"), F.col("a.id").alias("u"), _differ().alias("d"))
-    return _ordered(near.groupBy("v").agg(F.min_by("u", F.struct("d", "u")).alias("u")))
-
-
 _BITS = [f"b{k}" for k in range(SKETCH)]
 
 
@@ -284,25 +278,18 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGL
 
     Texts with equal sets of k-word shingles are one node; links are all pairs whose sets have that
     Jaccard similarity, at every size of the table. Similar texts share a shingle of their prefixes.
-    First each text is compared with one other, that with which it shares most of its prefix among
-    the smallest texts of its shingles. Then, as long as this finds links and for TURNS turns at most, with the nearest of its shingles'
-    pivots, where they aren't in one group yet. Last, all pairs that share a shingle and still aren't
-    in one group are compared, less those whose sketches show that they differ in too many
+    First each text is compared with a few others, those nearest by sketch of some that stand for its shingles' texts, which
+    joins large groups. Then all pairs that share a shingle and aren't in one group yet are compared, less those whose sketches show that they differ in too many
     shingles (a bound, not an estimate). Every link is verified by the texts.
     """
     texts = _texts(docs.where(F.col(key).isNotNull()), key, text)
     rows = stored(_prefixes(texts, k, similarity), "near-rows")
     nodes = stored(rows.groupBy("sig").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("first").alias("first"), F.min("bits").alias("bits")), "near-nodes")
-    index = stored(_index(nodes, similarity), "near-index")
-    links = stored(_similar(stored(_first_pairs(index, similarity), "near-first"), texts, similarity, k), "near-links")
+    index = _index(nodes, similarity)
     sketches = nodes.select("id", *(F.col("bits")[i].alias(c) for i, c in enumerate(_BITS)))
-    apart = stored(_apart(index, components(links, "near-groups")).join(sketches, "id"), "near-apart")
-    for turn in range(TURNS):
-        new = stored(_similar(stored(_pivot_pairs(apart, similarity, turn), "near-pivots"), texts, similarity, k), "near-links")
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
-        apart = stored(_apart(apart, components(links, "near-groups")), "near-apart")
+    rows_by_key = stored(index.join(sketches, "id"), "near-index")
+    links = stored(_similar(stored(_pivot_pairs(rows_by_key, similarity), "near-pivots"), texts, similarity, k), "near-links")
+    apart = stored(_apart(rows_by_key, components(links, "near-groups")), "near-apart")
     others = stored(_other_pairs(apart, similarity, block), "near-others")
     label = components(links.unionByName(_similar(others, texts, similarity, k)), "near").withColumnsRenamed({"node": "n", "component": "c"})
     named = nodes.select("sig", F.col("id").alias("n")).join(label, "n", "left").select("sig", F.coalesce("c", "n").alias("group_id"))
