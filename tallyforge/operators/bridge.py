@@ -52,3 +52,8 @@ def ledger(bridge: DataFrame, refunds: DataFrame, keys: list[str]) -> DataFrame:
     pool = refunds.groupBy(*keys).agg(F.sum("refund_amount").alias("refunds"))
     levers = F.array(*(F.struct(F.lit(name).alias("lever"), F.col(c).alias("amount")) for name, c in (("conversion_ceiling", "conversion"), ("order_value_ceiling", "aov"), ("refund_pool", "refunds"))))
     return lost.join(pool, keys).select(*keys, F.inline(levers))
+
+
+def gate(df: DataFrame) -> DataFrame:
+    """Whether sums of daily people may stand for a period's people: refused where they count someone twice (buyer_days against buyers)."""
+    return df.withColumn("daily_sums", F.when(F.col("buyer_days") > F.col("buyers"), "refused").otherwise("allowed"))

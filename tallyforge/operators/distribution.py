@@ -33,8 +33,11 @@ def banded(df: DataFrame, keys: list[str], value: str, n: int = 4) -> DataFrame:
     return joined.withColumn("band", band.cast("long")).withColumns({"low": F.col("edges")[F.col("band").cast("int")], "high": F.try_element_at("edges", (F.col("band") + 2).cast("int"))}).drop("edges")
 
 
-def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
-    """Counts and shares of fixed left-closed bins, empty ones too."""
+def histogram(df: DataFrame, value: str, edges: list[float] | int) -> DataFrame:
+    """Counts and shares of left-closed bins, empty ones too; edges: their left ends, or how many equal ones from the least value to the largest."""
+    if isinstance(edges, int):
+        low, high = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+        edges = [low + i * (high - low) / edges for i in range(edges)] if low is not None else [0.0]
     at = F.array(*(F.lit(float(e)) for e in edges))
     counts = df.where(F.col(value).isNotNull()).groupBy(band_of(F.col(value), at).cast("long").alias("bin")).agg(F.count("*").alias("c"))
     bins = df.sparkSession.createDataFrame([(i, float(e), float(edges[i + 1]) if i + 1 < len(edges) else None) for i, e in enumerate(edges)], "bin long, low double, high double")

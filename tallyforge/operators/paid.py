@@ -34,6 +34,15 @@ def weighted_average(value: Column, weight: Column) -> Column:
     return F.coalesce(F.sum(F.when(both, value * weight)) / F.nullif(total, F.lit(0.0)), F.avg(value))
 
 
+def roas_sources(df: DataFrame, keys: list[str]) -> DataFrame:
+    """ROAS of rows (spend, gmv, roas, roi) by key, calculated and as reported, which of them counts, where it comes from and how far they are apart."""
+    reported = F.coalesce("roas", "roi")
+    s = df.groupBy(*keys).agg(F.sum("spend").alias("spend"), F.sum("gmv").alias("gmv"), F.count("roas").alias("_roas"), F.count("roi").alias("_roi"), weighted_average(reported, F.col("spend")).alias("roas_reported"))
+    s = s.withColumn("roas_calc", ratio(F.col("gmv"), F.col("spend")))
+    source = F.when(F.col("roas_calc").isNotNull(), "calculated_gmv").when((F.col("_roas") > 0) & (F.col("_roi") > 0), "reported_mixed_roas_roi").when(F.col("_roas") > 0, "reported_roas").when(F.col("_roi") > 0, "reported_roi")
+    return s.select(*keys, "spend", "gmv", "roas_calc", "roas_reported", F.coalesce("roas_calc", "roas_reported").alias("roas_effective"), source.alias("roas_source"), (F.col("roas_calc") - F.col("roas_reported")).alias("roas_gap"))
+
+
 def hierarchy(df: DataFrame, levels: list[str], shown: int = SHOWN) -> DataFrame:
     """The same sums for each level by itself in one pass (grouping sets), the `shown` largest spenders of each."""
     sets = df.groupingSets([[level] for level in levels], *levels).agg(F.grouping_id(*levels).alias("_g"), *(F.sum(c).alias(c) for c in ("spend", "impressions", "clicks", "orders", "gmv")))

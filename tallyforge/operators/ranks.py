@@ -1,6 +1,6 @@
 """Row numbers and running sums over a whole table, without one task that sees all rows.
 
-Rows are range-partitioned by the order; each partition's count and sum become offsets for the
+Rows are range-partitioned by the order and stored so, as both uses of them need the same ranges; each partition's count and sum become offsets for the
 ones after it (a table of one row for each partition), and the rest is local to partitions.
 """
 
@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.sources.staging import stored
+
 
 def global_rank(df: DataFrame, order: list[Column], value: str | None = None, partitions: int | None = None) -> DataFrame:
     """df with ``rank`` from 1 in the given total order and, for a value column, its ``running`` sum and ``total``."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    ranged = stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranked")
     local = W.partitionBy("_part").orderBy(*order)
     amount = F.col(value).cast("double") if value else F.lit(0.0)
     rows = ranged.withColumns({"_r": F.row_number().over(local), "_s": F.sum(amount).over(local.rowsBetween(W.unboundedPreceding, 0))})

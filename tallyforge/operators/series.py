@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.sources.staging import stored
+
 from tallyforge.functions.cleaning import direction, pct_change
 
 T_LEAST, EPS, DETREND_POINTS, ANOMALY_POINTS = 2.0, 1e-9, 14, 7
@@ -126,8 +128,9 @@ def changepoints(df: DataFrame, keys: list[str], period: str, value: str, least:
     rows = rows.select(*keys, "_i", value, F.when(F.col("_scale") == 0, 1.0).otherwise(F.col("_scale")).alias("_scale"), F.lit("").alias("_path"))
     found, part = None, [*keys, "_path"]
     for _ in range(most):
+        rows = stored(rows, "changepoints")  # each level reads it several times
         scale = rows.groupBy(*part).agg(F.first("_scale").alias("_scale"))
-        level = _splits(rows.drop("_scale"), part, value, least).join(scale, part).withColumn("rel_shift", F.abs("shift") / F.col("_scale")).where(F.col("rel_shift") >= least_shift).drop("_scale")
+        level = stored(_splits(rows.drop("_scale"), part, value, least).join(scale, part).withColumn("rel_shift", F.abs("shift") / F.col("_scale")).where(F.col("rel_shift") >= least_shift).drop("_scale"), "changepoints-level")
         found = level if found is None else found.unionByName(level)
         cut = level.select(*part, F.col("index").alias("_at"))
         rows = rows.join(cut, part).withColumn("_path", F.concat("_path", F.when(F.col("_i") < F.col("_at"), "L").otherwise("R"))).drop("_at")
@@ -135,6 +138,15 @@ def changepoints(df: DataFrame, keys: list[str], period: str, value: str, least:
     return found.withColumn("_r", F.row_number().over(order)).where(f"_r <= {most}").drop("_r", "_path")
 
 
+def running_total(df: DataFrame, keys: list[str], period: str, value: str) -> DataFrame:
+    return df.withColumn(value, F.sum(value).over(_by(keys).orderBy(period)))
+
+
+def gated_direction(summary: DataFrame) -> DataFrame:
+    """A trend summary whose direction is unclear unless the slope is significant."""
+    return summary.withColumn("direction", F.when(F.coalesce("significant", F.lit(False)), F.col("direction")).otherwise("unclear"))
+
+
 def self_percentile(df: DataFrame, keys: list[str], value: str, name: str = "self_percentile") -> DataFrame:
     """Midrank of each value within its group's finite values."""
     v = F.col(value)

@@ -134,3 +134,40 @@ def curated(df: DataFrame, by: str, tie: str, shown: int, highlight: Column) ->
 def context_sets(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Of each key the sorted distinct values of some columns with few values."""
     return df.groupBy(key).agg(*(F.sort_array(F.collect_set(c)).alias(f"{c}s") for c in columns))
+
+
+def linked_rows(links: DataFrame, notes: DataFrame, names: DataFrame, note: str, sku: str) -> DataFrame:
+    """A row for each link: its note's columns, once for each SKU, and the SKU's name. Names may be keyed by text."""
+    return links.join(notes, note).withColumn("_sku", F.col(sku).cast("string")).join(names.withColumnRenamed(sku, "_sku"), "_sku", "left").drop("_sku")
+
+
+def wide(df: DataFrame, keys: list[str], columns: dict[str, str], suffix: str = "") -> DataFrame:
+    """All the named columns with their types; those that df lacks are null."""
+    return df.select(*keys, *((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(f"{c}{suffix}") for c, t in columns.items()))
+
+
+def paired_sums(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Sums of two columns over the rows that have both, and how many these are."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    return df.groupBy(*keys).agg(F.sum(F.when(both, F.col(a))).alias(a), F.sum(F.when(both, F.col(b))).alias(b), F.count_if(both).alias("pairs"))
+
+
+def store_name(names: DataFrame, summaries: tuple[str, ...]) -> DataFrame:
+    """The most frequent of (name, priority) in the source of least priority that has one; names of summary rows don't count."""
+    text = F.trim(F.col("name").cast("string"))
+    kept = names.select(text.alias("name"), "priority").where((F.col("name") != "") & ~F.lower("name").isin(*summaries))
+    return kept.groupBy("name", "priority").agg(F.count("*").alias("n")).orderBy("priority", F.desc("n"), "name").limit(1)
+
+
+def intent_funnel(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Steps from wishlist to cart to payment; rows without any of the three counts go."""
+    steps = ("wishlist_users", "cart_users", "paid_buyers")
+    rows = df.where(F.coalesce(*steps).isNotNull())
+    return rows.select(*keys, *steps, ratio(F.col("cart_users"), F.col("wishlist_users")).alias("wishlist_to_cart"), ratio(F.col("paid_buyers"), F.col("cart_users")).alias("cart_to_pay"))
+
+
+def class_first(df: DataFrame, key: str, n: str, k: str, shown: int) -> DataFrame:
+    """The first rows by rate, those with too small a sample after all others."""
+    rate = ratio(F.col(k), F.col(n))
+    top = df.withColumn("rate", rate).orderBy(F.col(n) < S.MIN_N, F.desc_nulls_last("rate"), key).limit(shown)
+    return top.withColumn("place", F.row_number().over(W.orderBy(F.col(n) < S.MIN_N, F.desc_nulls_last("rate"), key)).cast("long"))  # the shown rows

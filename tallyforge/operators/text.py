@@ -74,3 +74,18 @@ def demand_summary(df: DataFrame, doc: str, text: str) -> DataFrame:
     first = rows.withColumn("_r", F.row_number().over(W.partitionBy("demand_group").orderBy(text, doc))).where("_r <= 3").groupBy("demand_group").agg(F.sort_array(F.collect_list(text)).alias("examples"))
     total = rows.agg(F.count("*").alias("_n"))
     return s.join(first, "demand_group").crossJoin(F.broadcast(total)).select("demand_group", "comments", "notes", (F.col("comments") / F.col("_n")).alias("comment_share"), "examples")  # one row
+
+
+def seed_themes(df: DataFrame, text: str, lexicon: dict[str, tuple[str, ...]], top: int = 10) -> DataFrame:
+    """Themes of a fixed lexicon, for when too few texts repeat anything: hits and documents of each group, in one pass."""
+    hits = F.array(*(F.struct(F.lit(g).alias("term"), occurrences(F.col(text), words).alias("hits")) for g, words in lexicon.items()))
+    n_docs = df.where(F.trim(F.col(text)) != "").agg(F.count("*").alias("n_docs"))
+    found = df.select(F.inline(hits)).where("hits > 0").groupBy("term").agg(F.sum("hits").alias("count"), F.count("*").alias("doc_count")).crossJoin(F.broadcast(n_docs))  # one row
+    scored = found.select("term", "count", "doc_count", (F.col("doc_count") / F.col("n_docs")).alias("coverage"), (F.col("count") * F.col("doc_count") / F.col("n_docs")).alias("score"))
+    return scored.orderBy(F.desc("score"), F.desc("count"), "term").limit(top)
+
+
+def mean_polarity(df: DataFrame, keys: list[str], text: Column, good: tuple[str, ...], bad: tuple[str, ...]) -> DataFrame:
+    """The mean polarity of texts that have any; 0 where none has."""
+    rows = df.withColumn("_p", polarity(text, good, bad))
+    return rows.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.col("_p") != 0, F.col("_p"))), F.lit(0.0)).alias("mean_polarity"))

@@ -34,13 +34,13 @@ def _(spark, d):
     return facts.identified(key_numbers(spark, d), ["shop_id"])
 
 
-@query("fact_validation", f"SELECT metric_key, unit, count(*) AS facts, CASE WHEN metric_key = 'paid_orders' THEN 'unregistered' WHEN metric_key = 'avg_daily_aov' THEN 'unit' ELSE 'ok' END AS status FROM (SELECT *, {KIND} AS unit FROM kn) GROUP BY ALL", "", T.with_(T.ORDER_LINES, T.SHOP_DAY, KEY_NUMBERS))
+@query("fact_validation", f"SELECT metric_key, unit, count(*) AS facts, CASE WHEN ru IS NULL THEN 'unregistered' WHEN ru <> unit THEN 'unit' ELSE 'ok' END AS status FROM (SELECT *, {KIND} AS unit FROM kn) LEFT JOIN (VALUES ('gmv', 'money'), ('refund_rate_pay', 'percent'), ('refund_amount_pay', 'money'), ('avg_daily_aov', 'count')) r(mk, ru) ON mk = metric_key GROUP BY ALL", "", T.with_(T.ORDER_LINES, T.SHOP_DAY, KEY_NUMBERS))
 def _(spark, d):
     registry = spark.createDataFrame([("gmv", "money"), ("refund_rate_pay", "percent"), ("refund_amount_pay", "money"), ("avg_daily_aov", "count")], "metric_key string, registered_unit string")
     return facts.validated(facts.identified(key_numbers(spark, d), ["shop_id"]), registry).groupBy("metric_key", "unit", "status").agg(F.count("*").alias("facts"))
 
 
-@query("share_sums", "SELECT shop_id, true AS sums_to_one FROM ol GROUP BY shop_id", "", OL)
+@query("share_sums", "SELECT shop_id, abs(sum(s) - 1) <= 1e-6 AS sums_to_one FROM (SELECT shop_id, carrier, sum(paid_amount) / sum(sum(paid_amount)) OVER (PARTITION BY shop_id) AS s FROM ol GROUP BY shop_id, carrier) GROUP BY shop_id", "", OL)
 def _(spark, d):
     shares = structure.share_of(lines(spark, d), ["shop_id"], ["carrier"], ["paid_amount"])
     return facts.must_sum_to(shares, ["shop_id"], "paid_amount_share", 1.0)
@@ -67,9 +67,13 @@ def _(spark, d):
     return facts.priority(findings(spark, d), weights, [], 5)
 
 
-@query("fact_hash", None)
+@query(
+    "fact_hash",
+    "SELECT shop_id, sha256(CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', task_id, CASE WHEN several > 1 THEN task_id || '.' || metric_key ELSE metric_key END, printf('%.1f', value))), 1, 14) AS BIGINT)) AS VARCHAR)) AS content_hash FROM (SELECT *, count(*) OVER (PARTITION BY shop_id, metric_key) AS several FROM kn) GROUP BY shop_id",
+    "", T.with_(T.ORDER_LINES, T.SHOP_DAY, KEY_NUMBERS),
+)
 def _(spark, d):
-    return facts.content_hash(facts.identified(key_numbers(spark, d), ["shop_id"]), ["shop_id"])
+    return facts.content_hash(facts.identified(key_numbers(spark, d), ["shop_id"]), ["shop_id"], 1)
 
 
 @query(

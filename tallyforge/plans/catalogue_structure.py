@@ -87,7 +87,7 @@ def _(spark, d):
 # Features and mixes
 
 FEAT = "ft AS (SELECT DISTINCT k, CASE WHEN user_id % 4 = 0 THEN NULL ELSE 'style' || (user_id % 4) END AS style, 'angle' || (event_id % 3) AS angle FROM ev)"
-PER = "pm AS (SELECT k AS k2, views, clicks, orders, gmv FROM nf WHERE k % 9 <> 0)"
+PER = "pm AS (SELECT k AS k2, views, clicks, orders, gmv FROM nf)"
 
 
 def features(spark, d):
@@ -97,7 +97,7 @@ def features(spark, d):
 
 @query("group_effects", "SELECT coalesce(style, 'unknown') AS style, count(DISTINCT k) AS notes, count(DISTINCT k2) AS matched_notes, CAST(sum(views) AS BIGINT) AS views, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(orders) AS BIGINT) AS orders, sum(gmv) AS gmv FROM (SELECT DISTINCT k, style FROM ft) LEFT JOIN pm ON k = k2 GROUP BY ALL", "gmv", T.with_(T.EVENTS, T.FUNNEL, FEAT, PER))
 def _(spark, d):
-    return structure.group_effects(features(spark, d), B.note_funnel(spark, d).where("k % 9 <> 0"), "style", "k", ["views", "clicks", "orders", "gmv"])
+    return structure.group_effects(features(spark, d), B.note_funnel(spark, d), "style", "k", ["views", "clicks", "orders", "gmv"])
 
 
 @query("feature_interaction", "SELECT style, angle, count(DISTINCT k) AS notes, avg(views) AS avg_views FROM ft LEFT JOIN nf USING (k) GROUP BY ALL", "avg_views", T.with_(T.EVENTS, T.FUNNEL, FEAT))
@@ -348,10 +348,10 @@ def _(spark, d):
     return B.traffic(spark, d).groupBy("k").agg(part("signup").alias("referral_gmv"), part("purchase").alias("note_gmv"))
 
 
-@query("product_opportunity", "SELECT sku_id, units, gmv, active_days, units / active_days AS units_per_active_day, gmv / active_days AS gmv_per_active_day, inventory, inventory / (units / active_days) AS inventory_cover_active_days, CASE WHEN units IS NULL OR units <= 0 THEN 'needs_sales' WHEN inventory <= 0 THEN 'out_of_stock' WHEN inventory / (units / active_days) <= 7 THEN 'low_inventory' ELSE 'response_present' END AS opportunity_type FROM (SELECT p_partkey AS sku_id, (p_size * 7) % 50 AS inventory FROM part WHERE p_partkey % 4 <> 0) FULL JOIN (SELECT sku_id, sum(quantity) AS units, sum(paid_amount) AS gmv, count(DISTINCT day) AS active_days FROM ol WHERE NOT refunded AND sku_id % 5 <> 0 GROUP BY sku_id) USING (sku_id)", "units gmv units_per_active_day gmv_per_active_day inventory_cover_active_days", OL, digits=1)
+@query("product_opportunity", "SELECT sku_id, units, gmv, active_days, units / active_days AS units_per_active_day, gmv / active_days AS gmv_per_active_day, inventory, inventory / (units / active_days) AS inventory_cover_active_days, CASE WHEN units IS NULL OR units <= 0 THEN 'needs_sales' WHEN inventory <= 0 THEN 'out_of_stock' WHEN inventory / (units / active_days) <= 7 THEN 'low_inventory' ELSE 'response_present' END AS opportunity_type FROM (SELECT p_partkey AS sku_id, (p_size * 7) % 50 AS inventory FROM part) FULL JOIN (SELECT sku_id, sum(quantity) AS units, sum(paid_amount) AS gmv, count(DISTINCT day) AS active_days FROM ol WHERE NOT refunded GROUP BY sku_id) USING (sku_id)", "units gmv units_per_active_day gmv_per_active_day inventory_cover_active_days", OL, digits=1)
 def _(spark, d):
-    catalog = B.products(spark, d).where("sku_id % 4 <> 0").select("sku_id", ((F.col("size") * 7) % 50).alias("inventory"))
-    sold = lines(spark, d).where("NOT refunded AND sku_id % 5 <> 0").groupBy("sku_id").agg(F.sum("quantity").alias("units"), F.sum("paid_amount").alias("gmv"), F.countDistinct("day").alias("active_days"))
+    catalog = B.products(spark, d).select("sku_id", ((F.col("size") * 7) % 50).alias("inventory"))
+    sold = lines(spark, d).where("NOT refunded").groupBy("sku_id").agg(F.sum("quantity").alias("units"), F.sum("paid_amount").alias("gmv"), F.countDistinct("day").alias("active_days"))
     return structure.opportunities(catalog, sold, "sku_id")
 
 

@@ -18,7 +18,7 @@ from tallyforge.sources.contracts import CONTRACTS, Contract
 # Least share of a signature, least lead over the next table, relative gap of a conflict.
 LEAST_COVER, LEAST_LEAD, CONFLICT = 0.25, 0.15, 0.05
 # Refund states whose orders don't count as sales.
-REFUNDED = ("refunded", "refund", "refund_success", "full_refund", "returned", "return", "cancelled", "canceled", "closed", "已退款", "退款成功")
+REFUNDED = ("refund", "refunded", "refund_success", "partial_refund", "cancelled", "canceled", "已退款", "退款成功", "部分退款", "已取消", "取消")
 
 
 def fold_name(c: Column) -> Column:
@@ -26,6 +26,11 @@ def fold_name(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(F.trim(c)), "（）：－—　", "():-- "), r"[\s_-]+", "_")
 
 
+def counts_as_sale(status: Column) -> Column:
+    """Whether an order line in this state is a sale; an unknown state is."""
+    return status.isNull() | ~F.lower(F.trim(status.cast("string"))).isin(*REFUNDED)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256, size, copies) of every file below path; hidden ones are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -72,13 +77,15 @@ def classify(headers: DataFrame, spark: SparkSession, overrides: DataFrame | Non
 
 
 def map_headers(headers: DataFrame, files: DataFrame, spark: SparkSession, overrides: DataFrame | None = None) -> DataFrame:
-    """(file, table_name, column, canonical, how): each source used once, by rank; what isn't known keeps a folded name."""
+    """(file, table_name, column, canonical, how): each source used once, by rank; what isn't known keeps a folded name, numbered where it is taken."""
     rows = headers.join(files.where("status = 'classified'").select("file", "table_name"), "file").withColumn("folded", fold_name(F.col("column")))
     known = rows.join(F.broadcast(aliases(spark, overrides)), ["table_name", "folded"], "left")
     once = W.partitionBy("file", "canonical").orderBy("rank", "column")
     ranked = known.withColumn("r", F.when(F.col("canonical").isNotNull(), F.row_number().over(once)))
     how = F.when(F.col("r") == 1, F.element_at(F.array(F.lit("override"), F.lit("exact"), F.lit("alias")), F.col("rank") + 1)).otherwise("extra")
-    return ranked.select("file", "table_name", "column", F.when(F.col("r") == 1, F.col("canonical")).otherwise(F.col("folded")).alias("canonical"), how.alias("how"))
+    named = ranked.select("file", "table_name", "column", F.when(F.col("r") == 1, F.col("canonical")).otherwise(F.coalesce(F.nullif("folded", F.lit("")), F.lit("column"))).alias("canonical"), how.alias("how"))
+    taken = F.row_number().over(W.partitionBy("file", "canonical").orderBy(F.col("how") == "extra", "column"))
+    return named.withColumn("_t", taken).withColumn("canonical", F.when(F.col("_t") > 1, F.concat_ws("__", "canonical", "_t")).otherwise(F.col("canonical"))).drop("_t")
 
 
 def missing_required(mapped: DataFrame, spark: SparkSession) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.sources.staging import shared_dir
+
 LATE = "2 days"
 
 
@@ -30,13 +32,9 @@ def responses(events: DataFrame, within: str = "1 hour", late: str = LATE) -> Da
     return paid.join(clicks, F.expr(f"user_id = c_user AND c_ts <= ts AND c_ts >= ts - INTERVAL {within}")).select("event_id", "click_id")
 
 
-def shared(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stored").rstrip("/")
-
-
 def run_available(stream: DataFrame, name: str, mode: str, each: Callable[[DataFrame, int, str], None]) -> str:
     """Runs over what is there and stops; each(batch, epoch, folder) writes. Gives the folder."""
-    folder = f"{shared(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, epoch: each(batch, epoch, folder)).start()
     q.awaitTermination()
     return folder
