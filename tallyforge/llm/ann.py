@@ -113,13 +113,14 @@ def nearest_in_block(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"qid": [], "vid": [], "d": []})
     own = own.sort_values("vid")
     x, q, vid = _matrix(own["v"]), _matrix(queries["v"]), own["vid"].to_numpy()
-    near = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
+    qq, xx = (q * q).sum(1), (x * x).sum(1)
+    near = qq[:, None] + xx[None] - 2 * q @ x.T  # its rounding error grows with the norms
     out = []
     for i, qid in enumerate(queries["qid"]):
         row = near[i]
         if len(row) > KEEP:
             cut = np.partition(row, KEEP - 1)[KEEP - 1]
-            some = np.flatnonzero(row <= cut + 1e-9 * (1 + abs(cut)))
+            some = np.flatnonzero(row <= cut + 1e-11 * (2 * qq[i] + xx + xx.max()))
         else:
             some = np.arange(len(row))
         d = np.sqrt(((x[some] - q[i]) ** 2).sum(1))

@@ -161,3 +161,17 @@ def test_nearest(spark, sf_dir):
         d = np.sqrt(((x - x[ids.index(q)]) ** 2).sum(1))
         want = sorted((d[i], ids[i]) for i in range(len(ids)) if ids[i] != q)[:10]
         assert [(v, pytest.approx(s)) for _, v, s in sorted(got[q])] == [(v, s) for s, v in want]
+
+
+def test_near_vectors_far_from_zero():
+    import pandas as pd
+
+    from tallyforge.llm import ann
+
+    r = np.random.default_rng(4)
+    x = 1e6 + r.standard_normal((400, 8)) * 1e-2
+    own, ask = (pd.DataFrame({k: range(len(x)), "v": list(x)}) for k in ("vid", "qid"))
+    found = ann.nearest_in_block(own, ask.head(50)).groupby("qid")["vid"].apply(list)
+    for q in range(50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert found[q] == np.lexsort((np.arange(len(x)), d))[: ann.KEEP].tolist()
