@@ -168,28 +168,46 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, ranks: np.
     return hashes[np.lexsort((hashes, rank))][: n - int(np.ceil(similarity * n - 1e-6)) + 1]
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """For each of 64 * SKETCH buckets whether an odd number of shingles falls in it: sets differ in at least as many shingles as their sketches in bits."""
-    odd = np.bincount((hashes >> np.uint64(17)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+def sketch(hashes: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """For each of 64 * words buckets whether an odd number of shingles falls in it: sets differ in at least as many shingles as their sketches in bits."""
+    odd = np.bincount((hashes >> np.uint64(17)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def wide_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The sketch of a set too large for SKETCH words, in as many as give each shingle a bit: a power of two times SKETCH. Empty for other sets."""
+    fold = int(np.ceil(np.log2(max(len(hashes), 1) / (64 * SKETCH))))
+    return sketch(hashes, SKETCH << fold) if fold > 0 else np.empty(0, np.int64)
+
+
+def may_be_similar(a: np.ndarray, n: int, b: np.ndarray, m: int, similarity: float) -> bool:
+    """Whether sets of n and m shingles can be similar by their wide sketches; the wider is folded onto the other. True where either is empty."""
+    if not len(a) or not len(b):
+        return True
+    while len(a) != len(b):
+        a, b = sorted((a, b), key=len)
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return (n + m - int(np.bitwise_count((a ^ b).view(np.uint64)).sum())) * (1 + similarity) >= (n + m) * 2 * similarity - 1e-6
+
+
 def _prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(id, sig: hash of the text's distinct shingles, n: how many, first: their prefix, bits: their sketch)."""
+    """(id, sig: hash of the text's distinct shingles, n: how many, first: their prefix, bits and wide: their sketches)."""
     known = texts.sparkSession.sparkContext.broadcast(_common(texts, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, sizes, first, bits = [], [], [], []
+            sigs, sizes, first, bits, wide = [], [], [], [], []
             for t in b.column(1):
                 h = np.unique(shingle_hashes(t.as_py(), k))
                 sigs.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
                 sizes.append(len(h))
                 first.append(prefix(h, similarity, *known.value).view(np.int64))
                 bits.append(sketch(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["id", "sig", "n", "first", "bits"])
+                wide.append(wide_sketch(h))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, bits, wide)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), *lists], ["id", "sig", "n", "first", "bits", "wide"])
 
-    return texts.mapInArrow(run, "id long, sig long, n int, first array<long>, bits array<long>")
+    return texts.mapInArrow(run, "id long, sig long, n int, first array<long>, bits array<long>, wide array<long>")
 
 
 def _index(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -253,6 +271,20 @@ def _other_pairs(rows: DataFrame, similarity: float, block: int) -> DataFrame:
     return _ordered(small.alias("a").join(large.alias("b"), met & _fits(similarity) & _may_be(similarity)).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")))
 
 
+def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) that wide sketches don't rule out: a small part of long texts' pairs, before whole texts are joined."""
+    wide = nodes.where(F.size("wide") > 0).select("id", "n", "wide")
+    both = pairs.join(wide.select(F.col("id").alias("u"), F.col("n").alias("n"), F.col("wide").alias("a")), "u", "left").join(wide.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("wide").alias("b")), "v", "left")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            cells = zip(*(c.to_pylist() for c in r.columns[2:4]), *(r.column(k) for k in (4, 5)), strict=True)
+            good = [not a.is_valid or not b.is_valid or may_be_similar(a.values.to_numpy(), n, b.values.to_numpy(), m, similarity) for n, m, a, b in cells]
+            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("u", "v", "n", "m", "a", "b").mapInArrow(keep, "u long, v long")
+
+
 def jaccard(a: str | None, b: str | None, k: int = SHINGLE) -> float:
     x, y = np.unique(shingle_hashes(a, k)), np.unique(shingle_hashes(b, k))
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -280,17 +312,17 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGL
     Jaccard similarity, at every size of the table. Similar texts share a shingle of their prefixes.
     First each text is compared with a few others, those nearest by sketch of some that stand for its shingles' texts, which
     joins large groups. Then all pairs that share a shingle and aren't in one group yet are compared, less those whose sketches show that they differ in too many
-    shingles (a bound, not an estimate). Every link is verified by the texts.
+    shingles (a bound, not an estimate; long texts' sketches have a bit for each shingle). Every link is verified by the texts.
     """
     texts = _texts(docs.where(F.col(key).isNotNull()), key, text)
     rows = stored(_prefixes(texts, k, similarity), "near-rows")
-    nodes = stored(rows.groupBy("sig").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("first").alias("first"), F.min("bits").alias("bits")), "near-nodes")
+    nodes = stored(rows.groupBy("sig").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("first").alias("first"), F.min("bits").alias("bits"), F.min("wide").alias("wide")), "near-nodes")
     index = _index(nodes, similarity)
     sketches = nodes.select("id", *(F.col("bits")[i].alias(c) for i, c in enumerate(_BITS)))
     rows_by_key = stored(index.join(sketches, "id"), "near-index")
-    links = stored(_similar(stored(_pivot_pairs(rows_by_key, similarity), "near-pivots"), texts, similarity, k), "near-links")
+    links = stored(_similar(stored(_plausible(_pivot_pairs(rows_by_key, similarity), nodes, similarity), "near-pivots"), texts, similarity, k), "near-links")
     apart = stored(_apart(rows_by_key, components(links, "near-groups")), "near-apart")
-    others = stored(_other_pairs(apart, similarity, block), "near-others")
+    others = stored(_plausible(_other_pairs(apart, similarity, block), nodes, similarity), "near-others")
     label = components(links.unionByName(_similar(others, texts, similarity, k)), "near").withColumnsRenamed({"node": "n", "component": "c"})
     named = nodes.select("sig", F.col("id").alias("n")).join(label, "n", "left").select("sig", F.coalesce("c", "n").alias("group_id"))
     return rows.select("id", "sig").join(named, "sig").select(F.col("id").alias(key), "group_id")

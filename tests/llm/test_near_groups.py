@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tallyforge.llm import simhash
 
 
@@ -83,6 +85,31 @@ def test_a_large_family_of_near_copies(spark):
     assert groups(spark, rows) == want and groups(spark, rows, block=9) == want
 
 
+def test_pairs_of_long_texts_at_the_limit(spark):
+    r, rows = random.Random(5), []
+    shared = fresh(r, 40)
+    for i in range(0, 120, 2):
+        w = shared + fresh(r, r.choice((460, 900, 1020, 2040, 3000)))
+        cut = round(len(w) * r.uniform(0.05, 0.15))
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:-cut] + fresh(r, r.randint(0, cut))))]
+    want = brute(rows)
+    assert 5 < sum(k != v for k, v in want.items()) < 55
+    assert groups(spark, rows) == want
+
+
+def test_wide_sketches_bound_the_difference():
+    r = np.random.default_rng(6)
+    for n in (400, 513, 1000, 1024, 1025, 5000):
+        a = r.integers(0, 2**64, n, np.uint64)
+        for out in (0.05, 0.11, 0.25, 1.0):
+            b = np.concatenate([a[: round(n * (1 - out))], r.integers(0, 2**64, round(n * out / 2), np.uint64)])
+            same = len(np.intersect1d(a, b))
+            similar = same * 5 >= 4 * (len(a) + len(b) - same)
+            may = simhash.may_be_similar(simhash.wide_sketch(a), len(a), simhash.wide_sketch(b), len(b), 0.8)
+            assert may or not similar
+            assert not may or out < 1 or min(len(a), len(b)) <= 512
+
+
 def test_repeats_count_once(spark):
     r = random.Random(4)
     phrase = fresh(r, 9)
