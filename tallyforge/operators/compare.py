@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.functions import statistics as S
+from tallyforge.operators.ranks import ranked, with_group
+from tallyforge.sources.staging import stored
 
 
 def top2_compare(df: DataFrame, keys: list[str], group: str, k: str, n: str) -> DataFrame:
@@ -49,17 +51,17 @@ def mean_difference(df: DataFrame, keys: list[str], side: Column, value: str) ->
 
 def false_discovery(df: DataFrame, family: list[str], p: str, tie: str, alpha: float = 0.05) -> DataFrame:
     """df with fdr_significant by Benjamini and Hochberg within each family; null p never is."""
-    by = W.partitionBy(*family, F.col(p).isNull()) if family else W.partitionBy(F.col(p).isNull())
-    rank = F.row_number().over(by.orderBy(p, tie))
-    ranked = df.withColumns({"_rank": rank, "_n": F.count(p).over(by)})
-    last = F.max(F.when(F.col(p) <= F.col("_rank") / F.nullif(F.col("_n"), F.lit(0)) * alpha, F.col("_rank"))).over(by)
-    return ranked.withColumn("fdr_significant", F.col(p).isNotNull() & F.coalesce(F.col("_rank") <= last, F.lit(False))).drop("_rank", "_n")
+    rows = ranked(df.withColumn("_known", F.col(p).isNotNull().cast("int")), family, [F.asc_nulls_last(p), F.asc(tie)], "_known")
+    passes = F.col(p) <= F.col("_rank") / F.nullif(F.col("_total"), F.lit(0.0)) * alpha
+    last = rows.groupBy(*family).agg(F.max(F.when(passes, F.col("_rank"))).alias("_last"))
+    out = with_group(rows, last, family).withColumn("fdr_significant", F.col(p).isNotNull() & F.coalesce(F.col("_rank") <= F.col("_last"), F.lit(False)))
+    return out.drop("_known", "_rank", "_size", "_running", "_total", "_last")
 
 
 def rate_outliers(df: DataFrame, family: list[str], item: str, k: str, n: str) -> DataFrame:
     """Items of at least 30 trials against their family's pooled rate, with false-discovery control."""
-    by = W.partitionBy(*family) if family else W.partitionBy(F.lit(0))
-    base = F.sum(k).over(by) / F.nullif(F.sum(n).over(by).cast("double"), F.lit(0.0))
+    rows = stored(df, "rates")
+    base = rows.groupBy(*family).agg((F.sum(k) / F.nullif(F.sum(n).cast("double"), F.lit(0.0))).alias("baseline"))
     lo, hi = S.wilson(F.col(k), F.col(n))
-    tested = df.withColumn("baseline", base).where(S.enough(F.col(n))).withColumns({"rate": F.col(k) / F.col(n), "wilson_low": lo, "wilson_high": hi, "p_value": S.one_sided_binomial_p(F.col(k), F.col(n), F.col("baseline"))})
+    tested = with_group(rows.where(S.enough(F.col(n))), base, family).withColumns({"rate": F.col(k) / F.col(n), "wilson_low": lo, "wilson_high": hi, "p_value": S.one_sided_binomial_p(F.col(k), F.col(n), F.col("baseline"))})
     return false_discovery(tested, family, "p_value", item)

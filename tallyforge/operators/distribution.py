@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ranks import counted, ranked, with_group
+
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     v = F.col(value)
@@ -15,9 +17,18 @@ def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, keys: list[str], value: str, n: int = 4) -> DataFrame:
-    """(keys, edges): the least value and the inner quantiles, n left edges; groups of under n values have none."""
-    shares = [F.lit(i / n) for i in range(n)]
-    return df.groupBy(*keys).agg(F.percentile(value, F.array(*shares)).alias("edges"), F.count(value).alias("_n")).where(f"_n >= {n}").drop("_n")
+    """(keys, edges): the least value and the inner quantiles, n left edges; groups of under n values have none.
+
+    Places between two values are interpolated. Values are counted and ranked by ranges, so that no task keeps all of a group's.
+    """
+    at = lambda i: (F.col("_of") - 1) * i / F.lit(n)
+    has = lambda place: (place >= F.col("_before")) & (place < F.col("_before") + F.col("_c"))
+    values = counted(df, keys, value).where(f"_of >= {n}")
+    met = values.withColumn("_i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: has(F.floor(at(i))) | has(F.ceil(at(i))))))
+    place, v = at(F.col("_i")), F.col(value).cast("double")
+    ends = met.withColumn("_share", place - F.floor(place)).groupBy(*keys, "_i").agg(F.max("_share").alias("_share"), F.max(F.when(has(F.floor(place)), v)).alias("_low"), F.max(F.when(has(F.ceil(place)), v)).alias("_high"))
+    edge = F.when(F.col("_share") == 0, F.col("_low")).otherwise((1 - F.col("_share")) * F.col("_low") + F.col("_share") * F.col("_high"))
+    return ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", edge.alias("e")))).getField("e").alias("edges")).where("size(edges) > 0")  # n for each group
 
 
 def band_of(value: Column, edges: Column) -> Column:
@@ -27,8 +38,7 @@ def band_of(value: Column, edges: Column) -> Column:
 
 def banded(df: DataFrame, keys: list[str], value: str, n: int = 4) -> DataFrame:
     """df's rows with a band and its bounds (the last has no upper one); rows without a value go."""
-    edges = quantile_edges(df, keys, value, n)
-    joined = df.where(F.col(value).isNotNull()).join(F.broadcast(edges), keys) if keys else df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(edges))  # one row of edges
+    joined = with_group(df.where(F.col(value).isNotNull()), quantile_edges(df, keys, value, n), keys)
     band = band_of(F.col(value), F.col("edges"))
     return joined.withColumn("band", band.cast("long")).withColumns({"low": F.col("edges")[F.col("band").cast("int")], "high": F.try_element_at("edges", (F.col("band") + 2).cast("int"))}).drop("edges")
 
@@ -56,12 +66,14 @@ def bimodality(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def concentration(df: DataFrame, keys: list[str], value: str, top: float = 0.2) -> DataFrame:
-    """Gini, HHI and the share of the top items for each group; null where a value is negative or all are zero."""
-    by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    v = F.col(value)
-    n = F.count(v).over(by)
-    ranked = df.where(v.isNotNull()).withColumns({"_up": F.row_number().over(by.orderBy(v)), "_down": F.row_number().over(by.orderBy(v.desc())), "_k": F.greatest(F.lit(1), F.bround(n * top).cast("long"))})
-    s = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.sum(F.col("_up") * v).alias("_w"), F.sum(v * v).alias("_sq"), F.min(v).alias("_min"), F.sum(F.when(F.col("_down") <= F.col("_k"), v)).alias("_head"))
+    """Gini, HHI and the share of the top items for each group; null where a value is negative or all are zero.
+
+    Equal values are taken together, at the ranks that they fill.
+    """
+    v, c, below, n = (F.col(x) for x in (value, "_c", "_before", "_of"))
+    shown = F.greatest(F.lit(1), F.bround(n * top).cast("long"))
+    in_head = F.greatest(F.lit(0), F.least(c, shown - (n - below - c)))
+    s = counted(df, keys, value).groupBy(*keys).agg(F.sum(c).alias("n"), F.sum(v * c).alias("total"), F.sum(v * (c * below + c * (c + 1) / 2)).alias("_w"), F.sum(v * v * c).alias("_sq"), F.min(v).alias("_min"), F.sum(v * in_head).alias("_head"))
     ok = (F.col("_min") >= 0) & (F.col("total") > 0)
     t = F.nullif(F.col("total"), F.lit(0.0))
     return s.select(*keys, "n", "total", F.when(ok, (2 * F.col("_w") - (F.col("n") + 1) * t) / (F.col("n") * t)).alias("gini"), F.when(ok, F.col("_sq") / (t * t)).alias("hhi"), F.when(ok, F.col("_head") / t).otherwise(0.0).alias("top_share"))
@@ -69,15 +81,14 @@ def concentration(df: DataFrame, keys: list[str], value: str, top: float = 0.2)
 
 def pareto(df: DataFrame, keys: list[str], item: str, value: str) -> DataFrame:
     """Each item's rank, share and cumulative share, largest first; groups with a negative value or no total have none."""
-    by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    order = by.orderBy(F.desc(value), item)
-    total = F.sum(value).over(by)
-    rows = df.where(F.col(value).isNotNull()).withColumns({"_min": F.min(value).over(by), "_t": total, "rank": F.row_number().over(order), "_n": F.count("*").over(by), "_c": F.sum(value).over(order.rowsBetween(W.unboundedPreceding, 0))})
-    return rows.where("_min >= 0 AND _t > 0").select(*keys, item, value, F.col("rank").cast("long").alias("rank"), (F.col("rank") / F.col("_n")).alias("cum_item_frac"), (F.col(value) / F.col("_t")).alias("share"), (F.col("_c") / F.col("_t")).alias("cum_share"))
+    rows = ranked(df.where(F.col(value).isNotNull()), keys, [F.desc(value), F.asc(item)], value)
+    least = rows.groupBy(*keys).agg(F.min(value).alias("_min"))
+    kept = with_group(rows, least, keys).where("_min >= 0 AND _total > 0")
+    return kept.select(*keys, item, value, F.col("_rank").cast("long").alias("rank"), (F.col("_rank") / F.col("_size")).alias("cum_item_frac"), (F.col(value) / F.col("_total")).alias("share"), (F.col("_running") / F.col("_total")).alias("cum_share"))
 
 
 def pareto_summary(curve: DataFrame, keys: list[str], reach: float = 0.8) -> DataFrame:
     """Items needed for `reach` of the value, and the share of the top tenth (at least one item)."""
     n = F.max("rank")
-    each = curve.join(curve.groupBy(*keys).agg(n.alias("_n")), keys) if keys else curve.crossJoin(F.broadcast(curve.agg(n.alias("_n"))))  # one row
+    each = with_group(curve, curve.groupBy(*keys).agg(n.alias("_n")), keys)
     return each.groupBy(*keys).agg(F.max("_n").alias("items"), F.min(F.when(F.col("cum_share") >= reach - 1e-12, F.col("rank"))).alias("items_for_80"), F.max(F.when(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.1)), F.col("cum_share"))).alias("top_decile_share"))

@@ -171,6 +171,12 @@ def _(spark, d):
     return spark.read.parquet(f"{folder}/merged/{max(done)}")
 
 
+@query("stream_conflicts", "SELECT user_id, event_type, 'value' AS conflict FROM ev GROUP BY user_id, event_type HAVING count(DISTINCT value) > 1", "", EV)
+def _(spark, d):
+    folder = stream.run_available(_stream(spark, d).select("user_id", "event_type", "event_id", "value"), "conflicts", "append", stream.merge_epoch(["user_id", "event_type"], "event_id"))
+    return spark.read.parquet(f"{folder}/conflicts/epoch=*").select("user_id", "event_type", "conflict").distinct()
+
+
 @query("stream_response", "SELECT p.event_id, c.event_id AS click_id FROM ev p JOIN ev c ON p.user_id = c.user_id AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL 1 HOUR WHERE p.event_type = 'purchase' AND c.event_type = 'click'", "", EV)
 def _(spark, d):
     folder = stream.run_available(stream.responses(_stream(spark, d), late="400 days"), "response", "append", stream.append_epoch)

@@ -163,6 +163,32 @@ def test_global_rank_matches_window(spark):
         assert got[r.id] == (i + 1, pytest.approx(total))
 
 
+def test_ranked_in_groups_across_partitions(spark):
+    group = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise((F.col("id") % 40).cast("string"))
+    rows = spark.range(900).select("id", group.alias("g"), (F.xxhash64("id") % 20).cast("double").alias("v"))
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r.g, []).append((r.v, r.id))
+    for n in (1, 7, 64):
+        got = {r.id: (r._rank, r._size, r._running, r._total) for r in ranks.ranked(rows, ["g"], [F.asc("v"), F.asc("id")], "v", n).collect()}
+        assert len(got) == 900
+        for members in groups.values():
+            run = 0.0
+            for i, (v, key) in enumerate(sorted(members)):
+                run += v
+                assert got[key] == (i + 1, len(members), pytest.approx(run), pytest.approx(sum(m[0] for m in members)))
+
+
+def test_quantile_edges_match_percentile(spark):
+    rows = spark.range(700).select((F.col("id") % 4).alias("g"), F.when(F.col("id") % 11 != 0, (F.xxhash64("id") % 30) / 7).alias("v")).unionByName(spark.createDataFrame([(9, 1.0), (9, 2.0)], "g long, v double"))
+    want = {r.g: r.e for r in rows.groupBy("g").agg(F.percentile("v", F.array(*(F.lit(i / 5) for i in range(5)))).alias("e")).collect()}
+    got = {r.g: r.edges for r in distribution.quantile_edges(rows, ["g"], "v", 5).collect()}
+    assert set(got) == {0, 1, 2, 3} and all(got[g] == pytest.approx(want[g]) for g in got)
+    whole = distribution.quantile_edges(rows, [], "v", 4).first().edges
+    assert whole == pytest.approx(rows.select(F.percentile("v", F.array(*(F.lit(i / 4) for i in range(4))))).first()[0])
+    assert distribution.quantile_edges(rows.where("v > 99"), [], "v").count() == 0
+
+
 def test_text(spark):
     docs = spark.createDataFrame([(1, "abcx"), (2, "abcy"), (3, ""), (4, None), (5, "12")], "id int, t string")
     terms = {r.term for r in text.themes(docs, "id", "t").collect()}
