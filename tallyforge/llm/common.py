@@ -23,8 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stored").rstrip("/")
 
 
-#: Rows that a Python worker gets at a time while stored() writes; texts are long, so Spark's default of 10,000 takes much memory.
-BATCH = 1000
+#: Rows and bytes that a Python worker gets at a time while stored() writes; texts are long, so Spark's defaults of 10,000 rows and 64 MB take much memory.
+BATCH, BATCH_BYTES = 1000, 8 << 20
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -33,13 +33,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Its lineage ends at those files, so that a lost executor costs no more than a reread.
     """
     spark = df.sparkSession
-    path, batch = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k, None) for k in most}
+    for k, limit in most.items():
+        now = int(before[k] or 0)
+        spark.conf.set(k, str(min(now, limit) if now > 0 else limit))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(batch, before)
+        for k, value in before.items():
+            if value is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
