@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import ann, decontaminate, langid, licences, linededup, packing, pseudonyms, secrets, simhash, toxicity
+from tallyforge.llm import ann, decontaminate, fim, langid, licences, linededup, packing, pseudonyms, secrets, sharding, simhash, spelling, toxicity
 
 QUERIES = {
     "op9_ann": ann.op9_ann,
@@ -15,8 +15,12 @@ QUERIES = {
     "op3_licences": licences.op3_licences,
     "op7_pseudonyms": pseudonyms.op7_pseudonyms,
     "op10_secrets": secrets.op10_secrets,
+    "op11_fim": fim.op11_fim,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_sharding": sharding.op13_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_licences": licences.oracle(),
+    "op11_fim": fim.SQL,
 }
