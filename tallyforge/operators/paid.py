@@ -71,3 +71,25 @@ def spend_response(df: DataFrame, bins: int = 4) -> DataFrame:
     out = s.withColumn("marginal_roas", F.when(step > 0, (F.col("avg_gmv") - F.lag("avg_gmv").over(by)) / F.nullif(step, F.lit(0.0))))
     first = F.min(F.when(F.col("marginal_roas") < 1, F.col("bin"))).over(W.partitionBy(F.lit(0)))
     return out.withColumn("is_saturation", F.coalesce(F.col("bin") == first, F.lit(False)))
+
+
+def capabilities(df: DataFrame, keys: list[str], metrics: dict[str, str], links: dict[str, str], coarsest: str) -> DataFrame:
+    """What exports of a key can answer: which metrics have any amount, rows with each link (finest first), and the finest grain that has one."""
+    flags = [(F.coalesce(F.sum(c), F.lit(0)) > 0).alias(f"has_{n}_metrics") for n, c in metrics.items()]
+    grain = F.lit(coarsest)
+    for name, c in reversed(links.items()):
+        grain = F.when(F.count(c) > 0, name).otherwise(grain)
+    linked = [F.count(c).alias(f"{n}_link_rows") for n, c in links.items()]
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("rows"), F.min("day").alias("first_date"), F.max("day").alias("last_date"), F.sum("spend").alias("total_spend"), *flags, *linked, grain.alias("detected_grain")
+    )
+
+
+def reported_gap(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Price per thousand impressions from sums and as reported (cpm, weighted by its impressions), which of them counts, and how far they are apart."""
+    sums = (F.sum(c).alias(c) for c in ("spend", "impressions", "clicks", "orders", "gmv"))
+    s = df.groupBy(*keys).agg(*sums, weighted_average(F.col("cpm"), F.col("impressions")).alias("cpm_reported"))
+    calc = ratio(F.col("spend") * 1000, F.col("impressions"))
+    return s.withColumns({
+        "ctr_calc": ratio(F.col("clicks"), F.col("impressions")), "cpm_calc": calc, "cpm_effective": F.coalesce(calc, F.col("cpm_reported")), "cpm_gap": calc - F.col("cpm_reported"),
+    })

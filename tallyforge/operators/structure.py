@@ -171,3 +171,40 @@ def class_first(df: DataFrame, key: str, n: str, k: str, shown: int) -> DataFram
     rate = ratio(F.col(k), F.col(n))
     top = df.withColumn("rate", rate).orderBy(F.col(n) < S.MIN_N, F.desc_nulls_last("rate"), key).limit(shown)
     return top.withColumn("place", F.row_number().over(W.orderBy(F.col(n) < S.MIN_N, F.desc_nulls_last("rate"), key)).cast("long"))  # the shown rows
+
+
+#: Reads below which a note needs more data, and the weights of what its readers did.
+CONFIDENT_READS, INTENT, ORDERS = 50, 0.5, 0.5
+
+
+def reshoot_candidates(notes: DataFrame, shown: int = 10) -> DataFrame:
+    """Ranked notes (note, reads, collects, clicks, orders, gmv, refund_amount): shrunk collect rate, gap to the most read, intent, less refunds.
+
+    Notes with enough reads come first; ties go by score, shrunk rate, rate, reads and note.
+    """
+    c = F.col
+    top = notes.agg(F.max("reads").cast("double").alias("_top"))
+    rows = notes.crossJoin(F.broadcast(top))  # one row
+    rate = F.coalesce(ratio(c("collects"), c("reads")), F.lit(0.0))
+    rows = rows.withColumns({
+        "collect_rate": rate, "conservative_collect_rate": c("reads") / (c("reads") + F.lit(float(CONFIDENT_READS))) * rate,
+        "read_gap_to_max": 1 - ratio(c("reads"), c("_top")), "click_rate": ratio(c("clicks"), c("reads")), "order_rate": ratio(c("orders"), c("clicks")),
+        "refund_penalty": F.when(c("gmv") > 0, F.least(F.greatest(c("refund_amount") / c("gmv"), F.lit(0.0)), F.lit(1.0))).otherwise(0.0),
+        "needs_more_data": c("reads") < CONFIDENT_READS,
+    })
+    most = lambda x: F.least(F.coalesce(c(x), F.lit(0.0)), F.lit(1.0))
+    bonus = 1 + INTENT * most("click_rate") + ORDERS * most("order_rate")
+    score = c("conservative_collect_rate") * (1 + c("read_gap_to_max")) * bonus * (1 - c("refund_penalty"))
+    order = [c("needs_more_data"), *(F.desc(x) for x in ("opportunity_score", "conservative_collect_rate", "collect_rate", "reads")), c("note")]
+    best = rows.withColumn("opportunity_score", score).orderBy(*order).limit(shown)
+    kept = ("note", "reads", "collects", "collect_rate", "conservative_collect_rate", "read_gap_to_max", "click_rate", "order_rate", "refund_penalty", "needs_more_data", "opportunity_score")
+    return best.select(F.row_number().over(W.orderBy(*order)).cast("long").alias("rank"), *kept)  # the shown rows
+
+
+def leaks(df: DataFrame, term: str, views: str, clicks: str, orders: str) -> DataFrame:
+    """Terms whose orders per view are below all terms', by the step that is below its own baseline: the click first, then the order."""
+    n = lambda x: F.sum(x).cast("double")
+    whole = df.agg(ratio(n(clicks), n(views)).alias("_click"), ratio(n(orders), n(clicks)).alias("_order"), ratio(n(orders), n(views)).alias("_all"))
+    rows = df.crossJoin(F.broadcast(whole)).withColumns({"click_rate": ratio(F.col(clicks), F.col(views)), "order_rate": ratio(F.col(orders), F.col(clicks))})  # one row
+    kind = F.when(F.col("click_rate") < F.col("_click"), "click_leak").when(F.col("order_rate") < F.col("_order"), "conversion_leak").otherwise("leak")
+    return rows.where((F.col(views) > 0) & (F.col(orders) / F.col(views) < F.col("_all"))).select(term, views, clicks, orders, "click_rate", "order_rate", kind.alias("leak_type"))

@@ -1,6 +1,7 @@
 """Query plans composed of the operators, and their registry."""
 
-from tallyforge.plans import catalogue_facts, catalogue_more, catalogue_structure, catalogue_tasks  # noqa: F401
+from tallyforge.plans import catalogue_facts, catalogue_more, catalogue_results, catalogue_structure, catalogue_tasks  # noqa: F401
 from tallyforge.plans.catalogue import FOUND as ALL
+from tallyforge.tasks import queries  # noqa: F401
 
 __all__ = ["ALL"]

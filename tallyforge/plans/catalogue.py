@@ -13,6 +13,7 @@ from tallyforge.operators import compare, distribution, ranks, series, windows
 from tallyforge.plans import marts
 from tallyforge.plans import sqltext as T
 from tallyforge.sources import bindings as B
+from tallyforge.sources.workspace import Source, mart
 
 FOUND: dict[str, "Query"] = {}
 DIGITS = 4
@@ -20,7 +21,7 @@ DIGITS = 4
 
 @dataclass
 class Query:
-    run: Callable[[SparkSession, str], DataFrame]
+    run: Callable[[SparkSession, Source], DataFrame]
     sql: str | None
 
 
@@ -30,9 +31,9 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", head: str = "", digits: int = DIGITS) -> Callable:
-    """Registers a function of (spark, sf_dir); head: common table expressions before sql."""
+    """Registers a function of (spark, source: a folder or a workspace); head: common table expressions before sql."""
 
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+    def register(f: Callable[[SparkSession, Source], DataFrame]) -> Callable:
         text = sql if sql is None else (T.rounded(f"{head}\n--\n{sql}" if head else sql, doubles, digits) if doubles else head + sql)
         FOUND[name] = Query(lambda spark, sf_dir: finish(f(spark, sf_dir), digits), text)
         return f
@@ -40,20 +41,27 @@ def query(name: str, sql: str | None = None, doubles: str = "", head: str = "",
     return register
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.order_lines(spark, sf_dir)
+def lines(spark: SparkSession, source: Source) -> DataFrame:
+    return B.order_lines(spark, source)
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.shop_daily(lines(spark, sf_dir))
+@mart
+def daily(spark: SparkSession, source: Source) -> DataFrame:
+    return marts.shop_daily(lines(spark, source))
 
 
-def perf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.sku_performance(lines(spark, sf_dir), B.products(spark, sf_dir))
+@mart
+def sku_days(spark: SparkSession, source: Source) -> DataFrame:
+    return marts.daily_sku_sales(lines(spark, source))
 
 
-def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.shop_monthly(daily(spark, sf_dir))
+@mart
+def perf(spark: SparkSession, source: Source) -> DataFrame:
+    return marts.sku_performance(lines(spark, source), B.products(spark, source))
+
+
+def monthly(spark: SparkSession, source: Source) -> DataFrame:
+    return marts.shop_monthly(daily(spark, source))
 
 
 # Marts
@@ -61,7 +69,7 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("daily_sku_sales", "SELECT shop_id, day, sku_id, units, gmv, order_count FROM daily", "units gmv", T.with_(T.ORDER_LINES, T.DAILY_SKU))
 def _(spark, d):
-    return marts.daily_sku_sales(lines(spark, d))
+    return sku_days(spark, d)
 
 
 @query(
@@ -100,7 +108,7 @@ def _(spark, d):
             "specs(w, p0, p1, q0, q1) AS (VALUES ('d0_1', -1, 0, 0, 1), ('d1_3', -3, 0, 1, 4), ('d4_7', -4, 0, 4, 8), ('d8_14', -7, 0, 8, 15))"),
 )
 def anchored_lift(spark, d):
-    return windows.anchored_lift(B.anchors(spark, d), marts.daily_sku_sales(lines(spark, d)))
+    return windows.anchored_lift(B.anchors(spark, d), sku_days(spark, d))
 
 
 @query(
@@ -112,7 +120,7 @@ def anchored_lift(spark, d):
     T.with_(T.ORDER_LINES, T.DAILY_SKU, "anchors AS (SELECT shop_id, order_id || '-' || line AS note_id, sku_id, day AS publish_day FROM ol WHERE priority = '1-URGENT')"),
 )
 def _(spark, d):
-    return windows.response_windows(B.anchors(spark, d), marts.daily_sku_sales(lines(spark, d)))
+    return windows.response_windows(B.anchors(spark, d), sku_days(spark, d))
 
 
 @query(

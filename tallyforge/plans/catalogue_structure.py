@@ -11,6 +11,7 @@ from tallyforge.plans import sqltext as T
 from tallyforge.plans.catalogue import daily, lines, perf, query
 from tallyforge.sources import bindings as B
 from tallyforge.sources import harmonise as H
+from tallyforge.sources.workspace import mart
 
 EV, NF, OL, SD, SP = T.with_(T.EVENTS), T.with_(T.EVENTS, T.FUNNEL), T.with_(T.ORDER_LINES), T.with_(T.ORDER_LINES, T.SHOP_DAY), T.with_(T.ORDER_LINES, T.SKU_PERF)
 
@@ -280,6 +281,7 @@ RATIO_NAMES = "spend gmv ctr_calc cpm_calc cpc_calc order_rate_calc cpo_calc roa
 SUMS = "sum(spend) AS spend, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(orders) AS BIGINT) AS orders, sum(gmv) AS gmv"
 
 
+@mart
 def ads(spark, d):
     rows = B.table(spark, d, "lineitem").join(B.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(B.table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # nation: 25 rows
     gmv = F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 0.05)

@@ -5,44 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHOPS = 5
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each order line, with its shop, day, product, buyer, amounts and refund flag."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
-        (F.col("l_suppkey") % SHOPS).alias("shop_id"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("o_orderdate").cast("date").alias("day"),
-        F.col("l_partkey").alias("sku_id"), F.col("o_custkey").alias("buyer_id"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("paid_amount"),
-        (F.col("l_returnflag") == "R").alias("refunded"), F.col("l_linestatus").alias("carrier"), (F.col("l_extendedprice") * F.col("l_tax")).alias("spend"), F.col("o_orderpriority").alias("priority"),
-        F.col("l_suppkey").alias("supplier_id"), F.col("l_returnflag").alias("reason"),
-    )
+from tallyforge.sources.workspace import Source, Workspace, mart
 
-
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    return part.select(F.col("p_partkey").alias("sku_id"), F.col("p_name").alias("sku_name"), F.col("p_type").alias("category_l1"), F.col("p_brand").alias("category_l2"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
-
-
-def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+SHOPS = 5
+#: Columns of order lines: the raw columns that each is made of, and how.
+ORDER_LINES = {
+    "shop_id": ("l_suppkey", lambda: F.col("l_suppkey") % SHOPS),
+    "order_id": ("l_orderkey", lambda: F.col("l_orderkey")),
+    "line": ("l_linenumber", lambda: F.col("l_linenumber")),
+    "day": ("o_orderdate", lambda: F.col("o_orderdate").cast("date")),
+    "sku_id": ("l_partkey", lambda: F.col("l_partkey")),
+    "buyer_id": ("o_custkey", lambda: F.col("o_custkey")),
+    "quantity": ("l_quantity", lambda: F.col("l_quantity")),
+    "paid_amount": ("l_extendedprice l_discount", lambda: F.col("l_extendedprice") * (1 - F.col("l_discount"))),
+    "refunded": ("l_returnflag", lambda: F.col("l_returnflag") == "R"),
+    "carrier": ("l_linestatus", lambda: F.col("l_linestatus")),
+    "spend": ("l_extendedprice l_tax", lambda: F.col("l_extendedprice") * F.col("l_tax")),
+    "priority": ("o_orderpriority", lambda: F.col("o_orderpriority")),
+    "supplier_id": ("l_suppkey", lambda: F.col("l_suppkey")),
+    "reason": ("l_returnflag", lambda: F.col("l_returnflag")),
+}
+PRODUCTS = {"sku_id": "p_partkey", "sku_name": "p_name", "category_l1": "p_type", "category_l2": "p_brand", "price": "p_retailprice", "size": "p_size"}
+
+
+def table(spark: SparkSession, source: Source, name: str) -> DataFrame:
+    return source.table(name) if isinstance(source, Workspace) else spark.read.parquet(f"{source}/{name}.parquet")
+
+
+@mart
+def order_lines(spark: SparkSession, source: Source) -> DataFrame:
+    """One row for each order line, with its shop, day, product, buyer, amounts and refund flag; a column whose raw columns are absent is left out."""
+    joined = table(spark, source, "lineitem").join(table(spark, source, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    have = set(joined.columns)
+    return joined.select(*(make().alias(c) for c, (raw, make) in ORDER_LINES.items() if have.issuperset(raw.split())))
+
+
+def products(spark: SparkSession, source: Source) -> DataFrame:
+    part = table(spark, source, "part")
+    return part.select(*(F.col(raw).alias(c) for c, raw in PRODUCTS.items() if raw in part.columns))
+
+
+@mart
+def traffic(spark: SparkSession, source: Source) -> DataFrame:
     """Events with their note number k (0 to 99) and day."""
-    return table(spark, sf_dir, "events").select("event_id", "ts", F.col("ts").cast("date").alias("day"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return table(spark, source, "events").select("event_id", "ts", F.col("ts").cast("date").alias("day"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-def note_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+@mart
+def note_funnel(spark: SparkSession, source: Source) -> DataFrame:
     """Counts of each stage for each note k, and what was paid."""
     stage = lambda name: F.count_if(F.col("event_type") == name)
-    return traffic(spark, sf_dir).groupBy("k").agg(stage("view").alias("views"), stage("click").alias("clicks"), stage("signup").alias("carts"), stage("purchase").alias("orders"), stage("error").alias("refunds"), F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("gmv"))
+    return traffic(spark, source).groupBy("k").agg(stage("view").alias("views"), stage("click").alias("clicks"), stage("signup").alias("carts"), stage("purchase").alias("orders"), stage("error").alias("refunds"), F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("gmv"))
 
 
-def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+@mart
+def anchors(spark: SparkSession, source: Source) -> DataFrame:
     """Urgent order lines as publications about their products."""
-    return order_lines(spark, sf_dir).where("priority = '1-URGENT'").select("shop_id", F.concat_ws("-", "order_id", "line").alias("note_id"), "sku_id", F.col("day").alias("publish_day"))
+    return order_lines(spark, source).where("priority = '1-URGENT'").select("shop_id", F.concat_ws("-", "order_id", "line").alias("note_id"), "sku_id", F.col("day").alias("publish_day"))
 
 
-def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text"))
+def comments(spark: SparkSession, source: Source) -> DataFrame:
+    return table(spark, source, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text"))
