@@ -20,9 +20,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
-from operator import add
+from operator import add, ne
 
 import pandas as pd
 import pyarrow as pa
@@ -36,7 +36,7 @@ LEAST_LETTERS, LEAST_COUNT, TIMES, DROPPED = 6, 5, 5, 199
 GROUPS = ("ae", "io", "un", "rt", "sl", "dc", "mg", "pbf", "hvwkjqxyz")
 LEVELS = len(GROUPS) + 1
 STOPS, NODE, ANCHOR = (2, 4, 6, 8, LEVELS), 4096, 3
-SLICE, KEPT = 1 << 20, 1 << 18
+LEAF, SLICE, KEPT = 16, 1 << 20, 1 << 18
 _RUN, _GAP = re.compile("[a-zÀ-ÿ]+"), re.compile("[^a-zÀ-ÿ]")
 _TO_LEVEL = str.maketrans({c: chr(65 + i) for i, g in enumerate(GROUPS) for c in g} | {chr(c): chr(65 + len(GROUPS)) for c in range(0xC0, 0x100)})
 
@@ -93,42 +93,67 @@ def vector(word: str) -> list[int]:
 
 
 def near(a: str, b: str) -> bool:
-    """Exactly one code point inserted, deleted or replaced."""
-    if len(a) < len(b):
-        a, b = b, a
-    if len(a) - len(b) > 1 or a == b:
-        return False
-    i = 0
-    while i < len(b) and a[i] == b[i]:
-        i += 1
-    return a[i + 1 :] == (b[i + 1 :] if len(a) == len(b) else b[i:])
+    """Exactly one code point deleted of a, or replaced; b isn't the longer one."""
+    if a[:ANCHOR] != b[:ANCHOR] and a[-ANCHOR:] != b[-ANCHOR:]:
+        return False  # words have twice as many letters at least, and an edit leaves one end alone
+    if len(a) == len(b):
+        return sum(map(ne, a, b)) == 1
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(b))
+    return a[i + 1 :] == b[i:]
 
 
 class Trie:
-    """Words by their vectors; at a leaf by their first and last letters."""
+    """Words by their length, then by their vectors. Nodes of at most LEAF words have no further levels; larger leaves hold words by their halves."""
 
     def __init__(self, words: dict[str, int]):
-        self.root: dict = {}
+        by_length: dict[int, list] = {}
         for w, n in words.items():
-            node = self.root
-            for c in vector(w):
-                node = node.setdefault(c, {})
-            node.setdefault(w[:ANCHOR], []).append((w, n))
-            node.setdefault((w[-ANCHOR:],), []).append((w, n))
+            by_length.setdefault(len(w), []).append((tuple(vector(w)), w, n))
+        self.roots = {length: self._grow(items, 0) for length, items in by_length.items()}
+
+    def _grow(self, items: list, level: int) -> list | dict:
+        if len(items) <= LEAF:
+            return items
+        below: dict = {}
+        if level == LEVELS:
+            for x in items:
+                for half in self._halves(x[1], len(x[1]) // 2, len(x[1])):
+                    below.setdefault(half, []).append(x)
+            return below
+        for x in items:
+            below.setdefault(x[0][level], []).append(x)
+        return {c: self._grow(some, level + 1) for c, some in below.items()}
+
+    @staticmethod
+    def _halves(word: str, at: int, length: int) -> tuple:
+        """The first and the last letters of word, as many as the halves of a word of that length have."""
+        return word[:at], (word[-(length - at) :],)
 
     def reach(self, word: str) -> Iterator[tuple[str, int]]:
-        """Words near word that this one must find: of a lesser vector, or of the same one and before it."""
-        v = vector(word)
-        todo = [(self.root, 0, 0)]
-        while todo:
-            node, level, spent = todo.pop()
-            if level == LEVELS:
-                found = dict(node.get(word[:ANCHOR], ())) | dict(node.get((word[-ANCHOR:],), ()))
-                yield from ((w, n) for w, n in found.items() if (spent or w < word) and near(word, w))
-                continue
-            for step, then in ((0, spent), (-1, 1), (1, 2)):
-                if (then == spent or then == spent + 1) and (below := node.get(v[level] + step)) is not None:
-                    todo.append((below, level + 1, then))
+        """Words near word that this one must find: shorter ones, those of a lesser vector, and those of the same one that come before it."""
+        v = tuple(vector(word))
+        for length, most in ((len(word), 2), (len(word) - 1, 1)):
+            todo = [(self.roots[length], 0, 0)] if length in self.roots else []
+            while todo:
+                node, level, spent = todo.pop()
+                if type(node) is list:
+                    yield from self._verified(node, word, v)
+                    continue
+                if level == LEVELS:
+                    found = (x for half in self._halves(word, length // 2, length) for x in node.get(half, ()))
+                    yield from self._verified({x[1]: x for x in found}.values(), word, v)
+                    continue
+                c = v[level]
+                if (below := node.get(c)) is not None:
+                    todo.append((below, level + 1, spent))
+                if spent < most and (below := node.get(c + (1 if spent else -1))) is not None:
+                    todo.append((below, level + 1, spent + 1))
+
+    @staticmethod
+    def _verified(found: Iterable[tuple], word: str, v: tuple) -> Iterator[tuple[str, int]]:
+        for x, w, n in found:
+            if near(word, w) and (len(w) < len(word) or (x, w) < (v, word)):
+                yield w, n
 
 
 def search(words: pd.DataFrame, searches: pd.DataFrame) -> pd.DataFrame:
