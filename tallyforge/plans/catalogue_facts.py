@@ -12,6 +12,7 @@ from tallyforge.plans import sqltext as T
 from tallyforge.plans.catalogue import daily, lines, perf, query
 from tallyforge.sources import bindings as B
 from tallyforge.streaming import marts as stream
+from tallyforge.streaming import partials, responses, sales
 
 EV, OL, SD, SP = T.with_(T.EVENTS), T.with_(T.ORDER_LINES), T.with_(T.ORDER_LINES, T.SHOP_DAY), T.with_(T.ORDER_LINES, T.SKU_PERF)
 
@@ -158,23 +159,71 @@ def _(spark, d):
     return stream.latest(spark, folder, ["day", "event_type", "k"])
 
 
-@query("stream_merge", "SELECT user_id, min(event_id) AS event_id, arg_min(value, event_id) FILTER (value IS NOT NULL) AS value FROM ev GROUP BY user_id", "value", EV)
+@query(
+    "stream_merge",
+    "SELECT user_id, min(event_id) AS event_id, arg_min(value, event_id) FILTER (value IS NOT NULL) AS value FROM ev GROUP BY user_id",
+    "value",
+    EV,
+)
 def _(spark, d):
-    done: list[int] = []
-    merge = stream.merge_epoch(["user_id"], "event_id")
+    rows = _stream(spark, d).select("user_id", "event_id", "value")
+    folder = stream.run_available(rows, "merge", "append", partials.merge_epoch(["user_id"], "event_id"))
+    return partials.merged(spark, folder, ["user_id"], "event_id", ["value"])
 
-    def each(batch, epoch, folder):
-        merge(batch, epoch, folder)
-        done.append(epoch)
 
-    folder = stream.run_available(_stream(spark, d).select("user_id", "event_id", "value"), "merge", "append", each)
-    return spark.read.parquet(f"{folder}/merged/{max(done)}")
+@query(
+    "stream_conflicts",
+    "SELECT user_id, event_type, 'value' AS conflict FROM ev GROUP BY user_id, event_type HAVING count(DISTINCT value) > 1",
+    "",
+    EV,
+)
+def _(spark, d):
+    keys = ["user_id", "event_type"]
+    rows = _stream(spark, d).select(*keys, "event_id", "value")
+    folder = stream.run_available(rows, "conflicts", "append", partials.merge_epoch(keys, "event_id"))
+    return partials.conflicts(spark, folder, keys, "event_id", ["value"])
 
 
-@query("stream_conflicts", "SELECT user_id, event_type, 'value' AS conflict FROM ev GROUP BY user_id, event_type HAVING count(DISTINCT value) > 1", "", EV)
+@query(
+    "stream_sku_days",
+    "SELECT shop_id, day, sku_id, units, gmv, order_count, day < (SELECT max(day) FROM daily_all) - 3 AS final FROM daily",
+    "units gmv",
+    T.with_(T.ORDER_LINES, T.DAILY_SKU, "daily_all AS (SELECT day FROM ol WHERE NOT refunded)"),
+)
 def _(spark, d):
-    folder = stream.run_available(_stream(spark, d).select("user_id", "event_type", "event_id", "value"), "conflicts", "append", stream.merge_epoch(["user_id", "event_type"], "event_id"))
-    return spark.read.parquet(f"{folder}/conflicts/epoch=*").select("user_id", "event_type", "conflict").distinct()
+    """Order lines by year of payment, three days of lateness."""
+    sold = lines(spark, d).where("NOT refunded").select(
+        "shop_id", "day", "sku_id", "order_id", F.col("quantity").alias("units"), F.col("paid_amount").alias("gmv")
+    )
+    folder = stream.run_available(stream.replayed(sold, F.year("day"), "sales"), "sales", "append", sales.sales_epoch(3))
+    return sales.sku_days(spark, folder)
+
+
+FAR = "2999-01-01"
+
+
+@query(
+    "stream_response_windows",
+    """SELECT shop_id, note_id, sku_id, publish_day, coalesce(sum(units) FILTER (g >= 0 AND g < 1), 0.0) AS d0_1_units,
+      coalesce(sum(units) FILTER (g >= 1 AND g < 4), 0.0) AS d1_3_units, coalesce(sum(units) FILTER (g >= 4 AND g < 8), 0.0) AS d4_7_units,
+      coalesce(sum(units) FILTER (g >= 8 AND g < 15), 0.0) AS d8_14_units, count(DISTINCT g) FILTER (g >= 0 AND g < 15) AS matched_sales_days
+      FROM (SELECT a.*, units, day - publish_day AS g FROM anchors a LEFT JOIN daily USING (shop_id, sku_id)) GROUP BY shop_id, note_id, sku_id, publish_day""",
+    "d0_1_units d1_3_units d4_7_units d8_14_units",
+    T.with_(T.ORDER_LINES, T.DAILY_SKU, "anchors AS (SELECT shop_id, order_id || '-' || line AS note_id, sku_id, day AS publish_day FROM ol WHERE priority = '1-URGENT')"),
+)
+def _(spark, d):
+    """The last row of the replay is far ahead, so that all windows before it close."""
+    kept = lines(spark, d).select("shop_id", "order_id", "line", "sku_id", F.col("day").cast("timestamp").alias("ts"), F.col("quantity").alias("units"), "refunded", "priority")
+    far = kept.limit(1).select(
+        F.lit(-1).cast("long").alias("shop_id"), "order_id", "line", "sku_id", F.lit(FAR).cast("timestamp").alias("ts"), "units", F.lit(False).alias("refunded"), F.lit("1-URGENT").alias("priority")
+    )
+    rows = stream.replayed(kept, F.year("ts"), "responses", last=far)
+    anchors = rows.where("priority = '1-URGENT'").select("shop_id", "sku_id", F.concat_ws("-", "order_id", "line").alias("note_id"), F.col("ts").alias("publish_ts"))
+    sold = rows.where("NOT refunded").select("shop_id", "sku_id", F.col("ts").alias("sale_ts"), "units")
+    found = responses.response_windows(anchors, sold, ["shop_id", "sku_id"], "3 days", salts=2)
+    folder = stream.run_available(found, "responses", "append", stream.append_epoch)
+    out = spark.read.parquet(f"{folder}/rows/epoch=*").withColumn("publish_day", F.col("publish_ts").cast("date"))
+    return out.select("shop_id", "note_id", "sku_id", "publish_day", *(f"{w}_units" for w in responses.WINDOWS), "matched_sales_days")
 
 
 @query("stream_response", "SELECT p.event_id, c.event_id AS click_id FROM ev p JOIN ev c ON p.user_id = c.user_id AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL 1 HOUR WHERE p.event_type = 'purchase' AND c.event_type = 'click'", "", EV)

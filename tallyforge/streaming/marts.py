@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,21 +51,12 @@ def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_epoch")))).where("_r = 1").drop("_r", "_epoch", "epoch")
 
 
-def merge_epoch(keys: list[str], order: str) -> Callable[[DataFrame, int, str], None]:
-    """For foreachBatch: keeps, of each key, the first value of each column that isn't null, and below conflicts/ what later differed from it."""
-
-    def each(batch: DataFrame, epoch: int, folder: str) -> None:
-        values = [c for c in batch.columns if c not in (*keys, order)]
-        seen = batch.groupBy(*keys).agg(F.min(order).alias(order), *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in values), *(f(c).alias(f"_{name}_{c}") for c in values for name, f in (("least", F.min), ("most", F.max))))
-        first = seen.select(*keys, order, *values)
-        if epoch:
-            before = batch.sparkSession.read.parquet(f"{folder}/merged/{epoch - 1}")
-            both = before.select(*first.columns).withColumn("_p", F.lit(0)).unionByName(first.withColumn("_p", F.lit(1)))
-            first = both.groupBy(*keys).agg(F.min(order).alias(order), *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_p"))).alias(c) for c in values))
-        first.write.mode("overwrite").parquet(f"{folder}/merged/{epoch}")
-        kept = batch.sparkSession.read.parquet(f"{folder}/merged/{epoch}").select(*keys, *(F.col(c).alias(f"_kept_{c}") for c in values))
-        differs = F.array(*(F.when((F.col(f"_least_{c}") != F.col(f"_kept_{c}")) | (F.col(f"_most_{c}") != F.col(f"_kept_{c}")), F.lit(c)) for c in values))
-        bad = seen.join(kept, keys).select(*keys, F.explode(F.array_compact(differs)).alias("conflict"))
-        bad.write.mode("overwrite").parquet(f"{folder}/conflicts/epoch={epoch}")
-
-    return each
+
+def replayed(rows: DataFrame, by: Column, name: str, files: int = 4, last: DataFrame | None = None) -> DataFrame:
+    """A stream over rows that were written to files in turn, by the few values of a column in their order; last: rows that come after all others."""
+    spark, folder = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/replay-{name}-{uuid.uuid4().hex}"
+    for (value,) in rows.select(by).distinct().orderBy(by).collect():
+        rows.where(by.eqNullSafe(F.lit(value))).coalesce(files).write.mode("append").parquet(folder)
+    if last is not None:
+        last.select(*rows.columns).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
