@@ -157,3 +157,62 @@ def _(spark, d):
     half(1).select(F.col("p_name").alias("SKU name"), F.col("p_partkey").alias("SKU_ID"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("Inventory-optional")).write.option("header", True).csv(f"{folder}/in/b")
     build_tables(spark, f"{folder}/in", f"{folder}/out")
     return spark.read.parquet(f"{folder}/out/skus").select("sku_id", "sku_name", "price", "inventory_optional", "brand")
+
+
+def exports(spark, d) -> str:  # noqa: ANN001
+    """A folder with comments that have line breaks, order lines (one in seven twice, some with bad cells) and a copy of the comments."""
+    folder = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    say = F.concat(F.col("role"), F.lit("\n\"says\", "), F.col("text"))
+    talk = B.table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("note_id"), F.lit("2024-01-02").alias("comment_time"), say.alias("comment_text"))
+    for part in ("talk", "copy"):
+        talk.coalesce(1).orderBy("note_id").write.option("header", True).option("escape", '"').csv(f"{folder}/in/{part}")
+    line = B.table(spark, d, "lineitem")
+    quantity = F.when(F.col("l_orderkey") % 10 == 0, F.lit("1.5")).when(F.col("l_orderkey") % 11 == 0, F.lit("two")).otherwise(F.col("l_quantity").cast("int").cast("string"))
+    rows = line.select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("paid_time"), quantity.alias("quantity"),
+        F.col("l_extendedprice").alias("paid_amount"), F.when(F.col("l_orderkey") % 7 == 0, 2).otherwise(1).alias("times"),
+    )
+    rows.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times").write.option("header", True).csv(f"{folder}/in/lines")
+    return folder
+
+
+@query(
+    "built_comments",
+    "SELECT conv_id || '-' || turn AS note_id, role || chr(10) || '\"says\", ' || text AS comment_text FROM conversations",
+)
+def _(spark, d):
+    folder = exports(spark, d)
+    build_tables(spark, f"{folder}/in", f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out/comments").select("note_id", "comment_text")
+
+
+_EXPORTED = "ex AS (SELECT *, l_orderkey % 10 = 0 OR l_orderkey % 11 = 0 AS bad, CASE WHEN l_orderkey % 7 = 0 THEN 2 ELSE 1 END AS times FROM lineitem)"
+
+
+@query(
+    "built_orders",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS order_id, CAST(l_partkey AS VARCHAR) AS sku_id, CAST(sum(times) AS BIGINT) AS lines, CAST(sum(times * CAST(l_quantity AS INT)) AS BIGINT) AS quantity,
+      sum(times * l_extendedprice) AS paid_amount FROM ex WHERE NOT bad GROUP BY ALL""",
+    "paid_amount",
+    T.with_(_EXPORTED),
+)
+def _(spark, d):
+    folder = exports(spark, d)
+    build_tables(spark, f"{folder}/in", f"{folder}/out")
+    rows = spark.read.parquet(f"{folder}/out/orders")
+    return rows.groupBy("order_id", "sku_id").agg(F.count("*").alias("lines"), F.sum("quantity").alias("quantity"), F.sum("paid_amount").alias("paid_amount"))
+
+
+@query(
+    "build_manifest",
+    """SELECT 'orders' AS table_name, 'classified' AS status, CAST(sum(times) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS broken, CAST(sum(times) FILTER (bad) AS BIGINT) AS invalid,
+      CAST(sum(times) FILTER (NOT bad) AS BIGINT) AS merged_rows FROM ex UNION ALL SELECT 'comments', 'classified', count(*), 0, 0, count(*) FROM conversations
+      UNION ALL SELECT 'comments', 'copy', NULL, NULL, NULL, NULL""",
+    "",
+    T.with_(_EXPORTED),
+)
+def _(spark, d):
+    folder = exports(spark, d)
+    found = build_tables(spark, f"{folder}/in", f"{folder}/out").where(F.col("file").rlike("\\.csv$"))
+    sums = (F.sum(c).alias(c) for c in ("rows", "broken", "invalid"))
+    return found.groupBy("table_name", "status").agg(*sums, F.max("merged_rows").alias("merged_rows"))

@@ -31,18 +31,6 @@ def counts_as_sale(status: Column) -> Column:
     return status.isNull() | ~F.lower(F.trim(status.cast("string"))).isin(*REFUNDED)
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, size, copies) of every file below path; hidden ones are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    shown = files.where(~F.col("path").rlike(r"/\.[^/]*$")).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
-    return shown.withColumn("copies", F.count("*").over(W.partitionBy("sha256")))
-
-
-def unique_files(files: DataFrame) -> DataFrame:
-    """The first path of each content."""
-    return files.groupBy("sha256").agg(F.min("path").alias("path"), F.first("size").alias("size"))
-
-
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, with the file each row came from and its place."""
     df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)

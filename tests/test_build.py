@@ -3,6 +3,7 @@
 from tallyforge.operators import structure
 from tallyforge.sources import harmonise as H
 from tallyforge.sources.build import build_tables
+from tallyforge.sources.files import inventory
 
 
 def test_folder_to_tables(spark, tmp_path):
@@ -24,7 +25,7 @@ def test_folder_to_tables(spark, tmp_path):
     bad = spark.read.parquet(f"{out}/skus_conflicts").collect()
     assert {(r.sku_id, r.column) for r in bad} == {("s2", "price"), ("s2", "inventory_optional")}
     orders = spark.read.parquet(f"{out}/orders").collect()
-    assert len(orders) == 1 and orders[0].quantity == 2 and orders[0].paid_amount == 19.5 and orders[0].paid_time.hour == 3
+    assert len(orders) == 2 and orders[0].quantity == 2 and orders[0].paid_amount == 19.5 and orders[0].paid_time.hour == 3
 
 
 def test_refund_states(spark):
@@ -40,3 +41,42 @@ def test_gaps_on_both_sides_of_an_opportunity(spark):
     sold = spark.createDataFrame([(2, 4.0, 8.0, 2), (3, 1.0, 1.0, 1)], "sku_id int, units double, gmv double, active_days int")
     got = {r.sku_id: r.opportunity_type for r in structure.opportunities(catalog, sold, "sku_id").collect()}
     assert got == {1: "needs_sales", 2: "low_inventory", 3: "response_present"}
+
+
+def test_line_breaks_equal_rows_and_bad_ones(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    (src / "comments.csv").write_text('note_id,comment_time,comment_text\nn1,2024-01-02,"two\nlines, ""here"""\nn1,2024-01-02,plain\nn1,2024-01-02,plain\nn2,2024-01-03,a,b\n')
+    head = "order_id,sku_id,paid_time,quantity,paid_amount\n"
+    (src / "orders.csv").write_text(head + "o1,s1,2024-01-02,1.5,10\no2,s1,2024-01-02,two,10\no3,,2024-01-02,1,10\no4,s1,2024-01-02,2,-1\no5,s1,2024-01-02,2,\"1,200\"\n")
+    manifest = {r.file.rsplit("/", 1)[1]: r for r in build_tables(spark, [str(src / "comments.csv"), str(src / "orders.csv")], str(out)).collect()}
+    assert [(r.rows, r.broken, r.invalid, r.merged_rows) for r in (manifest["comments.csv"], manifest["orders.csv"])] == [(4, 1, 0, 3), (5, 0, 4, 1)]
+    texts = sorted(r.comment_text for r in spark.read.parquet(f"{out}/comments").collect())
+    assert texts == ["plain", "plain", 'two\nlines, "here"']
+    assert [r.record for r in spark.read.parquet(f"{out}/comments_broken").collect()] == ["n2,2024-01-03,a,b"]
+    bad = {r.order_id: r.invalid_reason.split(":")[0] for r in spark.read.parquet(f"{out}/orders_invalid").collect()}
+    assert bad == {"o1": "quantity", "o2": "quantity", "o3": "sku_id", "o4": "paid_amount"}
+    good = spark.read.parquet(f"{out}/orders").first()
+    assert (good.order_id, good.quantity, good.paid_amount) == ("o5", 2, 1200.0)
+
+
+def test_part_of_a_grain(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("channel,note_type,gmv,paid_orders,product_clicks\nx,v,1,,2\nx,v,,3,2\n")
+    build_tables(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert [(r.channel, r.gmv, r.paid_orders) for r in spark.read.parquet(f"{tmp_path}/out/traffic_source").collect()] == [("x", 1.0, 3.0)]
+
+
+def test_digests_by_blocks(spark, tmp_path):
+    """Of many blocks, the same alone or among others; a line that moves, ends or is missing changes them."""
+    lines = [f"row {i},{i * i}" for i in range(3000)]
+    text = "\n".join(lines)
+    files = {"a": text, "b": text, "c": text + "\n", "d": "\n".join([lines[1], lines[0], *lines[2:]]), "e": text.replace("row 7,49", "row 8,49", 1), "f": "\r\n".join(lines), "g": "", "h": "\n"}
+    for name, t in files.items():
+        (tmp_path / "all").mkdir(exist_ok=True)
+        (tmp_path / "all" / f"{name}.csv").write_bytes(t.encode())
+    got = {r.file[-5]: r for r in inventory(spark, str(tmp_path / "all"), block=4096).collect()}
+    assert set(got) == set("abcdefh") and len({r.digest for r in got.values()}) == 6 and (got["a"].digest, got["a"].copies) == (got["b"].digest, 2)
+    assert (got["a"].lines, got["a"].header, got["h"].lines, got["f"].header) == (3000, "row 0,0", 1, "row 0,0")
+    alone = inventory(spark, [str(tmp_path / "all" / "a.csv")], block=4096).first()
+    assert alone.digest == got["a"].digest and alone.copies == 1

@@ -10,6 +10,7 @@ from tallyforge.functions import cleaning as C
 from tallyforge.functions import statistics as S
 from tallyforge.operators import bridge, compare, distribution, paid, ranks, series, structure, text, windows
 from tallyforge.sources import harmonise as H
+from tallyforge.sources.files import inventory
 
 
 def one(spark, **columns):
@@ -117,8 +118,8 @@ def test_files_to_tables(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Order ID,Payment Time,SKU-ID,Qty,Amount,Extra Col\n1,2024-01-01,s,1,5,x\n")
     (tmp_path / "b.csv").write_text("Order ID,Payment Time,SKU-ID,Qty,Amount,Extra Col\n1,2024-01-01,s,1,5,x\n")
     (tmp_path / "c.csv").write_text("foo,bar\n1,2\n")
-    files = H.manifest(spark, str(tmp_path))
-    assert files.count() == 3 and H.unique_files(files).count() == 2
+    files = inventory(spark, str(tmp_path))
+    assert files.count() == 3 and files.select("digest").distinct().count() == 2
     headers = spark.createDataFrame([("a", c) for c in ("Order ID", "Payment Time", "SKU-ID", "Qty", "Amount", "Extra Col")] + [("c", "foo"), ("c", "bar")], "file string, column string")
     kinds = {r.file: (r.table_name, r.status) for r in H.classify(headers, spark).collect()}
     assert kinds["a"] == ("orders", "classified") and kinds["c"] == (None, "needs_data")
