@@ -27,7 +27,9 @@ def key_numbers(spark, d):
     return facts.flatten(core, ["shop_id"], "core_business").unionByName(facts.flatten(refund, ["shop_id"], "refund_structure"))
 
 
-KIND = "CASE WHEN regexp_matches(metric_key, 'rate|share|pct') THEN 'percent' WHEN regexp_matches(metric_key, 'gmv|amount|aov|spend') THEN 'money' ELSE 'count' END"
+KIND = """CASE WHEN regexp_matches(metric_key, '_observed_days$') THEN 'count' WHEN regexp_matches(metric_key, '_(buyer|visitor|user)_days$') THEN 'person_day'
+ WHEN regexp_matches(metric_key, 'rate|share|pct') THEN 'percent' WHEN regexp_matches(metric_key, '_(hhi|gini)$') THEN 'index'
+ WHEN regexp_matches(metric_key, 'gmv|amount|aov|spend') THEN 'money' ELSE 'count' END"""
 
 
 @query("facts", f"SELECT shop_id, task_id, metric_key, value, CASE WHEN count(*) OVER (PARTITION BY shop_id, metric_key) > 1 THEN task_id || '.' || metric_key ELSE metric_key END AS fact_id, {KIND} AS unit FROM kn", "value", T.with_(T.ORDER_LINES, T.SHOP_DAY, KEY_NUMBERS))

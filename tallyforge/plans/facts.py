@@ -7,7 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Unit of a metric by its name, in the order they are tried.
-UNITS = (("percent", "rate|share|pct"), ("money", "gmv|amount|aov|spend"))
+UNITS = (
+    ("count", "_observed_days$"),
+    ("person_day", "_(buyer|visitor|user)_days$"),
+    ("percent", "rate|share|pct"),
+    ("index", "_(hhi|gini)$"),
+    ("money", "gmv|amount|aov|spend"),
+)
 EVIDENCE, RELIABILITY = 0.6, 0.4
 
 
