@@ -10,9 +10,11 @@ from tallyforge.operators.ranks import counted, ranked, with_group
 
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Size, mean, quartiles, range and variation of each group; quartiles by ranges of values, as quantile_edges has them."""
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), q.alias("_q"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("_s"))
+    quarters = quantiles(df, keys, value, (0.25, 0.5, 0.75)).withColumnRenamed("quantiles", "_q")
+    stats = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("_s"))
+    stats = with_group(stats, quarters, keys)
     return stats.select(*keys, "n", "mean", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("p25"), F.col("_q")[2].alias("p75"), (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"), "min", "max", F.when(F.col("mean") != 0, F.col("_s") / F.col("mean")).alias("cv"))
 
 
@@ -21,14 +23,21 @@ def quantile_edges(df: DataFrame, keys: list[str], value: str, n: int = 4) -> Da
 
     Places between two values are interpolated. Values are counted and ranked by ranges, so that no task keeps all of a group's.
     """
-    at = lambda i: (F.col("_of") - 1) * i / F.lit(n)
+    edges = quantiles(df, keys, value, tuple(i / n for i in range(n)), n)
+    return edges.withColumnRenamed("quantiles", "edges")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...], least: int = 1) -> DataFrame:
+    """(keys, quantiles: an array in the order of shares) of groups with so many values at least."""
+    share = F.array(*map(F.lit, shares))
+    at = lambda i: (F.col("_of") - 1) * F.element_at(share, i + 1)
     has = lambda place: (place >= F.col("_before")) & (place < F.col("_before") + F.col("_c"))
-    values = counted(df, keys, value).where(f"_of >= {n}")
-    met = values.withColumn("_i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: has(F.floor(at(i))) | has(F.ceil(at(i))))))
+    values = counted(df, keys, value).where(f"_of >= {least}")
+    met = values.withColumn("_i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(shares) - 1)), lambda i: has(F.floor(at(i))) | has(F.ceil(at(i))))))
     place, v = at(F.col("_i")), F.col(value).cast("double")
     ends = met.withColumn("_share", place - F.floor(place)).groupBy(*keys, "_i").agg(F.max("_share").alias("_share"), F.max(F.when(has(F.floor(place)), v)).alias("_low"), F.max(F.when(has(F.ceil(place)), v)).alias("_high"))
     edge = F.when(F.col("_share") == 0, F.col("_low")).otherwise((1 - F.col("_share")) * F.col("_low") + F.col("_share") * F.col("_high"))
-    return ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", edge.alias("e")))).getField("e").alias("edges")).where("size(edges) > 0")  # n for each group
+    return ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", edge.alias("e")))).getField("e").alias("quantiles")).where("size(quantiles) > 0")  # n for each group
 
 
 def band_of(value: Column, edges: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.cleaning import ratio
 from tallyforge.operators.distribution import banded
+from tallyforge.operators.ranks import top_rows
 
 # Least spend, high and low ROAS, least clicks, least active days of a budget decision; items of a level shown.
 SPEND, HIGH, LOW, CLICKS, DAYS, SHOWN = 100.0, 3.0, 1.0, 20, 2, 20
@@ -52,8 +53,7 @@ def hierarchy(df: DataFrame, levels: list[str], shown: int = SHOWN) -> DataFrame
         this = F.col("_g") == top - 2 ** (len(levels) - 1 - i)
         name, item = F.when(this, level).otherwise(name), F.when(this, F.col(level).cast("string")).otherwise(item)
     rows = sets.select(name.alias("level"), item.alias("object_id"), "spend", "impressions", "clicks", "orders", "gmv").where("object_id IS NOT NULL")
-    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("level").orderBy(F.desc("spend"), "object_id"))).where(f"_r <= {shown}")
-    return with_ratios(ranked.drop("_r"))
+    return with_ratios(top_rows(rows, ["level"], [F.desc("spend"), F.asc("object_id")], shown).drop("_rank"))
 
 
 def budget_action(spend: Column, clicks: Column, gmv: Column, roas: Column, days: Column) -> Column:

@@ -45,6 +45,15 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], value: str | Non
     return out.drop("_part", "_r", "_s", "_n", "_v", "_n0", "_v0", "_n1", "_v1", "_g_part", *(f"_g_{k}" for k in keys))
 
 
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, parts: int = 64) -> DataFrame:
+    """The first n rows of each group with ``_rank`` from 1: of each of its parts first, so that a group's task sees n rows of each part."""
+    part = df.withColumn("_part", F.pmod(F.xxhash64(*(F.col(c) for c, t in df.dtypes if not t.startswith("map"))), F.lit(parts)))
+    first = F.row_number().over(W.partitionBy("_part", *keys).orderBy(*order))
+    few = part.withColumn("_rank", first).where(F.col("_rank") <= n).drop("_part")
+    by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    return few.withColumn("_rank", F.row_number().over(by.orderBy(*order))).where(F.col("_rank") <= n)
+
+
 def global_rank(df: DataFrame, order: list[Column], value: str | None = None, partitions: int | None = None) -> DataFrame:
     """df with ``rank`` from 1 in the given total order and, for a value column, its ``running`` sum and ``total``."""
     return ranked(df, [], order, value, partitions).drop("_size").withColumnsRenamed({"_rank": "rank", "_running": "running", "_total": "total"})

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import statistics as S
 from tallyforge.functions.cleaning import ratio
+from tallyforge.operators.distribution import quantiles
+from tallyforge.operators.ranks import with_group
 
 
 def share_of(df: DataFrame, keys: list[str], group: list[str], values: list[str]) -> DataFrame:
@@ -37,6 +39,16 @@ def unpivot_groups(df: DataFrame, keys: list[str], groups: list[str], metrics: l
     return df.select(*keys, F.inline(F.array(*rows)))
 
 
+def unpivot_prefixes(df: DataFrame, keys: list[str], metrics: list[str], name: str = "carrier") -> DataFrame:
+    """unpivot_groups for whatever prefixes the columns have: <prefix>_<metric> of any of the metrics; the longest metric's name counts."""
+    found = set()
+    for c in df.columns:
+        ends = [m for m in metrics if c.endswith(f"_{m}")] if c not in keys else []
+        if ends:
+            found.add(c.removesuffix("_" + max(ends, key=len)))
+    return unpivot_groups(df, keys, sorted(found), metrics, name)
+
+
 def stage_rates(df: DataFrame, keys: list[str], stages: list[str]) -> DataFrame:
     """A row for each step of a funnel (stages are count columns): rate, Wilson bounds, and whether it is the weakest step with n of 30."""
     s = df.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in stages))
@@ -91,7 +103,7 @@ def round_robin_plan(skus: DataFrame, angles: DataFrame, start: str, days: int =
     n_sku, n_angle = skus.agg(F.count("*").alias("n_sku")), angles.agg(F.count("*").alias("n_angle"))
     grid = skus.sparkSession.range(days * slots).select(F.floor(F.col("id") / slots).alias("day_index"), (F.col("id") % slots).alias("slot_index"), F.col("id").alias("slot"))
     sized = grid.crossJoin(F.broadcast(n_sku)).crossJoin(F.broadcast(n_angle))  # one row each
-    plan = sized.join(F.broadcast(skus.withColumnRenamed("pos", "_s")), F.col("slot") % F.col("n_sku") == F.col("_s")).join(F.broadcast(angles.withColumnRenamed("pos", "_a")), (F.col("day_index") + F.col("slot_index")) % F.col("n_angle") == F.col("_a"))
+    plan = sized.join(skus.withColumnRenamed("pos", "_s"), F.col("slot") % F.col("n_sku") == F.col("_s")).join(angles.withColumnRenamed("pos", "_a"), (F.col("day_index") + F.col("slot_index")) % F.col("n_angle") == F.col("_a"))
     return plan.select(F.date_add(F.lit(start).cast("date"), F.col("day_index").cast("int")).alias("day"), "day_index", "slot_index", "sku_id", "angle")
 
 
@@ -121,8 +133,8 @@ def composition(df: DataFrame, dimension: str, segment: str, n: str) -> DataFram
 
 def value_tags(df: DataFrame, keys: list[str], value: str, high: float = 1.5, low: float = 0.5) -> DataFrame:
     """Values against their group's median: high from 1.5 times, low to half of it."""
-    middle = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("_m"))
-    return df.join(middle, keys).withColumn("tag", F.when(F.col(value) >= high * F.col("_m"), "high").when(F.col(value) <= low * F.col("_m"), "low").otherwise("normal")).drop("_m")
+    middle = quantiles(df, keys, value, (0.5,)).select(*keys, F.col("quantiles")[0].alias("_m"))
+    return with_group(df, middle, keys).withColumn("tag", F.when(F.col(value) >= high * F.col("_m"), "high").when(F.col(value) <= low * F.col("_m"), "low").otherwise("normal")).drop("_m")
 
 
 def curated(df: DataFrame, by: str, tie: str, shown: int, highlight: Column) -> DataFrame:

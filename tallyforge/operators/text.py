@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ranks import top_rows
+
 # Letter runs of the two script modes, sizes of grams, and demand groups in the order they are tried.
 RUNS = {"latin": "[a-z]+", "cjk": "[\\u4e00-\\u9fff]+"}
 DEMAND = (("capacity", "size|big|small|large|fit"), ("price", "price|cost|cheap|much|pay"), ("link", "link|where|buy|shop"), ("gift", "gift|present|birthday"))
 HOOKS = (("delivery", "show the packing"), ("broken", "show the packing"), ("size", "show it beside common things"), ("colour", "show it in daylight"), ("price", "show what is in the set"), ("clean", "show how it is cleaned"))
 
 
-def grams(df: DataFrame, doc: str, text: str, script: str = "latin", sizes: tuple[int, int] = (2, 4), stops: str = "") -> DataFrame:
+def grams(df: DataFrame, doc: str, text: str, script: str = "latin", sizes: tuple[int, int] = (2, 4), stops: str | Column = "") -> DataFrame:
     """(doc, term, n) of the character grams inside letter runs; counted within a document first."""
     runs = df.select(doc, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({RUNS[script]})"), F.lit(1))).alias("run"))
     sized = runs.select(doc, "run", F.explode(F.array(*(F.lit(n) for n in range(sizes[0], sizes[1] + 1)))).alias("size")).where("length(run) >= size")
     each = sized.select(doc, F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - F.col("size") + 1), lambda i: F.substring(F.col("run"), i, F.col("size")))).alias("term"))
-    if stops:
-        each = each.where(~F.lit(stops).contains(F.substring("term", 1, 1)) & ~F.lit(stops).contains(F.substring("term", -1, 1)))
+    if isinstance(stops, Column) or stops:
+        stop = stops if isinstance(stops, Column) else F.lit(stops)
+        each = each.where(~stop.contains(F.substring("term", 1, 1)) & ~stop.contains(F.substring("term", -1, 1)))
     return each.groupBy(doc, "term").agg(F.count("*").alias("n"))
 
 
@@ -38,6 +40,12 @@ def theme_periods(df: DataFrame, period: str, text: str, term: str) -> DataFrame
     return df.groupBy(period).agg(F.count_if(F.lower(F.col(text)).contains(term)).alias("doc_count"))
 
 
+def theme_series(df: DataFrame, period: str, text: str, terms: tuple[str, ...]) -> DataFrame:
+    """(term, period, doc_count) for every term and every period that has any text, zeros too; all terms in one pass."""
+    has = [F.struct(F.lit(t).alias("term"), F.count_if(F.lower(F.col(text)).contains(t)).alias("doc_count")) for t in terms]
+    return df.where(F.col(period).isNotNull()).groupBy(period).agg(F.array(*has).alias("_x")).select(period, F.inline("_x")).select("term", period, "doc_count")
+
+
 def occurrences(text: Column, terms: tuple[str, ...]) -> Column:
     """Occurrences of the terms that don't overlap themselves, in all."""
     out: Column = F.lit(0)
@@ -71,7 +79,7 @@ def demand_summary(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Comments, documents, share and the first three examples of each demand group."""
     rows = df.withColumn("demand_group", demand_group(F.col(text)))
     s = rows.groupBy("demand_group").agg(F.count("*").alias("comments"), F.countDistinct(doc).alias("notes"))
-    first = rows.withColumn("_r", F.row_number().over(W.partitionBy("demand_group").orderBy(text, doc))).where("_r <= 3").groupBy("demand_group").agg(F.sort_array(F.collect_list(text)).alias("examples"))
+    first = top_rows(rows, ["demand_group"], [F.asc(text), F.asc(doc)], 3).groupBy("demand_group").agg(F.sort_array(F.collect_list(text)).alias("examples"))
     total = rows.agg(F.count("*").alias("_n"))
     return s.join(first, "demand_group").crossJoin(F.broadcast(total)).select("demand_group", "comments", "notes", (F.col("comments") / F.col("_n")).alias("comment_share"), "examples")  # one row
 

@@ -42,7 +42,7 @@ def response_windows(anchors: DataFrame, sales: DataFrame) -> DataFrame:
 
 def event_lift(daily: DataFrame, events: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Means on event days against the other days, one row for each metric."""
-    marked = daily.join(F.broadcast(events.select(F.col("day").alias("_e")).distinct()), F.col("day") == F.col("_e"), "left").withColumn("is_event", F.col("_e").isNotNull())
+    marked = daily.join(events.select(F.col("day").alias("_e")).distinct(), F.col("day") == F.col("_e"), "left").withColumn("is_event", F.col("_e").isNotNull())
     rows = [F.struct(F.lit(m).alias("metric"), F.avg(F.when(F.col("is_event"), F.col(m))).alias("event_value"), F.avg(F.when(~F.col("is_event"), F.col(m))).alias("baseline_value")) for m in metrics]
     out = marked.groupBy(*keys).agg(F.array(*rows).alias("r")).select(*keys, F.inline("r"))
     return out.withColumn("lift_pct", F.when(F.col("baseline_value") != 0, (F.col("event_value") - F.col("baseline_value")) / F.nullif(F.col("baseline_value"), F.lit(0.0))))

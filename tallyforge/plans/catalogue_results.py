@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import cleaning as C
 from tallyforge.functions import statistics as S
-from tallyforge.operators import distribution, paid, series, structure
+from tallyforge.operators import distribution, paid, series, structure, text
 from tallyforge.plans import sqltext as T
 from tallyforge.plans.catalogue import BANDS, FOUND, daily, lines, perf, query
-from tallyforge.plans.catalogue_structure import ADS, FEAT, PER, SUMS, ads, features
+from tallyforge.plans.catalogue_structure import ADS, FEAT, GRAMS, PER, SUMS, WIDE, ads, features
 from tallyforge.sources import bindings as B
 
 EV, NF = T.with_(T.EVENTS), T.with_(T.EVENTS, T.FUNNEL)
@@ -267,7 +267,50 @@ def _(spark, d):
     return structure.reshoot_candidates(notes)
 
 
-# Comments have theirs in other modules
+# Comments
+
+#: Stand-ins for Latin letters, in the same order, as the comments have no Chinese ones.
+HAN = "".join(chr(0x4E00 + i) for i in range(26))
+LATIN, STOPS = "abcdefghijklmnopqrstuvwxyz", "et"
+
+
+@query(
+    "cjk_themes",
+    f"""SELECT translate(term, '{LATIN}', '{HAN}') AS term, c AS "count", doc_count, doc_count / n AS coverage, c * doc_count / n AS score
+      FROM kept t, (SELECT count(DISTINCT conv_id || '-' || turn) AS n FROM conversations WHERE role = 'user' AND trim(text) <> '')
+      WHERE NOT EXISTS (SELECT 1 FROM kept o WHERE o.doc_count = t.doc_count AND length(o.term) > length(t.term) AND contains(o.term, t.term))
+      ORDER BY score DESC, c DESC, term LIMIT 10""",
+    "coverage score",
+    T.with_(GRAMS, f"kept AS (SELECT * FROM kt WHERE NOT contains('{STOPS}', term[1]) AND NOT contains('{STOPS}', term[-1]))"),
+)
+def _(spark, d):
+    """Grams inside runs of Chinese characters that begin and end with no stop character."""
+    written = F.translate(F.lower("text"), LATIN, HAN)
+    rows = B.comments(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("id"), written.alias("text"))
+    return text.themes(rows, "id", "text", script="cjk", stops=F.translate(F.lit(STOPS), LATIN, HAN))
+
+
+SERIES = ("tion", "the", "zzz")
+
+
+@query(
+    "theme_series",
+    " UNION ALL ".join(f"SELECT '{t}' AS term, turn, count(*) FILTER (contains(lower(text), '{t}')) AS doc_count FROM conversations WHERE role = 'user' GROUP BY turn" for t in SERIES),
+)
+def _(spark, d):
+    """A term that a period lacks has zero there, so that it reads as less and not as unknown."""
+    return text.theme_series(B.comments(spark, d), "turn", "text", SERIES)
+
+
+@query(
+    "theme_directions",
+    "SELECT term, count(*) AS n, regr_slope(c, i) AS slope, " + T.direction("regr_slope(c, i)") + " AS direction FROM (SELECT term, CAST(doc_count AS DOUBLE) AS c,"
+    " CAST(row_number() OVER (PARTITION BY term ORDER BY turn) - 1 AS DOUBLE) AS i FROM (" + FOUND["theme_series"].sql + ")) GROUP BY term",
+    "slope",
+)
+def _(spark, d):
+    rows = FOUND["theme_series"].run(spark, d).withColumn("c", col("doc_count").cast("double"))
+    return series.trend_summary(rows, ["term"], "turn", "c").select("term", col("n").cast("long").alias("n"), "slope", "direction")
 
 
 # Products
@@ -435,6 +478,30 @@ def _(spark, d):
     return s.withColumns({"aov": C.ratio(col("gmv"), col("paid_orders")), "refund_rate": C.ratio(col("refund_orders_pay"), col("paid_orders"))})
 
 
+@query(
+    "carrier_prefixes",
+    "SELECT shop_id, day, 'F' AS carrier, F_gmv AS gmv, F_orders AS orders FROM wd UNION ALL SELECT shop_id, day, 'O', O_gmv, O_orders FROM wd",
+    "gmv",
+    T.with_(T.ORDER_LINES, WIDE),
+)
+def _(spark, d):
+    """Carriers are whatever prefixes the columns have."""
+    wide = lines(spark, d).groupBy("shop_id", "day").pivot("carrier").agg(F.sum("paid_amount").alias("gmv"), F.count(F.lit(1)).alias("orders"))
+    counts = {c: F.coalesce(c, F.lit(0)).alias(c) if c.endswith("_orders") else col(c) for c in wide.columns}
+    return structure.unpivot_prefixes(wide.select(*counts.values()), ["shop_id", "day"], ["gmv", "orders"])
+
+
+@query(
+    "gated_compare",
+    f"SELECT category_l1, diff, z, significant, significant AND abs(diff) >= 0.02 AS matters FROM ({FOUND['top2_compare'].sql})",
+    "diff z",
+)
+def _(spark, d):
+    """A difference counts where it is significant and two points or more."""
+    rows = FOUND["top2_compare"].run(spark, d)
+    return rows.select("category_l1", "diff", "z", "significant", S.gated(col("significant"), col("diff"), 0.02).alias("matters"))
+
+
 # Demand, search, audience
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from tallyforge.functions import cleaning as C
 from tallyforge.functions import statistics as S
 from tallyforge.operators import bridge, paid, series, structure, text
+from tallyforge.operators.ranks import top_rows, with_group
 from tallyforge.plans import sqltext as T
 from tallyforge.plans.catalogue import daily, lines, perf, query
 from tallyforge.sources import bindings as B
 from tallyforge.sources import harmonise as H
+from tallyforge.sources.staging import stored
 from tallyforge.sources.workspace import mart
 
 EV, NF, OL, SD, SP = T.with_(T.EVENTS), T.with_(T.EVENTS, T.FUNNEL), T.with_(T.ORDER_LINES), T.with_(T.ORDER_LINES, T.SHOP_DAY), T.with_(T.ORDER_LINES, T.SKU_PERF)
@@ -165,10 +167,13 @@ def _(spark, d):
 
 @query("product_refund", "SELECT category_l1, sku_id, sku_name, refund_amount, refund_amount / sum(refund_amount) OVER (PARTITION BY category_l1) AS amount_share, refund_orders / paid_orders AS refund_rate, row_number() OVER (PARTITION BY category_l1 ORDER BY refund_amount DESC, sku_id) <= 3 AS in_top3 FROM spp", "refund_amount amount_share refund_rate", SP)
 def _(spark, d):
-    from pyspark.sql import Window as W
-
-    by = W.partitionBy("category_l1")
-    return perf(spark, d).select("category_l1", "sku_id", "sku_name", "refund_amount", C.ratio(F.col("refund_amount"), F.sum("refund_amount").over(by)).alias("amount_share"), C.ratio(F.col("refund_orders"), F.col("paid_orders")).alias("refund_rate"), (F.row_number().over(by.orderBy(F.desc("refund_amount"), "sku_id")) <= 3).alias("in_top3"))
+    rows = stored(perf(spark, d), "product-refund")
+    whole = rows.groupBy("category_l1").agg(F.sum("refund_amount").alias("_whole"))
+    top = top_rows(rows, ["category_l1"], [F.desc("refund_amount"), F.asc("sku_id")], 3).select("sku_id", F.lit(True).alias("_top"))
+    marked = with_group(rows.join(top, "sku_id", "left"), whole, ["category_l1"])
+    share, rate = C.ratio(F.col("refund_amount"), F.col("_whole")), C.ratio(F.col("refund_orders"), F.col("paid_orders"))
+    shown = ("category_l1", "sku_id", "sku_name", "refund_amount")
+    return marked.select(*shown, share.alias("amount_share"), rate.alias("refund_rate"), F.coalesce("_top", F.lit(False)).alias("in_top3"))
 
 
 # Search and funnels

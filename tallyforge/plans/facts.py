@@ -43,8 +43,8 @@ def conflicting(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def validated(rows: DataFrame, registry: DataFrame) -> DataFrame:
-    """Adds status: ok, unregistered, or unit where it isn't the registered one. registry is a short fixed list."""
-    joined = rows.join(F.broadcast(registry), "metric_key", "left")
+    """Adds status: ok, unregistered, or unit where it isn't the registered one."""
+    joined = rows.join(registry, "metric_key", "left")
     return joined.withColumn("status", F.when(F.col("registered_unit").isNull(), "unregistered").when(F.col("registered_unit") != F.col("unit"), "unit").otherwise("ok"))
 
 
@@ -59,7 +59,7 @@ def coverage(findings: DataFrame, keys: list[str]) -> DataFrame:
 def priority(findings: DataFrame, weights: DataFrame, keys: list[str], shown: int) -> DataFrame:
     """The best judgable finding of each task by lever weight times feasibility, the first `shown` of each key."""
     score = F.col("weight") * (EVIDENCE * F.col("evidence") + RELIABILITY * F.col("reliability"))
-    rows = findings.where("judgable").join(F.broadcast(weights), "lever").withColumn("score", score)
+    rows = findings.where("judgable").join(weights, "lever").withColumn("score", score)
     best = rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "task_id").orderBy(F.desc("score"), "lever"))).where("_r = 1").select(*keys, "task_id", "lever", "score")
     if not keys:
         return best.orderBy(F.desc("score"), "task_id").limit(shown)

@@ -55,7 +55,7 @@ def aliases(spark: SparkSession, overrides: DataFrame | None = None, contracts:
 
 def classify(headers: DataFrame, spark: SparkSession, overrides: DataFrame | None = None) -> DataFrame:
     """(file, table_name, cover, hits, status) for each file of headers(file, column): its best table, if clear."""
-    known = F.broadcast(signatures(spark).join(aliases(spark, overrides), ["table_name", "canonical"]))
+    known = signatures(spark).join(aliases(spark, overrides), ["table_name", "canonical"])
     hits = headers.withColumn("folded", fold_name(F.col("column"))).join(known, "folded").groupBy("file", "table_name").agg(F.countDistinct("canonical").alias("hits"), F.max("size").alias("size"))
     by = W.partitionBy("file").orderBy(F.desc("cover"), F.desc("hits"), "table_name")
     ranked = hits.withColumn("cover", F.col("hits") / F.col("size")).withColumns({"r": F.row_number().over(by), "next": F.coalesce(F.lead("cover").over(by), F.lit(0.0)), "next_hits": F.coalesce(F.lead("hits").over(by), F.lit(0))})
@@ -67,7 +67,7 @@ def classify(headers: DataFrame, spark: SparkSession, overrides: DataFrame | Non
 def map_headers(headers: DataFrame, files: DataFrame, spark: SparkSession, overrides: DataFrame | None = None) -> DataFrame:
     """(file, table_name, column, canonical, how): each source used once, by rank; what isn't known keeps a folded name, numbered where it is taken."""
     rows = headers.join(files.where("status = 'classified'").select("file", "table_name"), "file").withColumn("folded", fold_name(F.col("column")))
-    known = rows.join(F.broadcast(aliases(spark, overrides)), ["table_name", "folded"], "left")
+    known = rows.join(aliases(spark, overrides), ["table_name", "folded"], "left")
     once = W.partitionBy("file", "canonical").orderBy("rank", "column")
     ranked = known.withColumn("r", F.when(F.col("canonical").isNotNull(), F.row_number().over(once)))
     how = F.when(F.col("r") == 1, F.element_at(F.array(F.lit("override"), F.lit("exact"), F.lit("alias")), F.col("rank") + 1)).otherwise("extra")

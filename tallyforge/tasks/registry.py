@@ -92,7 +92,7 @@ TASKS: dict[str, dict[str, Result]] = {
     "product_opportunity_matrix": _task(skus="product_opportunity: stock", types="opportunity_types: stock"),
     "comment_demand_mining": _task(
         themes="themes: comments", trend="theme_trend: comments", groups="demand_groups: comments", polarity="group_polarity: comments",
-        hooks="objection_hooks: comments", seeds="seed_themes: comments", context="comment_context: comments",
+        hooks="objection_hooks: comments", seeds="seed_themes: comments", series="theme_series: comments", directions="theme_directions: comments", context="comment_context: comments",
     ),
     "content_portfolio_optimization": _task(categories="portfolio_mix: sku_perf", styles="style_mix: traffic"),
     "weekly_experiment_matrix": _task(plan="experiment_plan: sku_perf"),
