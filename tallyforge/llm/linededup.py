@@ -68,7 +68,9 @@ def passages(words: list[int], least: int) -> set[tuple[int, int]]:
             total -= words[first]
             first += 1
         if total >= least and n:
-            found.add((first + next(k for k, w in enumerate(words[first:]) if w), end + 1))
+            while not words[first]:
+                first += 1
+            found.add((first, end + 1))
     last, total = len(words) - 1, 0
     for first in range(len(words) - 1, -1, -1):
         total += words[first]
@@ -91,6 +93,10 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(whole != "").select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(whole).alias("sig"), whole.alias("text"))
 
 
+#: Bytes of runs of lines that a worker gathers before it hands them on.
+HELD = 4 << 20
+
+
 def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
@@ -132,12 +138,19 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", passage_w
     texts = _keyed(docs, key, text).join(wanted.hint("merge"), ["doc_id", "sig"]).select("doc_id", "sig", "c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0  # runs overlap, so that they are larger than their texts
         for b in batches:
-            rows = []
-            for d, sig, c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            for d, sig, c, t in zip(*b.columns, strict=True):
                 lines = [x.strip() for x in t.as_py().split("\n")]
-                rows += [(d, sig, x["first"], x["n"], x["h"], "\n".join(lines[x["first"] : x["first"] + x["n"]]).encode()) for x in c]
-            yield _batch(rows, _KINDS | {"body": pa.binary()})
+                for x in c:
+                    first, n = x["first"].as_py(), x["n"].as_py()
+                    body = "\n".join(lines[first : first + n]).encode()
+                    rows.append((d.as_py(), sig.as_py(), first, n, x["h"].as_py(), body))
+                    held += len(body)
+                    if held > HELD:
+                        yield _batch(rows, _KINDS | {"body": pa.binary()})
+                        rows, held = [], 0
+        yield _batch(rows, _KINDS | {"body": pa.binary()})
 
     bodies = stored(texts.mapInArrow(run, f"{_CHUNK}, body binary"), "linededup-bodies")
     place = F.struct("doc_id", "sig", "first", "n")

@@ -1,6 +1,7 @@
 """Line dedup against its definition: what repeats goes, what goes stays elsewhere, all else stays."""
 
 import random
+import time
 
 import pytest
 
@@ -113,3 +114,21 @@ def test_chunk_ends_resist_shifts():
     lines = [prose(i, 6) for i in range(60)]
     a, b = (linededup.chunk_ends(linededup.line_hashes(x)) for x in (lines, ["new line", *lines]))
     assert len(set(a) & {e - 1 for e in b}) >= 0.8 * len(a)
+
+
+def test_passages_of_many_lines_take_linear_time():
+    """A million lines, many of them blank, in seconds; the same runs as by trying all."""
+    r = random.Random(1)
+    for _ in range(300):
+        words = [r.choice([0, 0, 1, 3, 9]) for _ in range(r.randint(0, 14))]
+        want = set()
+        for e in range(len(words)):
+            firsts = [f for f in range(e + 1) if sum(words[f : e + 1]) >= 10 and words[f]]
+            want |= {(max(firsts), e + 1)} if firsts and words[e] else set()
+        for f in range(len(words)):
+            ends = [e for e in range(f, len(words)) if sum(words[f : e + 1]) >= 10 and words[e]]
+            want |= {(f, min(ends) + 1)} if ends and words[f] else set()
+        assert linededup.passages(words, 10) == want
+    began = time.perf_counter()
+    assert len(linededup.passages([r.choice([0, 5, 12]) for _ in range(1_000_000)], 50)) > 500_000
+    assert time.perf_counter() - began < 20
