@@ -93,6 +93,7 @@ FEAT = "ft AS (SELECT DISTINCT k, CASE WHEN user_id % 4 = 0 THEN NULL ELSE 'styl
 PER = "pm AS (SELECT k AS k2, views, clicks, orders, gmv FROM nf)"
 
 
+@mart
 def features(spark, d):
     u = F.col("user_id") % 4
     return B.traffic(spark, d).select("k", F.when(u != 0, F.concat(F.lit("style"), u)).alias("style"), F.concat(F.lit("angle"), F.col("event_id") % 3).alias("angle"))

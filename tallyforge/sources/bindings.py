@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.sources import harmonise as H
 from tallyforge.sources.workspace import Source, Workspace, mart
 
 SHOPS = 5
@@ -40,6 +41,7 @@ def order_lines(spark: SparkSession, source: Source) -> DataFrame:
     return joined.select(*(make().alias(c) for c, (raw, make) in ORDER_LINES.items() if have.issuperset(raw.split())))
 
 
+@mart
 def products(spark: SparkSession, source: Source) -> DataFrame:
     part = table(spark, source, "part")
     return part.select(*(F.col(raw).alias(c) for c, raw in PRODUCTS.items() if raw in part.columns))
@@ -64,5 +66,47 @@ def anchors(spark: SparkSession, source: Source) -> DataFrame:
     return order_lines(spark, source).where("priority = '1-URGENT'").select("shop_id", F.concat_ws("-", "order_id", "line").alias("note_id"), "sku_id", F.col("day").alias("publish_day"))
 
 
+@mart
 def comments(spark: SparkSession, source: Source) -> DataFrame:
     return table(spark, source, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text"))
+
+
+# Tables of the contracts (see build)
+
+
+def from_contracts(spark: SparkSession, folder: str) -> Workspace:
+    """A workspace over the tables that a build wrote: what they hold of order lines, products, days, notes, links, features and comments.
+
+    All are of one shop, 0. A table or column that the exports lacked is lacking here too.
+    """
+    built = spark.read.parquet(f"{folder}/manifest").where("status = 'classified'").select("table_name").distinct()
+    have = {r.table_name: spark.read.parquet(f"{folder}/{r.table_name}") for r in built.collect()}  # a row for each contract
+    out, shop = Workspace(spark, have), F.lit(0).cast("long").alias("shop_id")
+
+    def give(name: str, df: DataFrame, columns: dict[str, str], *more: Column) -> None:
+        out.give(name, df.select(*(F.col(raw).alias(c) for c, raw in columns.items() if raw in df.columns), *more))
+
+    if "orders" in have:
+        rows = have["orders"]
+        back = ~H.counts_as_sale(F.col("refund_status_optional")) if "refund_status_optional" in rows.columns else F.lit(False)
+        named = {"order_id": "order_id", "sku_id": "sku_id", "quantity": "quantity", "paid_amount": "paid_amount", "buyer_id": "buyer_id", "carrier": "carrier"}
+        give("order_lines", rows, named, shop, F.col("paid_time").cast("date").alias("day"), back.alias("refunded"))
+    if "skus" in have:
+        rows = have["skus"]
+        if "products" in have and "product_id" in rows.columns:
+            rows = rows.join(have["products"].drop(*(set(rows.columns) - {"product_id"})), "product_id", "left")
+        give("products", rows, {"sku_id": "sku_id", "sku_name": "sku_name", "category_l1": "category", "category_l2": "series", "price": "price", "size": "inventory_optional"})
+    if "business_overview_daily" in have:
+        named = {"day": "date", "gmv": "gmv", "paid_orders": "paid_orders", "paid_buyers": "paid_buyers", "units": "paid_units", "refund_amount": "refund_amount_pay"}
+        give("daily", have["business_overview_daily"], named, shop)
+    if "notes" in have:
+        notes = have["notes"]
+        give("note_funnel", notes, {"k": "note_id", "views": "impressions", "clicks": "reads", "carts": "collects", "orders": "note_paid_orders", "gmv": "note_gmv"})
+        if "note_sku_links" in have and "publish_time" in notes.columns:
+            links = have["note_sku_links"].select("note_id", "sku_id").distinct()
+            give("anchors", links.join(notes, "note_id"), {"note_id": "note_id", "sku_id": "sku_id"}, shop, F.col("publish_time").cast("date").alias("publish_day"))
+    if "content_features" in have:
+        give("features", have["content_features"], {"k": "note_id", "style": "composition_type", "angle": "copy_angle"})
+    if "comments" in have:
+        give("comments", have["comments"], {"conv_id": "note_id", "turn": "comment_time", "text": "comment_text"})
+    return out

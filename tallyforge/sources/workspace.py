@@ -16,6 +16,12 @@ class Workspace:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | str):
         self.spark, self.tables = spark, tables
         self.marts: dict[str, DataFrame] = {}
+        self.given: set[str] = set()
+
+    def give(self, name: str, df: DataFrame) -> None:
+        """A mart that comes with the tables and isn't derived from them."""
+        self.marts[name] = df
+        self.given.add(name)
 
     def table(self, name: str) -> DataFrame:
         if isinstance(self.tables, str):

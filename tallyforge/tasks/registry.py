@@ -44,9 +44,21 @@ MARTS: dict[str, dict[str, str]] = {
     "sales_by_supplier": {"order_lines": f"{_LINES} supplier_id spend"},
     "traffic": _EVENTS,
     "funnel": _EVENTS,
+    "note_refunds": _EVENTS,
+    "features": _EVENTS,
     "comments": {"conversations": "conv_id turn role text"},
+    "conversations": {"conversations": "conv_id turn role text"},
     "counts": {t: "" for t in ("orders", "lineitem", "part", "events", "conversations")},
 }
+#: Marts that a workspace may be given (see bindings.from_contracts), and the columns that they then need.
+GIVEN: dict[str, dict[str, str]] = {
+    "shop_days": {"daily": "shop_id day gmv paid_orders paid_buyers units refund_amount"},
+    "funnel": {"note_funnel": "k views clicks carts orders gmv"},
+    "note_refunds": {"note_funnel": "k views clicks carts orders refunds gmv"},
+    "features": {"features": "k style angle"},
+    "anchors": {"anchors": "shop_id note_id sku_id publish_day", "order_lines": f"{_LINES} refunded"},
+    "comments": {"comments": "conv_id turn text"},
+}
 
 
 @dataclass(frozen=True)
@@ -60,9 +72,11 @@ class Result:
         """Columns (table.column) that it needs and the workspace lacks."""
         out = []
         for mart in self.marts:
-            for name, columns in MARTS[mart].items():
+            given = GIVEN.get(mart, {})
+            needs = given if given and workspace.given.issuperset(given) else MARTS[mart]
+            for name, columns in needs.items():
                 try:
-                    have = set(TABLES[name](workspace).columns)
+                    have = set((workspace.marts[name] if name in workspace.given else TABLES[name](workspace)).columns)
                 except KeyError as e:
                     out.append(f"{e.args[0]}.*")
                     continue
@@ -83,31 +97,31 @@ TASKS: dict[str, dict[str, Result]] = {
         elasticity="spend_response: ads", budget="budget_action: ads",
     ),
     "account_baseline": _task(days="account_baseline: traffic", windows="posting_windows: traffic", slots="publish_windows: traffic"),
-    "note_funnel": _task(totals="funnel_totals: funnel", notes="note_funnel_rates: funnel", bars="threshold_bars: funnel"),
+    "note_funnel": _task(totals="funnel_totals: note_refunds", notes="note_funnel_rates: funnel", bars="threshold_bars: funnel"),
     "sku_counterfactual_lift": _task(windows="anchored_lift: anchors", summary="lift_summary: anchors"),
     "content_response_curve": _task(anchors="response_windows: anchors", curve="response_totals: anchors"),
-    "cover_style_effect": _task(effects="group_effects: funnel"),
-    "copy_angle_effect": _task(effects="angle_effects: funnel"),
-    "product_content_interaction": _task(interaction="feature_interaction: funnel", linked="linked_interaction: links", notes="linked_note_rows: links"),
+    "cover_style_effect": _task(effects="group_effects: funnel features"),
+    "copy_angle_effect": _task(effects="angle_effects: funnel features"),
+    "product_content_interaction": _task(interaction="feature_interaction: funnel features", linked="linked_interaction: links", notes="linked_note_rows: links"),
     "product_opportunity_matrix": _task(skus="product_opportunity: stock", types="opportunity_types: stock"),
     "comment_demand_mining": _task(
         themes="themes: comments", trend="theme_trend: comments", groups="demand_groups: comments", polarity="group_polarity: comments",
-        hooks="objection_hooks: comments", seeds="seed_themes: comments", series="theme_series: comments", directions="theme_directions: comments", context="comment_context: comments",
+        hooks="objection_hooks: comments", seeds="seed_themes: comments", series="theme_series: comments", directions="theme_directions: comments", context="comment_context: conversations",
     ),
-    "content_portfolio_optimization": _task(categories="portfolio_mix: sku_perf", styles="style_mix: traffic"),
+    "content_portfolio_optimization": _task(categories="portfolio_mix: sku_perf", styles="style_mix: features"),
     "weekly_experiment_matrix": _task(plan="experiment_plan: sku_perf"),
-    "reshoot_repost_candidates": _task(candidates="reshoot_candidates: funnel", shrunk="reshoot_rank: funnel"),
+    "reshoot_repost_candidates": _task(candidates="reshoot_candidates: note_refunds", shrunk="reshoot_rank: funnel"),
     "hypothesis_knowledge_base": _task(hypotheses="hypotheses: sku_perf"),
     "weekly_business_review": _task(sections="weekly_review: shop_days traffic comments"),
     "refund_structure_diagnosis": _task(
         layers="refund_axes: carriers", reasons="refund_reasons: reasons", carriers="refund_carrier: carriers", products="product_refund: sku_perf",
-        trend="refund_trend: carriers", notes="note_refund_outliers: funnel",
+        trend="refund_trend: carriers", notes="note_refund_outliers: note_refunds",
     ),
     "core_business_diagnosis": _task(
         snapshot="core_snapshot: shop_days", net_revenue="net_revenue_days: shop_days", refund_time="refund_time_days: refund_time", depth="traffic_depth: traffic",
         months="monthly_overview: shop_days", trend="mom_change: shop_days", weeks="wow_calendar: shop_days", projection="trend_of_totals: shop_days",
         seasonality="dow_seasonality: shop_days", changepoints="changepoints: shop_days", anomalies="anomaly_days: shop_days", benchmark="latest_benchmark: shop_days",
-        bridge="gmv_bridge: buyers", shares="bridge_shares: buyers", ledger="ledger: shop_days", carriers="carrier_structure: carriers",
+        bridge="gmv_bridge: buyers", shares="bridge_shares: buyers", ledger="ledger: shop_days buyers", carriers="carrier_structure: carriers",
         funnel="store_funnel: funnel", events="event_lift: shop_days",
     ),
     "demand_funnel_diagnosis": _task(
@@ -122,7 +136,7 @@ TASKS: dict[str, dict[str, Result]] = {
         value="audience_value: buyers", composition="audience_composition: traffic", scope="audience_scope: traffic",
     ),
     "note_commercial_diagnosis": _task(
-        pareto="note_pareto: funnel", conversion="note_conversion_outliers: funnel", refunds="note_refund_outliers: funnel", referral="referral: traffic",
+        pareto="note_pareto: funnel", conversion="note_conversion_outliers: funnel", refunds="note_refund_outliers: note_refunds", referral="referral: traffic",
         referral_totals="referral_totals: traffic",
     ),
     "sku_structure_diagnosis": _task(
