@@ -2,6 +2,5 @@
 
 from tallyforge.plans import catalogue_data, catalogue_facts, catalogue_more, catalogue_results, catalogue_structure, catalogue_tasks  # noqa: F401
 from tallyforge.plans.catalogue import FOUND as ALL
-from tallyforge.tasks import queries  # noqa: F401
 
 __all__ = ["ALL"]
