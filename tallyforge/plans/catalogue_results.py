@@ -459,7 +459,7 @@ def _(spark, d):
 
 @query(
     "carrier_days",
-    f"""SELECT shop_id, day, carrier, gmv, paid_orders, buyers, {over('gmv', 'paid_orders')} AS aov, net_gmv_pay, refund_orders_pay,
+    f"""SELECT shop_id, day, carrier, gmv, paid_orders, buyers, round({over('gmv', 'paid_orders')}) AS aov, net_gmv_pay, refund_orders_pay,
       {over('refund_orders_pay', 'paid_orders')} AS refund_rate FROM (SELECT shop_id, day, carrier, sum(paid_amount) AS gmv,
       count(DISTINCT order_id) AS paid_orders, count(DISTINCT buyer_id) AS buyers, sum(CASE WHEN refunded THEN 0 ELSE paid_amount END) AS net_gmv_pay,
       count(DISTINCT CASE WHEN refunded THEN order_id END) AS refund_orders_pay FROM ol GROUP BY ALL)""",
@@ -467,6 +467,7 @@ def _(spark, d):
     OL,
 )
 def _(spark, d):
+    """The order value is in whole units."""
     amount = col("paid_amount")
     s = lines(spark, d).groupBy("shop_id", "day", "carrier").agg(
         F.sum(amount).alias("gmv"),
@@ -475,7 +476,7 @@ def _(spark, d):
         F.sum(F.when(col("refunded"), 0.0).otherwise(amount)).alias("net_gmv_pay"),
         F.countDistinct(F.when(col("refunded"), col("order_id"))).alias("refund_orders_pay"),
     )
-    return s.withColumns({"aov": C.ratio(col("gmv"), col("paid_orders")), "refund_rate": C.ratio(col("refund_orders_pay"), col("paid_orders"))})
+    return s.withColumns({"aov": F.round(C.ratio(col("gmv"), col("paid_orders"))), "refund_rate": C.ratio(col("refund_orders_pay"), col("paid_orders"))})
 
 
 @query(

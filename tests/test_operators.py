@@ -216,3 +216,30 @@ def test_same_result_under_any_partitions(spark):
         found.add(tuple((r.g, round(r.gini, 9), round(r.hhi, 9)) for r in distribution.concentration(rows, ["g"], "v").orderBy("g").collect()))
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert len(found) == 1
+
+
+def test_top_rows_of_groups(spark):
+    from tallyforge.operators.ranks import top_rows
+
+    rows = [(k, i % 40, i) for k in ("hot", "a", None) for i in range(300 if k == "hot" else 5)]
+    got = top_rows(spark.createDataFrame(rows, "k string, v int, i int"), ["k"], [F.desc("v"), F.asc("i")], 4, parts=7).collect()
+    for k in ("hot", "a", None):
+        want = sorted(((v, i) for x, v, i in rows if x == k), key=lambda x: (-x[0], x[1]))[:4]
+        assert [(r.v, r.i) for r in sorted((r for r in got if r.k == k), key=lambda r: r["_rank"])] == want
+
+
+def test_any_prefixes(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0, 4.0, 5.0)], "day int, live_gmv double, live_net_gmv double, video_card_gmv double, other double")
+    got = {(r.carrier, r.gmv, r.net_gmv) for r in structure.unpivot_prefixes(df, ["day"], ["gmv", "net_gmv"]).collect()}
+    assert got == {("live", 2.0, 3.0), ("video_card", 4.0, None)}
+
+
+def test_quantiles_of_groups(spark):
+    from tallyforge.operators.distribution import describe, quantiles
+
+    rows = [("a", float(i)) for i in range(101)] + [("b", 7.0), ("b", None), (None, 1.0), (None, 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.quantiles for r in quantiles(df, ["k"], "v", (0.1, 0.5, 1.0)).collect()}
+    assert got == {"a": [10.0, 50.0, 100.0], "b": [7.0, 7.0, 7.0], None: [1.1, 1.5, 2.0]}
+    said = {r.k: (r.n, r.median, r.iqr) for r in describe(df, ["k"], "v").collect()}
+    assert said == {"a": (101, 50.0, 50.0), "b": (1, 7.0, 0.0), None: (2, 1.5, 0.5)}
