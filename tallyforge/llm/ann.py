@@ -12,7 +12,8 @@ query's K nearest, so this loses nothing. Leaves that hold over BLOCK vectors ar
 each of which meets the leaf's queries.
 
 Left out: vectors that are null, zero, hold null or non-finite components, or have another
-length than most. Rows without an id are left out as well. Ties go to the smaller id; repeated ids count once. An empty
+length than most. Rows without an id are left out as well. Ties go to the smaller id. A repeated id
+counts once, with the least of its vectors where it has several, as candidate and as query. An empty
 table gives an empty result; fewer than K candidates are all returned.
 
 SHARE fits data without any structure (points spread evenly on a sphere), where recall needs
@@ -92,13 +93,17 @@ class Forest:
         return out
 
 
-def classes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vid, v, ids): each distinct usable vector, its smallest id, and its KEEP smallest ids in order."""
+def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, v): each id's vector, the least of those that can be searched."""
     v = F.col(vector).cast("array<double>")
     good = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.col(key).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("v") == (sizes.n if sizes else 0)).dropDuplicates(["id", "v"])
+    return rows.where(F.size("v") == (sizes.n if sizes else 0)).groupBy("id").agg(F.min("v").alias("v"))
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """(vid, v, ids) of usable(): each distinct vector, its smallest id, and its KEEP smallest ids in order."""
     first = rows.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(f"r <= {KEEP}")
     return first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("vid"), "v", "ids")
 
@@ -132,7 +137,8 @@ def nearest_in_block(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
 def search(vectors: DataFrame, is_query, k: int = K, key: str = "vec_id", vector: str = "embedding", share: float = SHARE) -> DataFrame:  # noqa: ANN001
     """(query_id, rank, vec_id, score) for the rows whose id satisfies the Column is_query, against all other rows."""
     spark = vectors.sparkSession
-    nodes = stored(classes(vectors, key, vector), "ann-classes")
+    rows = stored(usable(vectors, key, vector), "ann-rows")
+    nodes = stored(classes(rows), "ann-classes")
     n = nodes.count()
     sample = _matrix(pd.Series([r.v for r in nodes.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE).select("v").collect()]))
     depth = int(max(0, min(np.ceil(np.log2(max(n, 1) / LEAF)), np.log2(max(len(sample), 1) / LEAST_SAMPLED))))
@@ -156,7 +162,8 @@ def search(vectors: DataFrame, is_query, k: int = K, key: str = "vec_id", vector
     parts = (lambda c: F.coalesce(blocks[c], F.lit(1))) if big else (lambda c: F.lit(1))
     mine = nodes.select("vid", "v").join(index, "vid").select("vid", "v", F.explode(cell).alias("cell"))
     mine = mine.withColumn("block", F.pmod(F.xxhash64("vid"), parts(F.col("cell")).cast("long")).cast("int"))
-    query_ids = vectors.where(is_query).select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("v")).where("query_id IS NOT NULL").distinct().join(nodes.select("vid", "v"), "v").select("query_id", F.col("vid").alias("qid"))
+    asking = rows.withColumnRenamed("id", key).where(is_query).select(F.col(key).alias("query_id"), "v")
+    query_ids = asking.join(nodes.select("vid", "v"), "v").select("query_id", F.col("vid").alias("qid"))
     query_ids = stored(query_ids, "ann-queries")
     wanted = nodes.select("vid", "v").join(query_ids.select(F.col("qid").alias("vid")).distinct(), "vid").mapInPandas(asked, "qid long, v array<float>, at array<int>")
     wanted = wanted.select("qid", "v", F.explode("at").alias("cell")).select("qid", "v", "cell", F.explode(F.sequence(F.lit(0), parts(F.col("cell")) - 1)).alias("block"))

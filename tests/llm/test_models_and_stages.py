@@ -87,6 +87,13 @@ def test_forest_recall(spark):
     assert hit >= 0.9 * 300
 
 
+def test_repeated_ids(spark):
+    """One list for a query, one place for a candidate, by the least vector of each."""
+    rows = [(0, [9.0, 1.0]), (0, [1.0, 5.0]), (0, [1.0, 5.0]), (7, [1.0, 6.0]), (7, [3.0, 5.0]), (8, [1.0, 4.5]), (9, [0.0, 0.0]), (9, [2.0, 5.0])]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()
+    assert [(f.query_id, f.rank, f.vec_id, f.score) for f in sorted(found)] == [(0, 1, 8, 0.5), (0, 2, 7, 1.0), (0, 3, 9, 1.0)]
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_take_odd_rows(spark, sf_dir, name, stage):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
