@@ -4,7 +4,9 @@ Each kind of value is found by a pattern, validated, read as a number below a*b
 by a keyed Feistel network on Z_a x Z_b: every round adds a keyed hash of one half to the
 other, so the whole is a bijection on the valid values of that format. Equal values have
 equal pseudonyms in all documents, whatever their separators, and different ones different pseudonyms. Digits stay where digits were: a date's
-fields keep their widths, and a date keeps the order in which its fields are read. E-mail addresses, which are no
+fields keep their widths, and a date keeps the order in which its fields are read. Dates of 1900 to 2099 stay in these years, other
+dates of the years 1 to 9999 stay outside them. International numbers (+ and 8 to 15 digits) keep their country code
+and are permuted with those of the same code and length; a "(0)" in one isn't dialled and stays. E-mail addresses, which are no
 numbers, get a keyed hash of the address in the shape of one.
 
 Null text stays null with zero counts; empty text and text without values is unchanged. Values that fail
@@ -16,6 +18,7 @@ rows alike. Columns other than the text pass through, whatever their names. No s
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +26,16 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import let, table
 
 ROUNDS = 10
-#: Dates are permuted within these years: 73,049 = 17 * 4297 days.
+#: Dates of these years are permuted by themselves: 73,049 = 17 * 4297 days.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
+#: So are all others: days before FIRST_DAY, and all days of the years 1 to 9999.
+BEFORE, ALL_DAYS = 693_595, 3_652_059
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
+#: What may stand between two digits of an international number, and what a + may precede without making it one.
+_GAP = r"(?:[ .-]?\(0\)[ .-]?|[ .-]?\(|\)[ .-]?|[ ./-])?"
+_NO_PHONE = rf"(?:(?:\d{{1,3}}\.){{3}}\d{{1,3}}|{_DATE}|\d{{3}}-\d{{2}}-\d{{4}}|\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{4}}|\d{{4}}[ -]\d{{6}}[ -]\d{{5}})(?![0-9A-Za-z]|[./-]\d)"
+# Country codes of one and two digits; all others have three.
+_CODES = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 # The kinds in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}",
@@ -33,6 +43,7 @@ PATTERNS = {
     "date": rf"(?:{_DATE})(?![0-9A-Za-z])",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![0-9A-Za-z])",
     "phone": r"(?:\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[ .-])?[2-9]\d{2}[ .-][2-9]\d{2}[ .-]\d{4})(?![0-9A-Za-z])",
+    "international": rf"\+(?!{_NO_PHONE})(?:[1-9]\d{{7,14}}(?![0-9A-Za-z])|[1-9](?:{_GAP}\d){{7,14}}(?<=\d\d)(?![0-9A-Za-z]))",
     "card": r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![0-9A-Za-z])",
 }
 #: Text without a match of this has no value of any kind.
@@ -156,13 +167,32 @@ def _phone(m: Column, key: str) -> Column:
     return refill(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), let(ten, permuted)))
 
 
+def _permuted_digits(digits: Column, key: str, tweak: str | Column) -> Column:
+    """A string of at most 18 digits for another of the same length; each length, and each tweak, is permuted by itself."""
+    n = F.length(digits)
+    power = lambda k: F.rpad(F.lit("1"), (k + 1).cast("int"), "0").cast("long")
+    low = F.floor(n / 2).cast("int")
+    tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
+    return _pad(feistel(_long(digits), power(n - low), power(low), key, F.concat(tweak, n.cast("string"))), n)
+
+
+def _international(m: Column, key: str) -> Column:
+    """Country code kept, the rest permuted; a North American number of the usual length is the one that ``phone`` takes it for."""
+    plain = F.replace(m, F.lit("(0)"), F.lit("(\x01)"))  # digits of a value, without the 0 that isn't dialled
+
+    def new(digits: Column) -> Column:
+        code = F.regexp_extract(digits, _CODES, 0)
+        rest = F.substring(digits, F.length(code) + 1, F.length(digits) - F.length(code))
+        other = refill(plain, F.concat(code, _permuted_digits(rest, key, F.concat(F.lit("international"), code, F.lit("/")))))
+        return F.replace(F.when(digits.rlike("^1[0-9]{10}$"), _phone(plain, key)).otherwise(other), F.lit("\x01"), F.lit("0"))
+
+    return let(_digits(plain), new)
+
+
 def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     inner = F.substring(digits, F.lit(2), F.length(digits) - 2)
-    n = F.length(inner)
-    power = lambda k: F.rpad(F.lit("1"), (k + 1).cast("int"), "0").cast("long")
-    low = F.floor(n / 2).cast("int")
-    body = F.concat(F.substring(digits, 1, 1), _pad(feistel(_long(inner), power(n - low), power(low), key, F.concat(F.lit("card"), n.cast("string"))), n))
+    body = F.concat(F.substring(digits, 1, 1), _permuted_digits(inner, key, "card"))
     checked = let(body, lambda x: F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0")))) % 10).cast("string")))
     return F.when((luhn_sum(digits) == 0) & digits.rlike("^[1-9]"), refill(m, checked))
 
@@ -188,7 +218,10 @@ def _walked(form: Column, p: Column, key: str) -> Column:
     first = F.when(form == "iso", day(at(1), at(2), at(3))).when(form == "dots", day(at(3), at(2), at(1))).otherwise(day(at(3), at(1), at(2)))
     second = F.when(form == "slashes", day(at(3), at(2), at(1)))
     a, b = DAYS
-    start = F.lit(FIRST_DAY).cast("date")
+    near, far = a * b, ALL_DAYS - a * b
+    side = isqrt(far - 1) + 1
+    start, origin = F.lit(FIRST_DAY).cast("date"), F.lit("0001-01-01").cast("date")
+    after = lambda date, y: F.date_add(date, y.cast("int"))
     wide = lambda v, field: (F.length(field) == 2) | (v < 10)
 
     def new(read: Column) -> Column:
@@ -196,28 +229,38 @@ def _walked(form: Column, p: Column, key: str) -> Column:
         day_field = F.when(form == "iso", F.element_at(p, 3)).when((form == "dots") | swapped, F.element_at(p, 1)).otherwise(F.element_at(p, 2))
         month_field = F.when((form == "iso") | (form == "dots") | swapped, F.element_at(p, 2)).otherwise(F.element_at(p, 1))
 
-        def fits(y: Column) -> Column:
-            date = F.date_add(start, y.cast("int"))
-            return wide(F.month(date), month_field) & wide(F.dayofmonth(date), day_field) & (~swapped | (F.dayofmonth(date) > 12))
+        def walk(x: Column) -> Column:
+            inside = (x >= 0) & (x < near)
+
+            def dated(y: Column) -> Column:
+                return F.when(inside, after(start, y)).when(y < BEFORE, after(origin, y)).when(y < far, after(origin, y + near))
+
+            def fits(y: Column) -> Column:
+                ok = lambda date: wide(F.month(date), month_field) & wide(F.dayofmonth(date), day_field) & (~swapped | (F.dayofmonth(date) > 12))
+                return F.coalesce(let(dated(y), ok), F.lit(False))
+
+            size = lambda v, w: F.when(inside, v).otherwise(w).cast("long")
+            tweak = F.when(inside, "date").otherwise("other date")
 
-        def step(acc: Column, _: Column) -> Column:
-            return F.when(acc["done"], acc).otherwise(let(feistel(acc["y"], F.lit(a).cast("long"), F.lit(b).cast("long"), key, "date"), lambda y: F.struct(y.alias("y"), fits(y).alias("done"))))
+            def step(acc: Column, _: Column) -> Column:
+                return F.when(acc["done"], acc).otherwise(let(feistel(acc["y"], size(a, side), size(b, side), key, tweak), lambda y: F.struct(y.alias("y"), fits(y).alias("done"))))
 
-        x = F.datediff(real, start).cast("long")
-        walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(x.alias("y"), F.lit(False).alias("done")), step)
+            y = F.when(inside, x).when(x < 0, x + BEFORE).otherwise(x + BEFORE - near)
+            walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(y.alias("y"), F.lit(False).alias("done")), step)
+            return let(walked, lambda end: F.struct(dated(end["y"]).alias("date"), end["done"].alias("done")))
 
         def shown(end: Column) -> Column:
-            date = F.date_add(start, end["y"].cast("int"))
+            date = end["date"]
             d, mo, y = _pad(F.dayofmonth(date), F.length(day_field)), _pad(F.month(date), F.length(month_field)), _pad(F.year(date), 4)
             text = F.when(form == "iso", F.concat_ws("-", y, mo, d)).when(form == "dots", F.concat_ws(".", d, mo, y)).when(swapped, F.concat_ws("/", d, mo, y)).otherwise(F.concat_ws("/", mo, d, y))
             return F.when(end["done"], text)
 
-        return F.when((x >= 0) & (x < a * b), let(walked, shown))
+        return F.when(real >= origin, let(let(F.datediff(real, start).cast("long"), walk), shown))
 
     return let(F.struct(F.coalesce(first, second).alias("real"), (first.isNull() & second.isNotNull()).alias("swapped")), new)
 
 
-_MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+_MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "international": _international, "card": _card}
 
 
 def _made(kind: str, m: Column) -> Callable[[Column], Column]:

@@ -101,6 +101,63 @@ def test_several_licences_and_short_forms(spark):
     assert [got[i].licences for i in range(len(cases))] == list(cases.values())
 
 
+SHORT = {
+    "Licensed under the MIT license (https://opensource.org/licenses/MIT).": ["MIT"],
+    "This project is licensed under the MIT License - see the LICENSE.md file for details": ["MIT"],
+    "This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details.": ["MIT"],
+    "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": ["Apache-2.0", "MIT"],
+    "Licensed under either of\n\n * Apache License, Version 2.0\n   (LICENSE-APACHE or http://www.apache.org/licenses/LICENSE-2.0)\n * MIT license\n   (LICENSE-MIT or http://opensource.org/licenses/MIT)\n\nat your option.": ["Apache-2.0", "MIT"],
+    "Released under the MIT and\nGPLv2 licenses.": ["GPL-2.0-only", "MIT"],
+    "Licensed under the GNU GPL v3": ["GPL-3.0-only"], "Released under the GPLv3.": ["GPL-3.0-only"], "Distributed under the GNU LGPL, version 2.1 or later.": ["LGPL-2.1-or-later"], "license: GPL-3.0+": ["GPL-3.0-or-later"],
+    "This plugin is released under the GPL.": ["GPL"], "License: MIT": ["MIT"], '"license": "ISC",': ["ISC"], "License :: OSI Approved :: MIT License": ["MIT"], "MIT licensed.": ["MIT"],
+    "SPDX-License-Identifier: EPL-2.0": ["EPL-2.0"], "// SPDX-License-Identifier: BSL-1.0 OR Zlib": ["BSL-1.0", "Zlib"], "SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception": ["Apache-2.0"],
+    "// Copyright 2009 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.": ["BSD"],
+    "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt or copy at\nhttps://www.boost.org/LICENSE_1_0.txt)": ["BSL-1.0"],
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:": ["Zlib"],
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html": ["EPL-1.0"],
+    "This program and the accompanying materials\nare made available under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/": ["EPL-2.0"],
+    "Copyright 2020 X. All rights reserved. Licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+    "The house is available under the bridge. A licence to kill.": [], "It is not licensed for use.": [],
+}
+
+
+def test_short_forms(spark):
+    got = found(spark, list(SHORT))
+    bad = [(t, got[i].licences, got[i].licence_sentences) for i, t in enumerate(SHORT) if got[i].licences != SHORT[t] or got[i].licence_unmatched]
+    assert not bad
+
+
+def test_mentions_are_reported(spark):
+    texts = ["Licensed under the Foo Bar License.", "SPDX-License-Identifier: LicenseRef-Own", "x. License: proprietary, see file", f"Licensed under the Apache License 2.0 with strings attached. {MIT}", "no more words"]
+    got = found(spark, texts)
+    assert [got[i].licence_unmatched for i in range(5)] == [["Mention"], ["Mention"], ["Mention"], ["Mention"], []]
+    assert [got[i].licences for i in range(5)] == [[], [], [], ["MIT"], []]
+
+
+def test_sql_of_short_forms(spark):
+    """The registered SQL gives the same on shipped texts, short forms and mentions."""
+    import duckdb
+    import pandas as pd
+
+    texts = [*SHORT, *(x for t in KNOWN.values() for x in shapes(t)), "Licensed under the Foo License.", "", None]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841  read by name
+    want = {r[0]: r[1:] for r in duckdb.sql(licences.oracle()).fetchall()}
+    got = found(spark, texts)
+    joined = {i: (*(",".join(r[c]) for c in ("licences", "licence_sentences", "licence_unmatched")), len(r.licences)) for i, r in got.items()}
+    assert [(texts[i], joined[i], want[i]) for i in joined if joined[i] != want[i]] == []
+
+
+def test_families_hold_their_sentences():
+    """Every pattern's own words hold its family's pattern, so that no family keeps a sentence from its own identifiers."""
+    import re
+
+    for name, p in licences.SENTENCES.items():
+        anchor = licences.family(name)
+        if anchor != licences.ANCHOR and not name.startswith("Name:"):
+            plain = re.sub(r"\((?:\?:)?|[)\\?]", "", p).replace("lesser|library ", "")
+            assert re.search(anchor, plain), name
+
+
 def test_what_no_rule_explains(spark):
     got = found(spark, ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."])
     assert (got[0].licences, got[0].licence_unmatched) == ([], ["MITnotice"])
