@@ -48,6 +48,40 @@ def parse_day(c: Column) -> Column:
     return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "yyyy/M/d"), F.when(text.rlike("^[0-9]{8}$"), F.try_to_date(text, "yyyyMMdd")), F.expr("date'1899-12-30'") + serial)
 
 
+def is_missing(c: Column) -> Column:
+    """Null, or text of blanks alone."""
+    return c.isNull() | (F.trim(c.cast("string")) == "")
+
+
+def optional_text(c: Column) -> Column:
+    return F.nullif(F.trim(c.cast("string")), F.lit(""))
+
+
+def parse_quantity(c: Column) -> Column:
+    """A whole number, written with or without grouping commas or a fraction of zeros."""
+    number = to_finite(c)
+    return F.when(number == F.floor(number), number.try_cast("long"))
+
+
+#: A date with or without a time and a zone, and a spreadsheet's day number with or without a part of a day.
+_MOMENT = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:[T ][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?(?: ?Z|[+-][0-9]{2}:[0-9]{2})?)?$"
+_SERIAL = r"^[0-9]{5}(?:\.[0-9]+)?$"
+
+
+def parse_timestamp(c: Column) -> Column:
+    """A timestamp from ISO or slashed text with its time, YYYYMMDD, or a spreadsheet's day number from 20000 to 60000 with its part of a day.
+
+    Times without a zone are of the session's; a day number is rounded to milliseconds.
+    """
+    text = F.replace(F.trim(c.cast("string")), F.lit("/"), F.lit("-"))
+    serial = F.when(text.rlike(_SERIAL), text.try_cast("double"))
+    days = F.floor(serial)
+    seconds = F.round((serial - days) * 86400, 3).cast("decimal(18,6)")
+    moved = F.expr("timestamp_ntz'1899-12-30 00:00:00'") + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), seconds)
+    compact = F.when(text.rlike("^[0-9]{8}$"), F.try_to_date(text, "yyyyMMdd").cast("timestamp"))
+    return F.coalesce(F.when(text.rlike(_MOMENT), text.try_cast("timestamp")), F.when(serial.between(20000, 60000), moved.cast("timestamp")), compact)
+
+
 def iso_day(c: Column) -> Column:
     return F.date_format(parse_day(c), "yyyy-MM-dd")
 

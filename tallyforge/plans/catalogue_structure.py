@@ -57,6 +57,24 @@ def _(spark, d):
     return good.select(F.lit("good").alias("outcome")).unionByName(bad.select(F.col("invalid_reason").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("rows"))
 
 
+@query(
+    "order_moments",
+    "SELECT CASE WHEN k = 4 THEN 'unread' ELSE 'read' END AS outcome, CASE WHEN k <> 4 THEN strftime(m, '%Y-%m-%d %H:%M:%S') END AS moment, count(*) AS orders FROM "
+    "(SELECT o_orderkey % 5 AS k, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_minutes(CASE WHEN o_orderkey % 5 = 3 THEN 0 ELSE CAST(o_orderkey % 96 * 15 AS BIGINT) END) AS m FROM orders) GROUP BY ALL",
+)
+def _(spark, d):
+    """Order times as exports write them: ISO, slashed, a spreadsheet's day number, a bare day, and text that is no time."""
+    minutes, kind, day = (F.col("o_orderkey") % 96 * 15).cast("int"), F.col("o_orderkey") % 5, F.col("o_orderdate").cast("date")
+    clock = F.format_string("%02d:%02d", F.floor(minutes / 60).cast("int"), minutes % 60)
+    number = F.datediff(day, F.lit("1899-12-30").cast("date")) + minutes / 1440
+    raw = (
+        F.when(kind == 0, F.concat_ws("T", day.cast("string"), F.concat(clock, F.lit(":00")))).when(kind == 1, F.concat_ws(" ", F.date_format(day, "yyyy/M/d"), clock))
+        .when(kind == 2, number.cast("string")).when(kind == 3, F.date_format(day, "yyyyMMdd")).otherwise("soon")
+    )
+    rows = B.table(spark, d, "orders").select(raw.alias("raw")).select(C.parse_timestamp(F.col("raw")).alias("m"))
+    return rows.groupBy(F.when(F.col("m").isNull(), "unread").otherwise("read").alias("outcome"), F.date_format("m", "yyyy-MM-dd HH:mm:ss").alias("moment")).agg(F.count("*").alias("orders"))
+
+
 @query("clean_numbers", "SELECT l_linenumber AS line, sum(l_extendedprice) AS amount, avg(l_discount) AS rate, count(*) FILTER (l_tax * 100 > 1) AS percent_rows FROM lineitem GROUP BY ALL", "amount rate")
 def _(spark, d):
     shown = B.table(spark, d, "lineitem").select("l_linenumber", F.concat(F.lit(" ¥"), F.format_number("l_extendedprice", 2)).alias("p"), F.concat((F.col("l_discount") * 100).cast("decimal(9,4)").cast("string"), F.lit("%")).alias("r"), (F.col("l_tax") * 100).alias("t"))

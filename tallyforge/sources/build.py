@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.cleaning import parse_day, to_finite
+from tallyforge.functions.cleaning import parse_day, parse_timestamp, to_finite
 from tallyforge.sources import harmonise as H
 from tallyforge.sources.contracts import CONTRACTS, Contract
 from tallyforge.sources.files import inventory
@@ -38,7 +38,7 @@ def typed(c: Column, kind: str) -> Column:
     if kind == "date":
         return parse_day(c)
     if kind == "timestamp":
-        return F.coalesce(F.try_to_timestamp(c), parse_day(c).cast("timestamp"))
+        return parse_timestamp(c)
     return to_finite(c).cast(kind)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.functions.cleaning import is_finite, to_finite
+from tallyforge.functions.cleaning import is_finite, is_missing, optional_text, parse_quantity, parse_timestamp, to_finite
 from tallyforge.sources.contracts import CONTRACTS, Contract
 
 # Least share of a signature, least lead over the next table, relative gap of a conflict.
@@ -92,17 +92,23 @@ def fuzzy_suggestions(mapped: DataFrame, spark: SparkSession, least: float = 0.8
 
 
 def validate_orders(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Order lines as (good, bad): ids are required, quantity is whole and positive, amount finite and not negative."""
-    text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
-    quantity, amount = to_finite(F.col("quantity")), to_finite(F.col("paid_amount"))
+    """Order lines as (good, bad): ids are required, quantity is whole and positive, amount finite and not negative.
+
+    paid_time, where the table has it, may be missing, but what is there must be a date and time.
+    """
+    text = lambda c: optional_text(F.col(c))
+    quantity, amount = parse_quantity(F.col("quantity")), to_finite(F.col("paid_amount"))
     reason = (
         F.when(text("order_id").isNull(), "order_id: missing").when(text("sku_id").isNull(), "sku_id: missing")
-        .when(quantity.isNull() | (quantity <= 0) | (quantity != F.floor(quantity)), "quantity: not a whole positive number").when(amount.isNull() | (amount < 0), "paid_amount: not a finite amount of 0 or more")
+        .when(quantity.isNull() | (quantity <= 0), "quantity: not a whole positive number").when(amount.isNull() | (amount < 0), "paid_amount: not a finite amount of 0 or more")
     )
+    if "paid_time" in raw.columns:
+        unread = ~is_missing(F.col("paid_time")) & parse_timestamp(F.col("paid_time")).isNull()
+        reason = F.coalesce(reason, F.when(unread, "paid_time: not a date and time"))
     if strict:
         reason = F.when(reason.isNotNull(), F.raise_error(reason)).otherwise(reason)
     marked = raw.withColumn("invalid_reason", reason)
-    good = marked.where("invalid_reason IS NULL").withColumns({"order_id": text("order_id"), "sku_id": text("sku_id"), "quantity": quantity.cast("int"), "paid_amount": amount}).drop("invalid_reason")
+    good = marked.where("invalid_reason IS NULL").withColumns({"order_id": text("order_id"), "sku_id": text("sku_id"), "quantity": quantity.try_cast("int"), "paid_amount": amount}).drop("invalid_reason")
     return good, marked.where("invalid_reason IS NOT NULL")
 
 

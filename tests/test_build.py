@@ -60,6 +60,30 @@ def test_line_breaks_equal_rows_and_bad_ones(spark, tmp_path):
     assert (good.order_id, good.quantity, good.paid_amount) == ("o5", 2, 1200.0)
 
 
+def test_times_of_order_lines(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    times = {"a": "2024/1/2 03:04", "b": "45293.5", "c": "2024-01-02T03:04:05.25", "d": "20240102", "e": "", "f": "soon", "g": "19999.5", "h": "2024-02-30"}
+    (src / "orders.csv").write_text("order_id,sku_id,paid_time,quantity,paid_amount\n" + "".join(f"{k},s1,{v},1,1\n" for k, v in times.items()))
+    build_tables(spark, str(src), str(out))
+    got = {r.order_id: r.t for r in spark.read.parquet(f"{out}/orders").selectExpr("order_id", "date_format(paid_time, 'yyyy-MM-dd HH:mm:ss.SS') AS t").collect()}
+    assert got == {"a": "2024-01-02 03:04:00.00", "b": "2024-01-02 12:00:00.00", "c": "2024-01-02 03:04:05.25", "d": "2024-01-02 00:00:00.00", "e": None}
+    bad = {r.order_id: r.invalid_reason for r in spark.read.parquet(f"{out}/orders_invalid").collect()}
+    assert bad == dict.fromkeys("fgh", "paid_time: not a date and time")
+
+
+def test_moments_and_quantities(spark):
+    from pyspark.sql import functions as F
+
+    from tallyforge.functions import cleaning as C
+
+    rows = spark.createDataFrame([(x,) for x in ("20000", "60000", "60000.5", "60001", "2024-13-01", "2024", "24:00", "2024-01-02 25:00", "1,200", "2.0", "2.5", " ", None, "1e3")], "x string")
+    got = {r.x: (r.t, r.q, r.m) for r in rows.select("x", F.date_format(C.parse_timestamp(F.col("x")), "yyyy-MM-dd HH:mm").alias("t"), C.parse_quantity(F.col("x")).alias("q"), C.is_missing(F.col("x")).alias("m")).collect()}
+    assert [x for x, v in got.items() if v[0]] == ["20000", "60000"] and got["20000"][0] == "1954-10-03 00:00"
+    assert (got["1,200"][1], got["2.0"][1], got["2.5"][1], got["1e3"][1]) == (1200, 2, None, 1000)
+    assert [x for x, v in got.items() if v[2]] == [" ", None]
+
+
 def test_part_of_a_grain(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("channel,note_type,gmv,paid_orders,product_clicks\nx,v,1,,2\nx,v,,3,2\n")
