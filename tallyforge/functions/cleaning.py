@@ -126,7 +126,49 @@ def percentile_label(p: Column) -> Column:
 
 
 def net_gmv(gmv: Column, refund: Column) -> Column:
-    return gmv - F.coalesce(refund, F.lit(0.0))
+    """What is left of an amount; null where either isn't known."""
+    return gmv - refund
+
+
+def share_of(part: Column, whole: Column) -> Column:
+    """part / whole for refunded amounts and orders; null where the whole is 0 or either isn't known."""
+    return part / F.nullif(whole, F.lit(0).cast("double"))
+
+
+def per_visitor_gmv(gmv: Column, visitors: Column) -> Column:
+    """Amount for each product visitor; null for counts of 0 or less and what isn't finite."""
+    return F.when(is_finite(gmv) & is_finite(visitors) & (visitors > 0), gmv / visitors)
+
+
+def rate_band(low: Column, high: Column) -> Column:
+    """Two rates as "约 7.8%–8.3%", with none, one or two decimals: the fewest that keep them apart; one rate if none does."""
+    shown = lambda c, d: F.format_string(f"%.{d}f", (c * 100).cast("double"))
+    band = lambda d: F.concat(F.lit("约 "), shown(low, d), F.lit("%–"), shown(high, d), F.lit("%"))
+    out = F.concat(F.lit("约 "), shown(high, 0), F.lit("%"))
+    for d in (2, 1, 0):
+        out = F.when(shown(low, d) != shown(high, d), band(d)).otherwise(out)
+    return F.when(low.isNotNull() & high.isNotNull(), out)
+
+
+def note_ratios(df: DataFrame) -> DataFrame:
+    """df with seven ratios of each note; reactions that the table lacks count as none, other columns that it lacks give null."""
+    n = lambda c: number_or_null(df, c)
+    reaction = lambda c: F.coalesce(n(c), F.lit(0.0))
+    likes, collects, comments = (reaction(c) for c in ("likes", "collects", "comments"))
+    return df.withColumns({
+        "read_rate": ratio(n("reads"), n("impressions")), "like_rate": ratio(likes, n("reads")), "collect_rate": ratio(collects, n("reads")), "comment_rate": ratio(comments, n("reads")),
+        "engagement_rate": ratio(likes + collects + comments + reaction("shares"), n("reads")),
+        "click_to_order": ratio(n("note_paid_orders"), n("product_clicks")), "gmv_per_click": ratio(n("note_gmv"), n("product_clicks")),
+    })
+
+
+def ad_ratios(df: DataFrame) -> DataFrame:
+    """df with six ratios of each ad row; columns that the table lacks give null."""
+    n = lambda c: number_or_null(df, c)
+    return df.withColumns({
+        "ctr_calc": ratio(n("clicks"), n("impressions")), "cpc_calc": ratio(n("spend"), n("clicks")), "cpm_calc": ratio(n("spend") * 1000, n("impressions")), "cvr_calc": ratio(n("conversions_optional"), n("clicks")),
+        "cost_per_order_calc": ratio(n("spend"), n("orders_optional")), "roas_calc": ratio(n("gmv_optional"), n("spend")),
+    })
 
 
 def reconciles(stated: Column, computed: Column, tolerance: float = 0.05) -> Column:

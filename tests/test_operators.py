@@ -243,3 +243,20 @@ def test_quantiles_of_groups(spark):
     assert got == {"a": [10.0, 50.0, 100.0], "b": [7.0, 7.0, 7.0], None: [1.1, 1.5, 2.0]}
     said = {r.k: (r.n, r.median, r.iqr) for r in describe(df, ["k"], "v").collect()}
     assert said == {"a": (101, 50.0, 50.0), "b": (1, 7.0, 0.0), None: (2, 1.5, 0.5)}
+
+
+def test_ratios_of_rows(spark):
+    bands = [(0.078, 0.083, "约 7.8%–8.3%"), (0.0781, 0.0783, "约 7.81%–7.83%"), (0.1, 0.2, "约 10%–20%"), (0.08, 0.08, "约 8%"), (0.08, 0.080001, "约 8%"), (None, 0.1, None)]
+    got = spark.createDataFrame(bands, "low double, high double, want string").select(C.rate_band(F.col("low"), F.col("high")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    rows = spark.createDataFrame([(1.0, 0.0), (6.0, 2.0), (None, 2.0), (6.0, None), (float("nan"), 2.0), (6.0, -1.0)], "g double, v double")
+    r = rows.select(C.per_visitor_gmv(F.col("g"), F.col("v")).alias("p"), C.share_of(F.col("g"), F.col("v")).alias("s"), C.net_gmv(F.col("g"), F.col("v")).alias("n")).collect()
+    assert [x.p for x in r] == [None, 3.0, None, None, None, None]
+    assert [x.s for x in r][:4] == [None, 3.0, None, None] and [x.n for x in r][:4] == [1.0, 4.0, None, None]
+
+
+def test_ratios_of_absent_columns(spark):
+    note = C.note_ratios(spark.createDataFrame([(10.0, 2, None), (0.0, 1, 1)], "reads double, likes int, collects int")).collect()
+    assert [(r.read_rate, r.like_rate, r.collect_rate, r.comment_rate, r.engagement_rate, r.click_to_order, r.gmv_per_click) for r in note] == [(None, 0.2, 0.0, 0.0, 0.2, None, None), (None,) * 7]
+    ad = C.ad_ratios(spark.createDataFrame([(10.0, 4)], "spend double, clicks int")).first()
+    assert (ad.cpc_calc, ad.ctr_calc, ad.cpm_calc, ad.cvr_calc, ad.cost_per_order_calc, ad.roas_calc) == (2.5, None, None, None, None, None)
