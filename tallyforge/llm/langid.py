@@ -8,7 +8,7 @@ text's language is the one with most letters in it.
 
 The model comes from about MOST_TRAIN documents of each language (the share of its documents that gives so many, by a hash of
 their ids: no task holds a language's rows), counted in Spark; it has BUCKETS rows and one column for each language, 256 KB. Null text and text without
-letters: ``und``, score 0, no spans. Without any training text all is ``und``. Ties go to the
+letters: ``und``, score 0, no spans. An empty table gives an empty result. Without any training text all is ``und``. Ties go to the
 language that sorts first. Repeated rows are labelled alike. Texts of any length are labelled whole. Columns other than the id, text and language aren't
 looked at.
 """

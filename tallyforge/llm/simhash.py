@@ -10,7 +10,8 @@ indexed too, with one wild bit (or two, where the first halves are equal): all t
 a key differ in at most two bits, so a link to the least of them keeps every component.
 
 Null and empty texts have fingerprint zero, which is linked like any other. Repeated rows
-are kept and share their fingerprint. An empty table gives an empty result.
+are kept and share their fingerprint. An empty table gives an empty result. Texts of any length are hashed whole. A bit that just half of
+the hashes have is 0. A row without an id keeps its links, but names no component unless all of its rows lack one. Other columns, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
@@ -313,6 +314,10 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGL
     First each text is compared with a few others, those nearest by sketch of some that stand for its shingles' texts, which
     joins large groups. Then all pairs that share a shingle and aren't in one group yet are compared, less those whose sketches show that they differ in too many
     shingles (a bound, not an estimate; long texts' sketches have a bit for each shingle). Every link is verified by the texts.
+
+    Null texts and texts without words have no shingles and are one group; a text of fewer words than k is one shingle. Texts of any length are
+    looked at whole. Repeated rows come out as often as they went in. Rows without a key are left out. An empty table gives
+    an empty result. Other columns, whatever their names, aren't looked at.
     """
     texts = _texts(docs.where(F.col(key).isNotNull()), key, text)
     rows = stored(_prefixes(texts, k, similarity), "near-rows")
@@ -329,6 +334,10 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGL
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs less all but the least-keyed document of each near-duplicate group; rows without a key stay."""
-    kept = near_groups(docs, key=key, text=text).where(F.col(key) == F.col("group_id")).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).cast("long") == F.col("_kept"), "left").where(F.col("_kept").isNotNull() | F.col(key).isNull()).drop("_kept")
+    """docs less all but the least-keyed document of each near-duplicate group.
+
+    Rows without a key stay, and so do all rows of a document that stays; of documents without words one stays. All columns pass through.
+    """
+    mark = "_" + max(docs.columns, key=len)  # no column of docs has so long a name
+    kept = near_groups(docs, key=key, text=text).where(F.col(key) == F.col("group_id")).select(F.col(key).alias(mark)).distinct()
+    return docs.join(kept, F.col(key).cast("long") == F.col(mark), "left").where(F.col(mark).isNotNull() | F.col(key).isNull()).drop(mark)

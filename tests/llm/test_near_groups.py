@@ -118,3 +118,15 @@ def test_repeats_count_once(spark):
     rows += [(10, " ".join(base + phrase)), (11, " ".join(base + phrase * 30))]
     assert brute(rows) == {**{i: i for i in range(6)}, 10: 10, 11: 10}
     assert groups(spark, rows) == brute(rows)
+
+
+def test_odd_rows_of_near_groups(spark):
+    """Null, empty and blank texts, short ones, a very long one, repeated rows, rows without an id and clashing columns."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, None), (2, ""), (3, " \n "), (4, "one two"), (5, "ONE  two"), (6, "one three"), (7, long), (8, long + " more"), (8, long + " more"), (None, "one two"), (9, "a b c d e f g")]
+    docs = spark.createDataFrame([(i, t, "kept", 0, "x") for i, t in rows], "doc_id long, text string, sig string, group_id int, _kept string")
+    got = sorted((r.doc_id, r.group_id) for r in simhash.near_groups(docs).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7), (8, 7), (8, 7), (9, 9)]
+    kept = simhash.keep_one(docs).collect()
+    assert sorted((r.doc_id or 0, r.sig, r.group_id, r._kept) for r in kept) == [(i, "kept", 0, "x") for i in (0, 1, 4, 6, 7, 9)]
+    assert simhash.near_groups(docs.limit(0)).count() == 0
