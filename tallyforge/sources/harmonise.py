@@ -129,7 +129,10 @@ def grain_merge(rows: DataFrame, grain: list[str]) -> DataFrame:
 
 
 def merge_conflicts(rows: DataFrame, grain: list[str], tolerance: float = CONFLICT) -> DataFrame:
-    """(grain, column, value_a, value_b, file_a, file_b): values of two files that disagree. A file's last row for a key counts."""
+    """(grain, column, value_a, value_b, file_a, file_b): values of two files that disagree. A file's last row for a key counts.
+
+    Both sides are as large as the table, however small its files are, so that neither may be sent to the driver.
+    """
     names = _values(rows, grain)
     last = rows.groupBy(*grain, "_file").agg(F.max_by(F.struct(*names), "_row").alias("v")).select(*grain, "_file", "v.*")
     long = last.select(*grain, "_file", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in names)))).where("value IS NOT NULL")
@@ -137,7 +140,7 @@ def merge_conflicts(rows: DataFrame, grain: list[str], tolerance: float = CONFLI
     x, y = F.col("value_a").try_cast("double"), F.col("value_b").try_cast("double")
     both = is_finite(x) & is_finite(y)
     gap = F.abs(x - y) > tolerance * F.greatest(F.abs(x), F.abs(y))
-    return a.join(b, [*grain, "column"]).where("file_a < file_b").where(F.when(both, gap).otherwise(F.col("value_a") != F.col("value_b")))
+    return a.hint("merge").join(b, [*grain, "column"]).where("file_a < file_b").where(F.when(both, gap).otherwise(F.col("value_a") != F.col("value_b")))
 
 
 def build_statistics(rows: DataFrame, grain: list[str]) -> DataFrame:

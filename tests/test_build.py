@@ -104,3 +104,10 @@ def test_digests_by_blocks(spark, tmp_path):
     assert (got["a"].lines, got["a"].header, got["h"].lines, got["f"].header) == (3000, "row 0,0", 1, "row 0,0")
     alone = inventory(spark, [str(tmp_path / "all" / "a.csv")], block=4096).first()
     assert alone.digest == got["a"].digest and alone.copies == 1
+
+
+def test_conflicts_broadcast_no_table(spark):
+    rows = H.tagged([spark.createDataFrame([("a", 1.0), ("b", 2.0)], "sku_id string, price double"), spark.createDataFrame([("a", 2.0), ("b", 2.0)], "sku_id string, price double")])
+    found = H.merge_conflicts(rows, ["sku_id"])
+    assert [(r.sku_id, r.value_a, r.value_b) for r in found.collect()] == [("a", "1.0", "2.0")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
