@@ -374,11 +374,20 @@ def _(spark, d):
     return B.traffic(spark, d).groupBy("k").agg(part("signup").alias("referral_gmv"), part("purchase").alias("note_gmv"))
 
 
-@query("product_opportunity", "SELECT sku_id, units, gmv, active_days, units / active_days AS units_per_active_day, gmv / active_days AS gmv_per_active_day, inventory, inventory / (units / active_days) AS inventory_cover_active_days, CASE WHEN units IS NULL OR units <= 0 THEN 'needs_sales' WHEN inventory <= 0 THEN 'out_of_stock' WHEN inventory / (units / active_days) <= 7 THEN 'low_inventory' ELSE 'response_present' END AS opportunity_type FROM (SELECT p_partkey AS sku_id, (p_size * 7) % 50 AS inventory FROM part) FULL JOIN (SELECT sku_id, sum(quantity) AS units, sum(paid_amount) AS gmv, count(DISTINCT day) AS active_days FROM ol WHERE NOT refunded GROUP BY sku_id) USING (sku_id)", "units gmv units_per_active_day gmv_per_active_day inventory_cover_active_days", OL, digits=1)
+def _shown(c: str) -> str:
+    """To one decimal, from six: digits that depend on the order of additions don't decide how a value halfway is rounded."""
+    return f"CAST(round(CAST({c} AS DECIMAL(38, 6)), 1) AS DOUBLE) AS {c}"
+
+
+OPPORTUNITY = ("units", "gmv", "units_per_active_day", "gmv_per_active_day", "inventory_cover_active_days")
+
+
+@query("product_opportunity", f"SELECT * REPLACE ({', '.join(map(_shown, OPPORTUNITY))}) FROM (SELECT sku_id, units, gmv, active_days, units / active_days AS units_per_active_day, gmv / active_days AS gmv_per_active_day, inventory, inventory / (units / active_days) AS inventory_cover_active_days, CASE WHEN units IS NULL OR units <= 0 THEN 'needs_sales' WHEN inventory <= 0 THEN 'out_of_stock' WHEN inventory / (units / active_days) <= 7 THEN 'low_inventory' ELSE 'response_present' END AS opportunity_type FROM (SELECT p_partkey AS sku_id, (p_size * 7) % 50 AS inventory FROM part) FULL JOIN (SELECT sku_id, sum(quantity) AS units, sum(paid_amount) AS gmv, count(DISTINCT day) AS active_days FROM ol WHERE NOT refunded GROUP BY sku_id) USING (sku_id))", " ".join(OPPORTUNITY), OL, digits=1)
 def _(spark, d):
     catalog = B.products(spark, d).select("sku_id", ((F.col("size") * 7) % 50).alias("inventory"))
     sold = lines(spark, d).where("NOT refunded").groupBy("sku_id").agg(F.sum("quantity").alias("units"), F.sum("paid_amount").alias("gmv"), F.countDistinct("day").alias("active_days"))
-    return structure.opportunities(catalog, sold, "sku_id")
+    found = structure.opportunities(catalog, sold, "sku_id")
+    return found.select(*(F.expr(_shown(c)) if c in OPPORTUNITY else F.col(c) for c in found.columns))
 
 
 @query("reshoot_rank", "SELECT k, views AS reads, carts AS collects, CASE WHEN views > 0 THEN carts / views END AS collect_rate, views / (views + 50.0) AS confidence_weight, CASE WHEN views > 0 THEN carts / (views + 50.0) END AS conservative_collect_rate, 1 - views / max(views) OVER () AS read_gap_to_max, CASE WHEN views > 0 THEN carts / (views + 50.0) * (2 - views / max(views) OVER ()) END AS opportunity_score FROM nf ORDER BY opportunity_score DESC NULLS LAST, collects DESC, k LIMIT 10", "collect_rate confidence_weight conservative_collect_rate read_gap_to_max opportunity_score", NF)
