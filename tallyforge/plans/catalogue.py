@@ -317,9 +317,10 @@ def _(spark, d):
     return distribution.pareto_summary(distribution.pareto(perf(spark, d), ["category_l2"], "sku_id", "gmv"), ["category_l2"])
 
 
-@query("global_rank", "SELECT sku_id, gmv, row_number() OVER w AS rank, sum(gmv) OVER (ORDER BY gmv DESC, sku_id ROWS UNBOUNDED PRECEDING) / sum(gmv) OVER () AS cum_share FROM spp WINDOW w AS (ORDER BY gmv DESC, sku_id)", "gmv cum_share", T.with_(T.ORDER_LINES, T.SKU_PERF))
+@query("global_rank", "SELECT sku_id, gmv, row_number() OVER w AS rank, sum(gmv) OVER (ORDER BY gmv DESC, sku_id ROWS UNBOUNDED PRECEDING) / sum(gmv) OVER () AS cum_share FROM (SELECT sku_id, round(gmv, 4) AS gmv FROM spp) WINDOW w AS (ORDER BY gmv DESC, sku_id)", "gmv cum_share", T.with_(T.ORDER_LINES, T.SKU_PERF))
 def _(spark, d):
-    ranked = ranks.global_rank(perf(spark, d).select("sku_id", "gmv"), [F.desc("gmv"), F.asc("sku_id")], "gmv")
+    """Amounts are ranked as shown, to four decimals: what is beyond depends on the order in which a SKU's lines were added, and would decide between equal amounts."""
+    ranked = ranks.global_rank(perf(spark, d).select("sku_id", F.round("gmv", DIGITS).alias("gmv")), [F.desc("gmv"), F.asc("sku_id")], "gmv")
     return ranked.select("sku_id", "gmv", F.col("rank").cast("long").alias("rank"), (F.col("running") / F.col("total")).alias("cum_share"))
 
 
