@@ -52,7 +52,7 @@ def daily(spark: SparkSession, source: Source) -> DataFrame:
 
 @mart
 def sku_days(spark: SparkSession, source: Source) -> DataFrame:
-    return marts.daily_sku_sales(lines(spark, source))
+    return marts.daily_sku_sales(lines(spark, source), B.line_count(spark, source))
 
 
 @mart

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.cleaning import ratio
+from tallyforge.sources.staging import spread
 
 
-def daily_sku_sales(lines: DataFrame) -> DataFrame:
-    """Units, amount and orders of each shop, day and SKU, refunds left out."""
-    return lines.where(~F.coalesce("refunded", F.lit(False))).groupBy("shop_id", "day", "sku_id").agg(F.sum("quantity").alias("units"), F.sum("paid_amount").alias("gmv"), F.countDistinct("order_id").alias("order_count"))
+def daily_sku_sales(lines: DataFrame, rows: int = 0) -> DataFrame:
+    """Units, amount and orders of each shop, day and SKU, refunds left out; an order's lines are added up first, so that orders are counted without a set of them. rows: how many lines, about."""
+    keys = ("shop_id", "day", "sku_id")
+    sold = lines.where(~F.coalesce("refunded", F.lit(False)))
+    by_order = sold.groupBy(*keys, "order_id").agg(F.sum("quantity").alias("units"), F.sum("paid_amount").alias("gmv"))
+    return spread(by_order, rows, *keys).groupBy(*keys).agg(F.sum("units").alias("units"), F.sum("gmv").alias("gmv"), F.count("order_id").alias("order_count"))
 
 
 def shop_daily(lines: DataFrame) -> DataFrame:
@@ -33,10 +37,14 @@ def monthly_overview(daily: DataFrame) -> DataFrame:
 
 
 def sku_performance(lines: DataFrame, products: DataFrame) -> DataFrame:
-    """Each SKU's totals with its product's attributes; aggregated before the join so that nothing fans out."""
+    """Each SKU's totals with its product's attributes; an order's lines are added up first, so that orders are counted without sets, and SKUs before the join, so that nothing fans out."""
     amount, back = F.col("paid_amount"), F.col("refunded")
-    sums = lines.groupBy("sku_id").agg(
-        F.sum(amount).alias("gmv"), F.countDistinct("order_id").alias("paid_orders"), F.sum("quantity").alias("paid_units"), F.countDistinct(F.when(back, F.col("order_id"))).alias("refund_orders"),
+    by_order = lines.groupBy("sku_id", "order_id").agg(
+        F.sum(amount).alias("gmv"), F.sum("quantity").alias("paid_units"), F.bool_or(back).alias("back"),
         F.sum(F.when(back, amount).otherwise(0.0)).alias("refund_amount"), F.sum(F.when(back, 0.0).otherwise(amount)).alias("net_gmv"),
     )
+    sums = by_order.groupBy("sku_id").agg(
+        F.sum("gmv").alias("gmv"), F.count("order_id").alias("paid_orders"), F.sum("paid_units").alias("paid_units"), F.count(F.when(F.col("back"), F.col("order_id"))).alias("refund_orders"),
+        F.sum("refund_amount").alias("refund_amount"), F.sum("net_gmv").alias("net_gmv"),
+    )
     return sums.join(products, "sku_id").withColumn("aov", F.col("gmv") / F.col("paid_orders"))

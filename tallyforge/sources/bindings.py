@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.sources import harmonise as H
+from tallyforge.sources.staging import spread
 from tallyforge.sources.workspace import Source, Workspace, mart
 
 SHOPS = 5
@@ -33,10 +34,18 @@ def table(spark: SparkSession, source: Source, name: str) -> DataFrame:
     return source.table(name) if isinstance(source, Workspace) else spark.read.parquet(f"{source}/{name}.parquet")
 
 
+def line_count(spark: SparkSession, source: Source) -> int:
+    """How many order lines there are; of a table in files, their footers tell."""
+    made = source.marts.get("order_lines") if isinstance(source, Workspace) else None
+    return (table(spark, source, "lineitem") if made is None else made).count()
+
+
 @mart
 def order_lines(spark: SparkSession, source: Source) -> DataFrame:
     """One row for each order line, with its shop, day, product, buyer, amounts and refund flag; a column whose raw columns are absent is left out."""
-    joined = table(spark, source, "lineitem").join(table(spark, source, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = table(spark, source, "lineitem")
+    n = rows.count()
+    joined = spread(rows, n, "l_orderkey").join(spread(table(spark, source, "orders"), n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     have = set(joined.columns)
     return joined.select(*(make().alias(c) for c, (raw, make) in ORDER_LINES.items() if have.issuperset(raw.split())))
 

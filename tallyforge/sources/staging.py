@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table that one task joins or adds up, about.
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, of about so many rows, dealt by keys over as many partitions as keep a task's rows few; as it is where Spark's own number of partitions does."""
+    n = ceil(rows / TASK_ROWS)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df

@@ -66,3 +66,15 @@ def test_ties_and_halves_do_not_depend_on_the_order_of_additions(spark, tmp_path
     if name == "global_rank":
         ranks = {r.sku_id: r["rank"] for r in df.collect()}
         assert all(ranks[s] < ranks[s + 1_000_000] for s in ranks if s + 1_000_000 in ranks)
+
+
+@pytest.mark.parametrize("name", ["daily_sku_sales", "aov_tags"])
+def test_partitions_follow_the_rows(spark, duck, monkeypatch, name):
+    """Order lines are dealt over as many partitions as their number asks for, with the same result."""
+    from tallyforge.sources import staging
+
+    monkeypatch.setattr(staging, "TASK_ROWS", 300)
+    test_same_as_sql(spark, duck, name)
+    plan = ALL[name].run(spark, SF)._jdf.queryExecution().toString()
+    parts = -(-duck.execute("SELECT count(*) FROM lineitem").fetchone()[0] // 300)
+    assert f", {parts}), REPARTITION_BY_NUM" in plan
