@@ -30,7 +30,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the least. Documents without words are one group; rows without an id stay; rows of one id stay or go together."""
+    """One document of each near-duplicate group stays, the least: groups of SimHash fingerprints, to which an exact comparison of shingles adds. Documents without words are one group; rows without an id stay; rows of one id stay or go together."""
     return simhash.keep_one(docs.select(*COLUMNS))
 
 

@@ -191,24 +191,26 @@ def may_be_similar(a: np.ndarray, n: int, b: np.ndarray, m: int, similarity: flo
     return (n + m - int(np.bitwise_count((a ^ b).view(np.uint64)).sum())) * (1 + similarity) >= (n + m) * 2 * similarity - 1e-6
 
 
-def _prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(id, sig: hash of the text's distinct shingles, n: how many, first: their prefix, bits and wide: their sketches)."""
+def _prefixes(texts: DataFrame, k: int, similarity: float, prints: bool) -> DataFrame:
+    """(id, fp: the text's fingerprint, or 0 where prints aren't wanted, sig: hash of the text's distinct shingles, n: how many, first: their prefix, bits and wide: their sketches)."""
     known = texts.sparkSession.sparkContext.broadcast(_common(texts, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, sizes, first, bits, wide = [], [], [], [], []
+            fps, sigs, sizes, first, bits, wide = [], [], [], [], [], []
             for t in b.column(1):
-                h = np.unique(shingle_hashes(t.as_py(), k))
+                words = t.as_py()
+                h = np.unique(shingle_hashes(words, k))
+                fps.append(fingerprint(words) if prints else 0)
                 sigs.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
                 sizes.append(len(h))
                 first.append(prefix(h, similarity, *known.value).view(np.int64))
                 bits.append(sketch(h))
                 wide.append(wide_sketch(h))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, bits, wide)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), *lists], ["id", "sig", "n", "first", "bits", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), *lists], ["id", "fp", "sig", "n", "first", "bits", "wide"])
 
-    return texts.mapInArrow(run, "id long, sig long, n int, first array<long>, bits array<long>, wide array<long>")
+    return texts.mapInArrow(run, "id long, fp long, sig long, n int, first array<long>, bits array<long>, wide array<long>")
 
 
 def _index(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -306,7 +308,15 @@ def _similar(pairs: DataFrame, all_texts: DataFrame, similarity: float, k: int)
     return both.select("u", "v", "a", "b").mapInArrow(close, "u long, v long")
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def _print_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): each node with the least of those that its fingerprints reach, by links of 2 or fewer bits."""
+    prints = stored(rows.select("sig", "fp").distinct().join(nodes.select("sig", "id"), "sig").select("id", "fp"), "near-prints")
+    label = components(near_links(prints.select("fp").distinct()), "near-prints").withColumnsRenamed({"node": "fp", "component": "root"})
+    reached = prints.join(label, "fp", "left").select("id", F.coalesce("root", "fp").alias("root"))
+    return reached.join(reached.groupBy("root").agg(F.min("id").alias("v")), "root").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, key: str = "doc_id", text: str = "text", block: int = BLOCK, prints: bool = False) -> DataFrame:
     """(key, group_id: least key of its near-duplicate group) for each row with a key.
 
     Texts with equal sets of k-word shingles are one node; links are all pairs whose sets have that
@@ -314,18 +324,22 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGL
     First each text is compared with a few others, those nearest by sketch of some that stand for its shingles' texts, which
     joins large groups. Then all pairs that share a shingle and aren't in one group yet are compared, less those whose sketches show that they differ in too many
     shingles (a bound, not an estimate; long texts' sketches have a bit for each shingle). Every link is verified by the texts.
+    prints: before all that, texts are linked by their fingerprints as op 5 does it, and these links stay; the comparisons then add
+    what differs in more bits.
 
     Null texts and texts without words have no shingles and are one group; a text of fewer words than k is one shingle. Texts of any length are
     looked at whole. Repeated rows come out as often as they went in. Rows without a key are left out. An empty table gives
     an empty result. Other columns, whatever their names, aren't looked at.
     """
     texts = _texts(docs.where(F.col(key).isNotNull()), key, text)
-    rows = stored(_prefixes(texts, k, similarity), "near-rows")
+    rows = stored(_prefixes(texts, k, similarity, prints), "near-rows")
     nodes = stored(rows.groupBy("sig").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("first").alias("first"), F.min("bits").alias("bits"), F.min("wide").alias("wide")), "near-nodes")
     index = _index(nodes, similarity)
     sketches = nodes.select("id", *(F.col("bits")[i].alias(c) for i, c in enumerate(_BITS)))
     rows_by_key = stored(index.join(sketches, "id"), "near-index")
     links = stored(_similar(stored(_plausible(_pivot_pairs(rows_by_key, similarity), nodes, similarity), "near-pivots"), texts, similarity, k), "near-links")
+    if prints:
+        links = links.unionByName(stored(_print_links(rows, nodes), "near-print-links"))
     apart = stored(_apart(rows_by_key, components(links, "near-groups")), "near-apart")
     others = stored(_plausible(_other_pairs(apart, similarity, block), nodes, similarity), "near-others")
     label = components(links.unionByName(_similar(others, texts, similarity, k)), "near").withColumnsRenamed({"node": "n", "component": "c"})
@@ -334,10 +348,10 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGL
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs less all but the least-keyed document of each near-duplicate group.
+    """docs less all but the least-keyed document of each near-duplicate group, linked by fingerprints, then by texts.
 
     Rows without a key stay, and so do all rows of a document that stays; of documents without words one stays. All columns pass through.
     """
     mark = "_" + max(docs.columns, key=len)  # no column of docs has so long a name
-    kept = near_groups(docs, key=key, text=text).where(F.col(key) == F.col("group_id")).select(F.col(key).alias(mark)).distinct()
+    kept = near_groups(docs, key=key, text=text, prints=True).where(F.col(key) == F.col("group_id")).select(F.col(key).alias(mark)).distinct()
     return docs.join(kept, F.col(key).cast("long") == F.col(mark), "left").where(F.col(mark).isNotNull() | F.col(key).isNull()).drop(mark)

@@ -130,3 +130,16 @@ def test_odd_rows_of_near_groups(spark):
     kept = simhash.keep_one(docs).collect()
     assert sorted((r.doc_id or 0, r.sig, r.group_id, r._kept) for r in kept) == [(i, "kept", 0, "x") for i in (0, 1, 4, 6, 7, 9)]
     assert simhash.near_groups(docs.limit(0)).count() == 0
+
+
+def test_kept_rows_follow_fingerprints(spark):
+    """Texts whose fingerprints are linked are one group, though their shingles are too few alike for the comparison by texts."""
+    rows = [(1, "a b c d e f"), (2, "f e d c b a"), (3, "one two three four five six seven")]
+    base = " ".join(f"w{i}" for i in range(40))
+    near = [(10 + i, " ".join(f"x{i}" if j == 20 else w for j, w in enumerate(base.split()))) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (4, base), *near], "doc_id long, text string")
+    fps = {i: simhash.fingerprint(t) & (1 << 64) - 1 for i, t in [*rows, (4, base), *near]}
+    linked = {i for i, _ in near if (fps[i] ^ fps[4]).bit_count() <= 2}
+    assert linked and all(simhash.jaccard(base, dict(near)[i]) < simhash.SIMILARITY for i in linked)
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert 4 in kept and not kept & linked and {1, 2, 3} <= kept
