@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Marks dropped from numbers, and what stands for a missing value.
-NUMBER_MARKS = "[,，¥￥$% \\t]"
+NUMBER_MARKS = ",，¥￥$% \t"
 MISSING = ("", "-", "--", "—", "N/A", "n/a", "nan", "None", "null")
 DAY_PARTS = ((5, 11, "morning"), (11, 14, "noon"), (14, 18, "afternoon"), (18, 22, "evening"))
 
@@ -18,8 +18,8 @@ def is_finite(c: Column) -> Column:
 def to_finite(c: Column) -> Column:
     """A number from text such as '1,234' or '12%' (percent signs don't rescale)."""
     text = F.trim(c.cast("string"))
-    number = F.regexp_replace(text, NUMBER_MARKS, "").try_cast("double")
-    return F.when(~text.isin(*MISSING) & is_finite(number), number)
+    number = F.translate(text, NUMBER_MARKS, "").try_cast("double")
+    return F.when(~text.isin(*MISSING) & (F.abs(number) < float("inf")), number)  # NaN is above all numbers
 
 
 def bounded_rate(c: Column) -> Column:
@@ -60,7 +60,7 @@ def optional_text(c: Column) -> Column:
 def parse_quantity(c: Column) -> Column:
     """A whole number, written with or without grouping commas or a fraction of zeros."""
     number = to_finite(c)
-    return F.when(number == F.floor(number), number.try_cast("long"))
+    return F.when(number % 1 == 0, number.try_cast("long"))
 
 
 #: A date with or without a time and a zone, and a spreadsheet's day number with or without a part of a day.

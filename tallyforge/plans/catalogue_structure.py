@@ -53,8 +53,7 @@ def _(spark, d):
         F.col("l_orderkey").cast("string").alias("order_id"), F.concat(F.lit(" "), F.col("l_partkey").cast("string")).alias("sku_id"), F.when(F.col("l_orderkey") % 10 == 0, F.lit("1.5")).otherwise(F.col("l_quantity").cast("string")).alias("quantity"),
         F.when(F.col("l_orderkey") % 17 == 0, F.lit("—")).otherwise(F.concat(F.lit("¥"), F.format_number("l_extendedprice", 2))).alias("paid_amount"),
     )
-    good, bad = H.validate_orders(raw)
-    return good.select(F.lit("good").alias("outcome")).unionByName(bad.select(F.col("invalid_reason").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("rows"))
+    return H.mark_orders(raw).groupBy(F.coalesce("invalid_reason", F.lit("good")).alias("outcome")).agg(F.count("*").alias("rows"))
 
 
 @query(

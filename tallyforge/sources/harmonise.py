@@ -91,25 +91,34 @@ def fuzzy_suggestions(mapped: DataFrame, spark: SparkSession, least: float = 0.8
     return near.withColumn("score", score).where(F.col("score") >= least).select("file", "table_name", "column", F.col("name").alias("suggested"), "score")
 
 
-def validate_orders(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Order lines as (good, bad): ids are required, quantity is whole and positive, amount finite and not negative.
+def _order_values() -> tuple[Column, Column]:
+    return parse_quantity(F.col("quantity")), to_finite(F.col("paid_amount"))
+
+
+def mark_orders(raw: DataFrame) -> DataFrame:
+    """Order lines with an invalid_reason, null where there is none: ids are required, quantity is whole and positive, amount finite and not negative.
 
     paid_time, where the table has it, may be missing, but what is there must be a date and time.
     """
-    text = lambda c: optional_text(F.col(c))
-    quantity, amount = parse_quantity(F.col("quantity")), to_finite(F.col("paid_amount"))
+    quantity, amount = _order_values()
     reason = (
-        F.when(text("order_id").isNull(), "order_id: missing").when(text("sku_id").isNull(), "sku_id: missing")
-        .when(quantity.isNull() | (quantity <= 0), "quantity: not a whole positive number").when(amount.isNull() | (amount < 0), "paid_amount: not a finite amount of 0 or more")
+        F.when(is_missing(F.col("order_id")), "order_id: missing").when(is_missing(F.col("sku_id")), "sku_id: missing")
+        .when(F.coalesce(quantity, F.lit(0)) <= 0, "quantity: not a whole positive number").when(F.coalesce(amount, F.lit(-1.0)) < 0, "paid_amount: not a finite amount of 0 or more")
     )
     if "paid_time" in raw.columns:
         unread = ~is_missing(F.col("paid_time")) & parse_timestamp(F.col("paid_time")).isNull()
         reason = F.coalesce(reason, F.when(unread, "paid_time: not a date and time"))
+    return raw.withColumn("invalid_reason", reason)
+
+
+def validate_orders(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Order lines as (good, bad), by mark_orders; strict: the first bad one raises an error."""
+    marked = mark_orders(raw)
     if strict:
-        reason = F.when(reason.isNotNull(), F.raise_error(reason)).otherwise(reason)
-    marked = raw.withColumn("invalid_reason", reason)
-    good = marked.where("invalid_reason IS NULL").withColumns({"order_id": text("order_id"), "sku_id": text("sku_id"), "quantity": quantity.try_cast("int"), "paid_amount": amount}).drop("invalid_reason")
-    return good, marked.where("invalid_reason IS NOT NULL")
+        marked = marked.withColumn("invalid_reason", F.when(F.col("invalid_reason").isNotNull(), F.raise_error(F.col("invalid_reason"))).otherwise(F.col("invalid_reason")))
+    quantity, amount = _order_values()
+    values = {"order_id": optional_text(F.col("order_id")), "sku_id": optional_text(F.col("sku_id")), "quantity": quantity.try_cast("int"), "paid_amount": amount}
+    return marked.where("invalid_reason IS NULL").withColumns(values).drop("invalid_reason"), marked.where("invalid_reason IS NOT NULL")
 
 
 def tagged(frames: list[DataFrame]) -> DataFrame:

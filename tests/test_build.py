@@ -111,3 +111,14 @@ def test_conflicts_broadcast_no_table(spark):
     found = H.merge_conflicts(rows, ["sku_id"])
     assert [(r.sku_id, r.value_a, r.value_b) for r in found.collect()] == [("a", "1.0", "2.0")]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_order_cells_are_parsed_a_few_times(spark):
+    """A row's reason parses each cell without regular expressions, however often its number is looked at."""
+    raw = spark.createDataFrame([("1", "s", "1,200", "¥3"), ("2", "s", "1.5", "3"), ("3", "s", "2", "—"), ("4", "s", "nan", "1"), ("5", "s", "-1", "1"), (" ", "s", "1", "1")], "order_id string, sku_id string, quantity string, paid_amount string")
+    marked = H.mark_orders(raw)
+    assert [(r.invalid_reason or "good").split(":")[0] for r in marked.orderBy("paid_amount", "order_id").collect()].count("good") == 1
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("translate(") <= 8
+    good, bad = H.validate_orders(raw)
+    assert [(r.order_id, r.quantity, r.paid_amount) for r in good.collect()] == [("1", 1200, 3.0)] and bad.count() == 5
