@@ -35,7 +35,7 @@ TIERS, CUT, SLACK, END, STEP = (256, 512, 1024, 2048), 64, 8, 1, 8
 WINDOW = TIERS[-1]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 #: Words kept in each of a worker's two generations of cached ids, and the longest word kept.
-CACHED, LONGEST = 700_000, 48
+CACHED, LONGEST = 350_000, 48
 
 
 #: Texts that a tokenizer must encode word by word as it does whole; one that doesn't is asked for whole texts.
