@@ -70,3 +70,15 @@ def test_a_tokenizer_that_joins_words_is_asked_for_whole_texts(tmp_path):
     own = packing.WordTokens(f"{tmp_path}/t.json")
     assert not own.by_word and own.ids("a bb") == array("I", [5, 3]).tobytes()
     assert packing.WordTokens(packing.vocabulary()).by_word
+
+
+def test_plain_words_are_asked_of_the_model_alone():
+    """Only words of contractions, special tokens and other scripts go through the tokenizer's rules."""
+    own = packing.WordTokens(packing.vocabulary())
+    text = "Größe RUN!! ###stop ciónà(x) a_b 3.5% “quoted” she's <|endoftext|> ª2 漢字 éx"
+    asked, whole = [], own.encode
+    own.encode = lambda words, **kw: asked.extend(words) or whole(words, **kw)
+    got = own.ids(text)
+    own.encode = whole
+    assert got == own._whole(text)
+    assert {"Größe", "RUN!!", "###stop", "ciónà(x)", "a_b", "3.5%"}.isdisjoint(asked) and {"she's", "<|endoftext|>", "漢字"} <= set(asked)
