@@ -30,14 +30,17 @@ def current(spark: SparkSession, folder: str) -> dict | None:
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], folder: str, run: str, formats: tuple[str, ...] = FORMATS) -> None:
-    """Writes each table in each format under the run, then the pointer. One run is published at a time."""
+    """Writes each table in each format under the run, then the pointer. One run is published at a time. A table is computed once: further formats are written from the first one's files."""
     before = current(spark, folder)
     known = _pointers(spark, folder)
     if known is not None and not known.where(F.col("run") == run).isEmpty():
         return
     for name, df in tables.items():
+        rows = df
         for kind in formats:
-            df.write.mode("overwrite").format(kind).save(f"{folder}/runs/{run}/{name}.{kind}")
+            path = f"{folder}/runs/{run}/{name}.{kind}"
+            rows.write.mode("overwrite").format(kind).save(path)
+            rows = rows if kind != formats[0] else spark.read.schema(df.schema).format(kind).load(path)
     number = before["number"] + 1 if before else 0
     pointer = spark.createDataFrame([(number, run, {name: formats[0] for name in tables})], POINTER)
     pointer.coalesce(1).write.parquet(f"{folder}/pointers/{number}")

@@ -116,3 +116,18 @@ def test_published_together(spark, tmp_path):
     assert seen("x") == [(3, "a")]
     with pytest.raises(LookupError):
         publish.published(spark, folder, "y")
+
+
+def test_a_published_table_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.range(5).selectExpr("id", "IF(id > 2, NULL, CAST(id AS STRING)) AS s").mapInPandas(count, "id long, s string")
+    publish.publish(spark, {"x": df}, str(tmp_path), "one")
+    assert seen.value == 5
+    for kind in publish.FORMATS:
+        assert {tuple(r) for r in spark.read.schema("id long, s string").format(kind).load(f"{tmp_path}/runs/one/x.{kind}").collect()} == {(i, None if i > 2 else str(i)) for i in range(5)}
