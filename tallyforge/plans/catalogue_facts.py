@@ -193,11 +193,11 @@ def _(spark, d):
     T.with_(T.ORDER_LINES, T.DAILY_SKU, "daily_all AS (SELECT day FROM ol WHERE NOT refunded)"),
 )
 def _(spark, d):
-    """Order lines by year of payment, three days of lateness."""
+    """Order lines in order of their days, in slices of a year or less; three days of lateness."""
     sold = lines(spark, d).where("NOT refunded").select(
         "shop_id", "day", "sku_id", "order_id", F.col("quantity").alias("units"), F.col("paid_amount").alias("gmv")
     )
-    folder = stream.run_available(stream.replayed(sold, F.year("day"), "sales"), "sales", "append", sales.sales_epoch(3))
+    folder = stream.run_available(stream.replayed(sold, "day", "sales"), "sales", "append", sales.sales_epoch(3))
     return sales.sku_days(spark, folder)
 
 
@@ -216,10 +216,10 @@ FAR = "2999-01-01"
 def _(spark, d):
     """The last row of the replay is far ahead, so that all windows before it close."""
     kept = lines(spark, d).select("shop_id", "order_id", "line", "sku_id", F.col("day").cast("timestamp").alias("ts"), F.col("quantity").alias("units"), "refunded", "priority")
-    far = kept.limit(1).select(
+    far = lambda rows: rows.limit(1).select(
         F.lit(-1).cast("long").alias("shop_id"), "order_id", "line", "sku_id", F.lit(FAR).cast("timestamp").alias("ts"), "units", F.lit(False).alias("refunded"), F.lit("1-URGENT").alias("priority")
     )
-    rows = stream.replayed(kept, F.year("ts"), "responses", last=far)
+    rows = stream.replayed(kept, "ts", "responses", last=far)
     anchors = rows.where("priority = '1-URGENT'").select("shop_id", "sku_id", F.concat_ws("-", "order_id", "line").alias("note_id"), F.col("ts").alias("publish_ts"))
     sold = rows.where("NOT refunded").select("shop_id", "sku_id", F.col("ts").alias("sale_ts"), "units")
     found = responses.response_windows(anchors, sold, ["shop_id", "sku_id"], "3 days", salts=2)

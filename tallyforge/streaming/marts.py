@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -51,12 +52,44 @@ def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_epoch")))).where("_r = 1").drop("_r", "_epoch", "epoch")
 
 
-
-def replayed(rows: DataFrame, by: Column, name: str, files: int = 4, last: DataFrame | None = None) -> DataFrame:
-    """A stream over rows that were written to files in turn, by the few values of a column in their order; last: rows that come after all others."""
-    spark, folder = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/replay-{name}-{uuid.uuid4().hex}"
-    for (value,) in rows.select(by).distinct().orderBy(by).collect():
-        rows.where(by.eqNullSafe(F.lit(value))).coalesce(files).write.mode("append").parquet(folder)
+#: Rows of a replay's slice, about, where a day has no more.
+SLICE = 2_000_000
+
+
+def slices(days: list[tuple[int | None, date | None, int]], most: int = SLICE) -> list[tuple]:
+    """(year, first day, last day) of each slice, from (year, day, rows) in order: whole years, cut between days where they have more rows."""
+    out, held = [], 0
+    for year, day, n in days:
+        if out and out[-1][0] == year and held + n <= most:
+            out[-1] = (year, out[-1][1], day)
+            held += n
+        else:
+            out.append((year, day, day))
+            held = n
+    return out
+
+
+def replayed(rows: DataFrame, at: str, name: str, files: int = 4, last: Callable[[DataFrame], DataFrame] | None = None, most: int = SLICE) -> DataFrame:
+    """A stream over rows in order of the day in column at, an epoch for each slice of days; last: from rows some that come after all others.
+
+    rows are computed once and kept by year; a slice reads its year. So an epoch's rows, and what a stream keeps of them, don't grow with the table. Each slice is as many
+    files as an epoch takes, some of them empty where it has few rows, so that no epoch mixes slices.
+    """
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/replay-{name}-{uuid.uuid4().hex}"
+    rows.withColumn("_year", F.year(at)).write.partitionBy("_year").parquet(f"{folder}/rows")
+    kept, to = spark.read.schema(f"{rows.schema.toDDL()}, _year int").parquet(f"{folder}/rows"), f"{folder}/slices"
+    empty, day = spark.createDataFrame([], rows.schema).coalesce(1), F.col(at).cast("date")
+    counts = kept.groupBy("_year", day.alias("d")).agg(F.count("*").alias("n")).orderBy("_year", "d").collect()  # a row for each day
+    written = 0
+    for year, low, high in slices([tuple(r) for r in counts], most):
+        within = F.lit(True) if low is None else day.between(F.lit(low), F.lit(high))
+        kept.where(F.col("_year").eqNullSafe(F.lit(year)) & within).drop("_year").coalesce(files).write.mode("append").parquet(to)
+        written += files
+        for _ in range(written - len(spark.read.schema(rows.schema).parquet(to).inputFiles())):
+            empty.write.mode("append").parquet(to)
+    if not counts:
+        empty.write.parquet(to)
     if last is not None:
-        last.select(*rows.columns).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+        last(kept.drop("_year")).select(*rows.columns).write.mode("append").parquet(to)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(to)

@@ -147,3 +147,31 @@ def test_response_windows(spark, tmp_path, salts=2):
     assert got == want and got["alone"] == (0.0, 0.0, 0.0, 0.0, 0)
     state = progress[-1]["stateOperators"]
     assert sum(s["numRowsTotal"] for s in state) <= 2 + salts and sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"]) == 0
+
+
+def test_slices_of_days():
+    d = lambda n: date(2024, 1, n)
+    days = [(None, None, 9), (2023, date(2023, 12, 31), 4), (2024, d(1), 3), (2024, d(2), 3), (2024, d(5), 5), (2024, d(6), 20), (2024, d(7), 1)]
+    assert marts.slices(days, 10) == [(None, None, None), (2023, date(2023, 12, 31), date(2023, 12, 31)), (2024, d(1), d(2)), (2024, d(5), d(5)), (2024, d(6), d(6)), (2024, d(7), d(7))]
+    assert marts.slices(days)[2:] == [(2024, d(1), d(7))] and marts.slices([]) == []
+
+
+@pytest.mark.parametrize("most", [30, 10**6])
+def test_replay_computes_rows_once_in_epochs_of_slices(spark, most):
+    seen, epochs = spark.sparkContext.accumulator(0), []
+    rows = [(i, date(2023, 12, 20) + timedelta(days=i % 40)) for i in range(200)] + [(200, None)]
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(rows, "id long, day date").mapInPandas(count, "id long, day date")
+    stream = marts.replayed(df, "day", "test", last=lambda x: x.limit(1).select(F.lit(-1).cast("long").alias("id"), F.lit("2999-01-01").cast("date").alias("day")))
+    stream = marts.replayed(df, "day", "test", most=most) if most < 100 else stream
+    marts.run_available(stream, "test", "append", lambda b, e, f: epochs.append([tuple(r) for r in b.collect()]))
+    got = [r for e in epochs for r in e]
+    assert sorted(r[0] for r in got if r[0] >= 0) == list(range(201)) and seen.value == 201 * (2 if most < 100 else 1)
+    assert [e for e in epochs if (200, None) in e] == [[(200, None)]] and ((-1, date(2999, 1, 1)) in epochs[-1]) == (most > 100)
+    dated = [e for e in epochs if (200, None) not in e]
+    assert len(dated) == (3 if most > 100 else 7) and all(max(d for _, d in a) < min(d for _, d in b) for a, b in zip(dated, dated[1:], strict=False))
