@@ -1,7 +1,7 @@
 """Units, amount and distinct orders of each day, shop and SKU from a stream of order lines that may come late.
 
 An epoch adds its rows to the orders of days that are still open, so that lines of an order that come in different epochs count as one order.
-The watermark is the latest day seen before the epoch, less ``late`` days. Days before it are closed once: their
+Only orders of open days are written; those of days that close with the epoch go into the days' totals at once. The watermark is the latest day seen before the epoch, less ``late`` days. Days before it are closed once: their
 totals are appended and their orders dropped, so that what is kept is bounded by the lateness, not by the stream. Rows of closed days,
 and rows without a day, go to a table of their own. An epoch's commit comes last; running it again changes nothing.
 """
@@ -21,8 +21,9 @@ ORDER = "shop_id long, day date, sku_id long, order_id long, units double, gmv d
 
 
 def _by_order(rows: DataFrame) -> DataFrame:
-    sums = rows.groupBy(*KEYS, "order_id").agg(F.sum("units").alias("units"), F.sum("gmv").alias("gmv"))
-    return sums.select(*(F.col(f.split()[0]).cast(f.split()[1]) for f in ORDER.split(", ")))
+    """Rows are dealt by KEYS alone, so that the days' totals need no further shuffle."""
+    sums = rows.select(*(F.col(f.split()[0]).cast(f.split()[1]) for f in ORDER.split(", "))).repartition(*KEYS).groupBy(*KEYS, "order_id").agg(F.sum("units").alias("units"), F.sum("gmv").alias("gmv"))
+    return sums.select(*(f.split()[0] for f in ORDER.split(", ")))
 
 
 def _by_day(orders: DataFrame) -> DataFrame:
@@ -39,20 +40,20 @@ def sales_epoch(late: int) -> Callable[[DataFrame, int, str], None]:
         known = last_commit(spark, folder, epoch)
         told = known.told if known else {}
         closed = date.fromisoformat(told["closed"]) if told.get("closed") else None
-        batch = batch.persist()
         fits = F.col("day").isNotNull() if closed is None else F.coalesce(F.col("day") >= F.lit(closed), F.lit(False))
         batch.where(~fits).write.mode("overwrite").parquet(f"{folder}/late/epoch={epoch}")
-        fresh = _by_order(batch.where(fits))
         latest = batch.agg(F.max("day")).first()[0]
+        rows = batch.where(fits).select(*(f.split()[0] for f in ORDER.split(", ")))
         if latest is not None:
             reached = latest - timedelta(days=late)
             closed = max(closed, reached) if closed else reached
-        orders = fresh.unionByName(spark.read.schema(ORDER).parquet(f"{folder}/orders/{known.epoch}/closed=false")) if known and told["open"] == "yes" else fresh
-        _by_order(orders).withColumn("closed", F.col("day") < F.lit(closed)).write.mode("overwrite").partitionBy("closed").parquet(f"{folder}/orders/{epoch}")
-        batch.unpersist()
-        now = spark.read.schema(f"{ORDER}, closed boolean").parquet(f"{folder}/orders/{epoch}")
-        _by_day(now.where("closed")).write.mode("overwrite").parquet(f"{folder}/days/epoch={epoch}")
-        still = "no" if now.where("NOT closed").isEmpty() else "yes"
+        if known and told["open"] == "yes":
+            rows = rows.unionByName(spark.read.schema(ORDER).parquet(f"{folder}/orders/{known.epoch}/closed=false"))
+        ends = F.lit(False) if closed is None else F.col("day") < F.lit(closed)
+        _by_day(_by_order(rows.where(ends))).write.mode("overwrite").parquet(f"{folder}/days/epoch={epoch}")
+        path = f"{folder}/orders/{epoch}/closed=false"
+        _by_order(rows.where(~ends)).write.mode("overwrite").parquet(path)
+        still = "no" if spark.read.schema(ORDER).parquet(path).isEmpty() else "yes"
         commit(spark, folder, epoch, [], {"closed": closed.isoformat() if closed else "", "open": still})
 
     return each

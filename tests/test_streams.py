@@ -175,3 +175,11 @@ def test_replay_computes_rows_once_in_epochs_of_slices(spark, most):
     assert [e for e in epochs if (200, None) in e] == [[(200, None)]] and ((-1, date(2999, 1, 1)) in epochs[-1]) == (most > 100)
     dated = [e for e in epochs if (200, None) not in e]
     assert len(dated) == (3 if most > 100 else 7) and all(max(d for _, d in a) < min(d for _, d in b) for a, b in zip(dated, dated[1:], strict=False))
+
+
+def test_closed_days_orders_are_not_written(spark, tmp_path):
+    rows = order_lines()
+    sales.sales_epoch(2)(spark.createDataFrame(rows, LINE), 0, str(tmp_path))
+    left = max(r[1] for r in rows) - timedelta(days=2)
+    assert {p.name for p in (tmp_path / "orders/0").iterdir()} == {"closed=false"}
+    assert spark.read.parquet(f"{tmp_path}/orders/0").agg(F.min("day")).first()[0] == left and found_days(spark, str(tmp_path)) == by_day(rows)
