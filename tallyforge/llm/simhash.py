@@ -309,11 +309,13 @@ def _similar(pairs: DataFrame, all_texts: DataFrame, similarity: float, k: int)
 
 
 def _print_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v): each node with the least of those that its fingerprints reach, by links of 2 or fewer bits."""
+    """(u, v): links of the nodes that span what their fingerprints reach by links of 2 or fewer bits: each with the least of its fingerprint, and the least of two near fingerprints."""
     prints = stored(rows.select("sig", "fp").distinct().join(nodes.select("sig", "id"), "sig").select("id", "fp"), "near-prints")
-    label = components(near_links(prints.select("fp").distinct()), "near-prints").withColumnsRenamed({"node": "fp", "component": "root"})
-    reached = prints.join(label, "fp", "left").select("id", F.coalesce("root", "fp").alias("root"))
-    return reached.join(reached.groupBy("root").agg(F.min("id").alias("v")), "root").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+    least = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "near-least")
+    same = prints.join(least, "fp").where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    ends = (least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in ("u", "v"))
+    near = near_links(least.select("fp")).join(next(ends), "u").join(next(ends), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    return same.unionByName(near)
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, key: str = "doc_id", text: str = "text", block: int = BLOCK, prints: bool = False) -> DataFrame:

@@ -143,3 +143,14 @@ def test_kept_rows_follow_fingerprints(spark):
     assert linked and all(simhash.jaccard(base, dict(near)[i]) < simhash.SIMILARITY for i in linked)
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert 4 in kept and not kept & linked and {1, 2, 3} <= kept
+
+
+def test_finished_components_take_no_step(spark, monkeypatch):
+    from tallyforge.llm import components as c
+
+    names, stored = [], c.stored
+    monkeypatch.setattr(c, "stored", lambda df, name: names.append(name) or stored(df, name))
+    star = spark.createDataFrame([(2, 1), (1, 3), (7, 5), (None, 4), (6, 6)], "u long, v long")
+    assert {tuple(r) for r in c.components(star, "x").collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (7, 5)} and names == ["x-links"]
+    chain = spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")
+    assert {tuple(r) for r in c.components(chain, "y").collect()} == {(1, 1), (2, 1), (3, 1)} and names[1:] == ["y-links", "y-step"]
