@@ -202,6 +202,8 @@ def _(spark, d):
 
 
 FAR = "2999-01-01"
+#: Rows of a slice of stream_response_windows, about; its epochs hold them on disk, not in state stores.
+RESPONSE_SLICE = 10_000_000
 
 
 @query(
@@ -214,18 +216,13 @@ FAR = "2999-01-01"
     T.with_(T.ORDER_LINES, T.DAILY_SKU, "anchors AS (SELECT shop_id, order_id || '-' || line AS note_id, sku_id, day AS publish_day FROM ol WHERE priority = '1-URGENT')"),
 )
 def _(spark, d):
-    """The last row of the replay is far ahead, so that all windows before it close."""
-    kept = lines(spark, d).select("shop_id", "order_id", "line", "sku_id", F.col("day").cast("timestamp").alias("ts"), F.col("quantity").alias("units"), "refunded", "priority")
-    far = lambda rows: rows.limit(1).select(
-        F.lit(-1).cast("long").alias("shop_id"), "order_id", "line", "sku_id", F.lit(FAR).cast("timestamp").alias("ts"), "units", F.lit(False).alias("refunded"), F.lit("1-URGENT").alias("priority")
-    )
-    rows = stream.replayed(kept, "ts", "responses", last=far)
-    anchors = rows.where("priority = '1-URGENT'").select("shop_id", "sku_id", F.concat_ws("-", "order_id", "line").alias("note_id"), F.col("ts").alias("publish_ts"))
-    sold = rows.where("NOT refunded").select("shop_id", "sku_id", F.col("ts").alias("sale_ts"), "units")
-    found = responses.response_windows(anchors, sold, ["shop_id", "sku_id"], "3 days", salts=2)
-    folder = stream.run_available(found, "responses", "append", stream.append_epoch)
-    out = spark.read.parquet(f"{folder}/rows/epoch=*").withColumn("publish_day", F.col("publish_ts").cast("date"))
-    return out.select("shop_id", "note_id", "sku_id", "publish_day", *(f"{w}_units" for w in responses.WINDOWS), "matched_sales_days")
+    """Order lines in order of their days, in slices of a year or less. The last row of the replay is far ahead, so that all windows before it close."""
+    note = F.when(F.col("priority") == "1-URGENT", F.concat_ws("-", "order_id", "line"))
+    kept = lines(spark, d).select("shop_id", "sku_id", note.alias("note_id"), "day", F.col("quantity").alias("units"), F.coalesce(~F.col("refunded"), F.lit(False)).alias("sold")).where("note_id IS NOT NULL OR sold")
+    far = lambda rows: rows.limit(1).withColumns({"shop_id": F.lit(-1).cast("long"), "day": F.lit(FAR).cast("date")})
+    rows = stream.replayed(kept, "day", "responses", last=far, most=RESPONSE_SLICE)
+    folder = stream.run_available(rows, "responses", "append", responses.responses_epoch(["shop_id", "sku_id"], 3))
+    return responses.sent(spark, folder).select("shop_id", "note_id", "sku_id", F.col("day").alias("publish_day"), *(f"{w}_units" for w in responses.WINDOWS), "matched_sales_days")
 
 
 @query("stream_response", "SELECT p.event_id, c.event_id AS click_id FROM ev p JOIN ev c ON p.user_id = c.user_id AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL 1 HOUR WHERE p.event_type = 'purchase' AND c.event_type = 'click'", "", EV)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.sources.staging import shared_dir
+from tallyforge.sources.staging import TASK_ROWS, shared_dir
 
 LATE = "2 days"
 
@@ -69,27 +70,27 @@ def slices(days: list[tuple[int | None, date | None, int]], most: int = SLICE) -
     return out
 
 
-def replayed(rows: DataFrame, at: str, name: str, files: int = 4, last: Callable[[DataFrame], DataFrame] | None = None, most: int = SLICE) -> DataFrame:
+def replayed(rows: DataFrame, at: str, name: str, last: Callable[[DataFrame], DataFrame] | None = None, most: int = SLICE) -> DataFrame:
     """A stream over rows in order of the day in column at, an epoch for each slice of days; last: from rows some that come after all others.
 
-    rows are computed once and kept by year; a slice reads its year. So an epoch's rows, and what a stream keeps of them, don't grow with the table. Each slice is as many
-    files as an epoch takes, some of them empty where it has few rows, so that no epoch mixes slices.
+    rows are computed once and kept in files that are sorted by at, so that a slice reads little else. So an epoch's rows, and what a stream keeps of them, don't grow with
+    the table. Each slice is as many files as an epoch takes, some of them empty where it has few rows, so that no epoch mixes slices.
     """
     spark = rows.sparkSession
     folder = f"{shared_dir(spark)}/replay-{name}-{uuid.uuid4().hex}"
-    rows.withColumn("_year", F.year(at)).write.partitionBy("_year").parquet(f"{folder}/rows")
-    kept, to = spark.read.schema(f"{rows.schema.toDDL()}, _year int").parquet(f"{folder}/rows"), f"{folder}/slices"
-    empty, day = spark.createDataFrame([], rows.schema).coalesce(1), F.col(at).cast("date")
-    counts = kept.groupBy("_year", day.alias("d")).agg(F.count("*").alias("n")).orderBy("_year", "d").collect()  # a row for each day
-    written = 0
-    for year, low, high in slices([tuple(r) for r in counts], most):
-        within = F.lit(True) if low is None else day.between(F.lit(low), F.lit(high))
-        kept.where(F.col("_year").eqNullSafe(F.lit(year)) & within).drop("_year").coalesce(files).write.mode("append").parquet(to)
-        written += files
-        for _ in range(written - len(spark.read.schema(rows.schema).parquet(to).inputFiles())):
+    rows.sortWithinPartitions(at).write.parquet(f"{folder}/rows")
+    kept, empty, day = spark.read.schema(rows.schema).parquet(f"{folder}/rows"), spark.createDataFrame([], rows.schema).coalesce(1), F.col(at).cast("date")
+    counts = [tuple(r) for r in kept.groupBy(F.year(day).alias("y"), day.alias("d")).agg(F.count("*").alias("n")).orderBy("y", "d").collect()]  # a row for each day
+    files = max(1, min(spark.sparkContext.defaultParallelism, ceil(min(most, sum(n for _, _, n in counts)) / TASK_ROWS)))
+    for i, (_, low, high) in enumerate(slices(counts, most)):
+        # Bounds of at itself, not of its day, so that the files' statistics apply.
+        within = F.col(at).isNull() if low is None else (F.col(at) >= F.lit(low)) & (F.col(at) < F.lit(high + timedelta(days=1)))
+        to = f"{folder}/slices/{i:06d}"
+        kept.where(within).coalesce(files).write.parquet(to)
+        for _ in range(files - len(spark.read.schema(rows.schema).parquet(to).inputFiles())):
             empty.write.mode("append").parquet(to)
     if not counts:
-        empty.write.parquet(to)
+        empty.write.parquet(f"{folder}/slices/{0:06d}")
     if last is not None:
-        last(kept.drop("_year")).select(*rows.columns).write.mode("append").parquet(to)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(to)
+        last(kept).select(*rows.columns).write.parquet(f"{folder}/slices/last")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/slices/*")

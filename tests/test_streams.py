@@ -2,6 +2,7 @@
 
 import random
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +184,108 @@ def test_closed_days_orders_are_not_written(spark, tmp_path):
     left = max(r[1] for r in rows) - timedelta(days=2)
     assert {p.name for p in (tmp_path / "orders/0").iterdir()} == {"closed=false"}
     assert spark.read.parquet(f"{tmp_path}/orders/0").agg(F.min("day")).first()[0] == left and found_days(spark, str(tmp_path)) == by_day(rows)
+
+
+ANCHORED = "sku long, note_id string, day date, units double, sold boolean"
+
+
+def anchored(n=300, seed=6):
+    """Anchors, sales, rows that are both; null keys and units, and anchors that come twice."""
+    r, begin = random.Random(seed), date(2024, 1, 1)
+    rows = [(r.choice([1, 1, 2, 3, None]), r.choice([None, f"n{i}"]), begin + timedelta(days=r.randint(0, 60)), r.choice([None, 1.0, 2.0, 5.0]), r.random() < 0.7) for i in range(n)]
+    return rows + [rows[i] for i in range(0, n, 9)] + [(9, "alone", begin, 4.0, False)]
+
+
+def sums_by_day(rows):
+    """Each anchor's sums, by hand; a row that comes twice is two anchors of one name."""
+    out = {}
+    for sku, note, day, _, _ in rows:
+        if note is not None:
+            near = [((d - day).days, u) for s, _, d, u, sold in rows if sold and s is not None and s == sku and 0 <= (d - day).days < responses.LAST]
+            x = out.setdefault((sku, note, day), [0.0, 0.0, 0.0, 0.0, len({g for g, _ in near})])
+            for i, (low, high) in enumerate(responses.WINDOWS.values()):
+                x[i] += sum(u or 0.0 for g, u in near if low <= g < high)
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def sent(spark, folder):
+    got = [((x.sku, x.note_id, x.day), (x.d0_1_units, x.d1_3_units, x.d4_7_units, x.d8_14_units, x.matched_sales_days)) for x in responses.sent(spark, folder).collect()]
+    assert len(got) == len(dict(got))
+    return dict(got)
+
+
+FAR = (-1, "far", date(2999, 1, 1), 1.0, True)
+
+
+@pytest.mark.parametrize("task_rows", [50, 500_000])
+def test_responses_by_epochs_in_any_order(spark, tmp_path, monkeypatch, task_rows):
+    monkeypatch.setattr("tallyforge.sources.staging.TASK_ROWS", task_rows)
+    monkeypatch.setattr(responses, "TASK_ROWS", task_rows)
+    rows = anchored()
+    random.Random(1).shuffle(rows)
+    stream = folder_stream(spark, [rows[i::3] for i in range(3)] + [[FAR]], ANCHORED, f"{tmp_path}/s")
+    folder = marts.run_available(stream, "responses", "append", responses.responses_epoch(["sku"], 90))
+    assert sent(spark, folder) == sums_by_day(rows)
+    assert [tuple(r)[:5] for r in spark.read.parquet(f"{folder}/open/{partials.last_commit(spark, folder).epoch}").collect()] == [FAR]
+
+
+def test_late_and_retried_responses(spark, tmp_path):
+    rows, folder = sorted(anchored(), key=lambda x: x[2]), str(tmp_path)
+    with pytest.raises(LookupError):
+        responses.sent(spark, folder)
+    late = [rows[0], (1, "late", date(2024, 1, 2), 1.0, True), (1, "undated", None, 1.0, True)]
+    batches, each = [rows[:150], rows[150:250], [], late, rows[250:], [FAR]], responses.responses_epoch(["sku"], 3)
+    frames = [spark.createDataFrame(b, ANCHORED) for b in batches]
+    for i in range(6):
+        each(frames[i], i, folder)
+        closed = (max(r[2] for r in rows[: (150, 250, 250, 250, len(rows))[i]]) if i < 5 else FAR[2]) - timedelta(days=3)
+        kept = spark.read.parquet(f"{folder}/open/{i}")
+        assert partials.last_commit(spark, folder).told["closed"] == str(closed) and kept.agg(F.min("day")).first()[0] > closed - timedelta(days=responses.LAST)
+        before = sent(spark, folder)
+        assert all(k[2] + timedelta(days=responses.LAST) <= closed for k in before)
+        each(frames[i], i, folder)  # run again
+        each(frames[0], 0, folder)
+        assert sent(spark, folder) == before
+    assert before == sums_by_day(rows)
+    assert sorted(map(tuple, spark.read.schema(ANCHORED).parquet(f"{folder}/late/epoch=3").collect()), key=str) == sorted(late, key=str)
+    spark.createDataFrame([(1, "left", date(2024, 1, 1), 0.0, 0.0, 0.0, 0.0, 0)], spark.read.parquet(f"{folder}/rows/epoch=0").schema).write.parquet(f"{folder}/rows/epoch=6")  # stopped before its commit
+    assert sent(spark, folder) == before
+
+
+def test_replay_of_no_rows(spark):
+    empty = spark.createDataFrame([], ANCHORED)
+    stream = marts.replayed(empty, "day", "empty", last=lambda x: x.limit(1))
+    assert responses.sent(spark, marts.run_available(stream, "empty", "append", responses.responses_epoch(["sku"], 3))).count() == 0
+
+
+def test_replay_keeps_files_in_order_of_days(spark):
+    """A file for each task, not for each task and year, sorted, so that a slice reads little else."""
+    rows = [(i, date(2022, 1, 1) + timedelta(days=i * 37 % 900)) for i in range(300)]
+    paths = {p for p in Path(marts.shared_dir(spark)).glob("replay-sorted-*")} if Path(marts.shared_dir(spark)).exists() else set()
+    marts.replayed(spark.createDataFrame(rows, "id long, day date").repartition(3), "day", "sorted", most=50)
+    (path,) = set(Path(marts.shared_dir(spark)).glob("replay-sorted-*")) - paths
+    files = sorted((path / "rows").rglob("*.parquet"))
+    days = [[r.day for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert len(files) == 3 and all(d == sorted(d) for d in days) and len(sum(days, [])) == 300
+
+
+def test_response_query_keeps_no_state_store(spark, tmp_path):
+    import duckdb
+
+    from tallyforge.plans import ALL
+
+    begin, r = datetime(1997, 11, 20), random.Random(2)
+    orders = [(i, i, "O", 1.0, begin + timedelta(days=r.randint(0, 90)), r.choice(["1-URGENT", "5-LOW"])) for i in range(200)]
+    items = [(i, r.randint(1, 5), r.randint(0, 9), n, float(r.randint(1, 9)), 1.0, 0.0, 0.0, r.choice("RAN"), "O", begin) for i in range(200) for n in range(1, 3)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    shared = Path(marts.shared_dir(spark))
+    before = set(shared.glob("stream-responses-*"))
+    df = ALL["stream_response_windows"].run(spark, str(tmp_path))
+    got = sorted(map(str, map(tuple, df.collect())))
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert got == sorted(map(str, con.execute(f"SELECT {', '.join(df.columns)} FROM ({ALL['stream_response_windows'].sql})").fetchall())) and len(got) > 50
+    (folder,) = set(shared.glob("stream-responses-*")) - before
+    assert (folder / "checkpoint").exists() and not (folder / "checkpoint/state").exists()
